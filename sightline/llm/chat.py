@@ -41,15 +41,16 @@ def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     orphan = F.col("parent").isNotNull() & F.col("__known").isNull()
     # An orphan points at itself and so never reaches a root.
     jump = materialize(linked.select("tree", "node", F.when(orphan, F.col("node")).otherwise(F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), F.lit(1).cast("long").alias("steps")))
-    limit, jumps = jump.count(), []
-    while True:
-        reach = jump.where(F.col("up").isNotNull())
-        if (1 << len(jumps)) > limit or reach.isEmpty():
-            return jumps, jump.where(F.col("up").isNull()).select("tree", "node", (F.col("steps") - 1).alias("depth"), "score")
+    limit, jumps, columns = jump.count(), [], ("tree", "node", "up", "score", "steps")
+    # Only nodes that have not met their root yet are joined again.
+    placed, reach = jump.where("up is null"), jump.where("up is not null")
+    while (1 << len(jumps)) <= limit and not reach.isEmpty():
         jumps.append(reach.select("tree", "node", "up"))
-        above = jump.select(F.col("tree").alias("__tree"), F.col("node").alias("__node"), F.col("up").alias("__up"), F.col("score").alias("__score"), F.col("steps").alias("__steps"))
-        joined = jump.join(above, (F.col("tree") == F.col("__tree")) & (F.col("up") == F.col("__node")), "left")
-        jump = materialize(joined.select("tree", "node", F.col("__up").alias("up"), (F.col("score") + F.coalesce("__score", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps")))
+        above = placed.union(reach).select(*(F.col(c).alias(f"__{c}") for c in columns))
+        joined = reach.join(above, (F.col("tree") == F.col("__tree")) & (F.col("up") == F.col("__node")))
+        jump = materialize(joined.select("tree", "node", F.col("__up").alias("up"), (F.col("score") + F.col("__score")).alias("score"), (F.col("steps") + F.col("__steps")).alias("steps")))
+        placed, reach = placed.union(jump.where("up is null")), jump.where("up is not null")
+    return jumps, placed.select("tree", "node", (F.col("steps") - 1).alias("depth"), "score")
 
 
 def chosen_leaves(nodes: DataFrame, placed: DataFrame, top: int) -> DataFrame:
