@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.operators.tables import materialize as materialize
+
 #: Rows up to which a table of short rows (ids, hashes, counts) is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where none is."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a materialised table for broadcast if its counted rows are within the bound; else leave the join to shuffle."""
     n = df.count() if rows is None else rows
@@ -106,13 +89,13 @@ class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of a batch of texts, as arrays.
 
     first, last: byte ranges; doc: row of each word; at: for each row, where its words begin (n + 1 values);
-    hash: 64 bits for each word (ASCII letters in lower case if `lower`).
+    hash: 64 bits for each word (ASCII letters in lower case if `lower`). gaps: a table of other bytes that part words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.ndarray | None = None):
         n = len(data)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = ~SPACE[data]
+        inside[1:-1] = ~(SPACE if gaps is None else gaps)[data]
         begins = np.zeros(n + 1, bool)
         begins[offsets[:-1]] = True
         starts = inside[1:] & (~inside[:-1] | begins)
@@ -138,3 +121,50 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=offsets[1:])
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
+
+
+def grams(points: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+    """Buckets of the hashed character n-grams of one text, for every order."""
+    found, x = [], points.astype(np.uint32)
+    for n in orders:
+        if len(x) >= n:
+            h = np.full(len(x) - n + 1, n * 0x51ED27 & 0xFFFFFFFF, np.uint32)
+            for i in range(n):
+                h = (h ^ x[i : len(x) - n + 1 + i]) * np.uint32(0x9E3779B1)
+                h ^= h >> np.uint32(15)
+            found.append((h * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits))
+    return np.concatenate(found) if found else np.empty(0, np.uint32)
+
+
+def gram_counts(points: np.ndarray, orders: tuple[int, ...], bits: int, piece: int = 1 << 20) -> np.ndarray:
+    """Counts by bucket over a whole text; long texts are taken in pieces that overlap by what an n-gram needs."""
+    if len(points) <= piece:
+        return np.bincount(grams(points, orders, bits), minlength=1 << bits)
+    return sum(gram_counts(points[max(0, i - n + 1) : i + piece], (n,), bits, 2 * piece) for n in orders for i in range(0, len(points), piece))
+
+
+def tree_sum(df: DataFrame, fan_in: int = 16) -> np.ndarray:
+    """Sum rows of one binary column `v`, each a vector of 64-bit integers, over partitions in a tree; the driver gets a few of them."""
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for v in batch.column("v"):
+                x = np.frombuffer(v.as_py(), np.int64)
+                total = x.copy() if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
+
+    n = df.rdd.getNumPartitions()
+    while n > 2 * fan_in:
+        n = -(-n // fan_in)
+        df = df.repartition(n).mapInArrow(add, "v binary")
+    rows = [np.frombuffer(r.v, np.int64) for r in df.collect()]
+    return np.sum(rows, axis=0) if rows else np.zeros(0, np.int64)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, bound: int, salt: str) -> DataFrame:
+    """About `bound` labelled rows (text, label) at most, for fitting. The ids are chosen before any text is read, so that they can be broadcast."""
+    ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(F.expr(fold) if isinstance(fold, str) else fold).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    ids = bounded_sample(ids, "doc_id", bound, salt).withColumnRenamed("doc_id", "__id")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
