@@ -1,4 +1,642 @@
-"""Queries over the driver's tables, and their DuckDB SQL."""
+"""Queries over the driver's tables, each with DuckDB SQL for the same result."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sightline.functions import ids, vectors
+from sightline.operators import associations, feature, global_tracks, indexes, motion, rangejoin, tracks, windows, zones
+from sightline.operators.components import connected_components
+from sightline.sources.views import SQL_AREAS, SQL_FEATURES, SQL_LINKS, SQL_TRACKS, SQL_ZONES, Tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+HOUR = 3_600_000
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def tid(node="node", track="track_id") -> Column:
+    return ids.tracklet_id(F.col(node), F.col(track))
+
+
+# Filters and keys
+
+SQL_GATED = SQL_TRACKS + ", " + SQL_AREAS + """, gated as (
+  select t.*, a.area from node_tracks t left join area_nodes a using (node)
+  where t.is_deleted or (a.area is not null and t.distance <= coalesce(a.threshold, 'infinity'::double))
+)"""
+
+
+@query(f"with {SQL_GATED} select node, track_id, ts, seq, distance, is_deleted, area from gated")
+def distance_gate(t):
+    return tracks.distance_gate(t.node_tracks, t.area_nodes).select("node", "track_id", "ts", "seq", "distance", "is_deleted", "area")
+
+
+@query(f"with {SQL_GATED} select area as key, track_id, seq from gated where area is not null")
+def rekey_area(t):
+    return tracks.distance_gate(t.node_tracks, t.area_nodes).where("area is not null").select(F.col("area").alias("key"), "track_id", "seq")
+
+
+@query(f"with {SQL_TRACKS} select node, track_id, seq from node_tracks where node in ('cam:01', 'cam:03')")
+def listening_filter(t):
+    nodes = t.spark.createDataFrame([("cam:01",), ("cam:03",)], "node string")
+    return tracks.listening(t.node_tracks, nodes).select("node", "track_id", "seq")
+
+
+@query(f"with {SQL_TRACKS} select node, track_id, seq from node_tracks where is_deleted or cast(track_id as bigint) % 3 <> 0")
+def skip_assigned(t):
+    taken = t.node_tracks.where(F.col("track_id").cast("bigint") % 3 == 0).select("node", "track_id").distinct()
+    return tracks.skip_assigned(t.node_tracks, taken).select("node", "track_id", "seq")
+
+
+@query(f"with {SQL_TRACKS} select is_deleted, count(*) as n, count(distinct track_id) as n_tracks from node_tracks group by is_deleted")
+def delete_split(t):
+    return t.node_tracks.groupBy("is_deleted").agg(F.count("*").alias("n"), F.count_distinct("track_id").alias("n_tracks"))
+
+
+@query(f"with {SQL_TRACKS} select node, track_id, seq, case when not is_deleted then x end as x, case when not is_deleted then y end as y, ts - first_ts as age, case when is_deleted then 'D' else 'C' end as state_abbr from node_tracks")
+def local_track(t):
+    local = tracks.local_tracks(t.node_tracks)
+    return local.select("node", "track_id", "seq", "x", "y", (F.col("ts") - F.col("first_ts")).alias("age"), F.when(F.col("x").isNull(), "D").otherwise("C").alias("state_abbr"))
+
+
+@query(f"with {SQL_TRACKS} select case when is_deleted then 'right' else 'left' end as side, node, count(*) as n from node_tracks group by all")
+def branch_labels(t):
+    return t.node_tracks.groupBy(F.when(F.col("is_deleted"), "right").otherwise("left").alias("side"), "node").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey, o_totalprice between 1000 and 50000 as contains, o_totalprice >= 50000 as at_least, o_totalprice <= 1000 as at_most from orders")
+def interval_predicates(t):
+    p = F.col("o_totalprice")
+    return t.read("orders").select("o_orderkey", p.between(1000, 50000).alias("contains"), (p >= 50000).alias("at_least"), (p <= 1000).alias("at_most"))
+
+
+# Windows
+
+
+@query(f"""with {SQL_TRACKS}, w as (
+  select node, (ts // {HOUR // 2} - i) * {HOUR // 2} as w_begin, ts from node_tracks, range(2) r(i)
+) select node, w_begin, count(*) as n from w where ts < w_begin + {HOUR} group by node, w_begin""")
+def hopping_counts(t):
+    return windows.hopping(t.node_tracks, HOUR, HOUR // 2).groupBy("node", "w_begin").agg(F.count("*").alias("n"))
+
+
+@query(f"with {SQL_TRACKS} select node, ts // {HOUR} * {HOUR} as w_begin, round(avg(x), 6) as x, round(avg(y), 6) as y, max(ts) as ts from node_tracks group by 1, 2")
+def tumbling_avg(t):
+    return windows.hopping(t.node_tracks, HOUR).groupBy("node", "w_begin").agg(F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"), F.max("ts").alias("ts"))
+
+
+@query(f"""with {SQL_TRACKS}, s as (select *, min(ts) over (partition by node) as t0 from node_tracks), w as (
+  select node, t0, ts, t0 + ((ts - t0) // {HOUR // 2} - i) * {HOUR // 2} as w_begin from s, range(2) r(i)
+) select node, w_begin, count(*) as n from w where w_begin >= t0 and ts < w_begin + {HOUR} group by node, w_begin""")
+def anchored_hopping(t):
+    return windows.hopping(t.node_tracks, HOUR, HOUR // 2, anchor="first_event", by=["node"]).groupBy("node", "w_begin").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {SQL_TRACKS}, w as (
+  select *, (ts // {HOUR // 2} - i) * {HOUR // 2} as w_begin from node_tracks, range(2) r(i)
+) select w_begin, track_id, seq from w where ts < w_begin + {HOUR} and is_deleted and ts - w_begin < {HOUR // 2}""")
+def window_delete_dedupe(t):
+    placed = windows.hopping(t.node_tracks.where("is_deleted"), HOUR, HOUR // 2)
+    return windows.newest_only(placed, HOUR // 2).select("w_begin", "track_id", "seq")
+
+
+@query()
+def reanchored_windows(t):
+    placed = windows.reanchored(t.node_tracks.select("node", "track_id", "ts", "seq"), HOUR, HOUR // 2, ["node", "track_id"])
+    return placed.groupBy("node", "track_id", "w_begin").agg(F.count("*").alias("n"))
+
+
+# Indexes
+
+SQL_INDEX = SQL_TRACKS + """, track_index as (
+  select node, track_id, min_by(zone, {'a': ts, 'b': seq}) filter (zone is not null) as enter_zone, max_by(zone, {'a': ts, 'b': seq}) filter (zone is not null) as exit_zone,
+    min(first_ts) as first_ts, coalesce(max(ts) filter (is_deleted), -1) as last_ts, min(seq) as first_offset,
+    coalesce(max(seq) filter (is_deleted), -1) as last_offset, count(*) as count
+  from node_tracks group by node, track_id having not min_by(is_deleted, {'a': ts, 'b': seq})
+)"""
+
+
+@query(f"with {SQL_INDEX} select * from track_index")
+def node_tracks_index(t):
+    return indexes.track_index(t.node_tracks)
+
+
+@query(f"with {SQL_TRACKS} select track_id as key, min(seq) as first_offset, max(seq) as last_offset, min(ts) as first_ts, max(ts) as last_ts, count(*) as count from node_tracks group by track_id having bool_or(is_deleted) and not min_by(is_deleted, {{'a': ts, 'b': seq}})")
+def track_features_index(t):
+    return indexes.update_index(t.node_tracks.withColumnRenamed("track_id", "key"), "key")
+
+
+def _open_log(t):
+    """The log without the deletes of every fourth track."""
+    return t.node_tracks.where(~(F.col("is_deleted") & (F.col("track_id").cast("bigint") % 4 == 0)))
+
+
+SQL_OPEN = SQL_TRACKS + ", open_log as (select * from node_tracks where not (is_deleted and cast(track_id as bigint) % 4 = 0))"
+
+
+@query(f"""with {SQL_OPEN} select track_id as key, min(seq) as first_offset, case when bool_or(is_deleted) then max(seq) else -1 end as last_offset,
+  min(ts) as first_ts, case when bool_or(is_deleted) then max(ts) else -1 end as last_ts, count(*) as count
+from open_log group by track_id having not min_by(is_deleted, {{'a': ts, 'b': seq}})""")
+def open_index(t):
+    return indexes.update_index(_open_log(t).withColumnRenamed("track_id", "key"), "key", closed_only=False)
+
+
+@query(f"with {SQL_OPEN}, i as (select track_id, min(seq) as f from open_log group by track_id having not bool_or(is_deleted)) select min(f) as \"offset\" from i")
+def oldest_open(t):
+    return indexes.oldest_open(indexes.track_index(_open_log(t)))
+
+
+@query(f"with {SQL_INDEX} select * from track_index where node = 'cam:03' and track_id = '7'")
+def index_point_lookup(t):
+    return indexes.track_index(t.node_tracks.where("node = 'cam:03' and track_id = '7'"))
+
+
+@query(f"with {SQL_INDEX} select * from track_index where track_id in ('1', '2', '3', '44')")
+def index_multi_lookup(t):
+    keys = t.spark.createDataFrame([("1",), ("2",), ("3",), ("44",)], "track_id string")
+    return indexes.track_index(t.node_tracks.join(F.broadcast(keys), "track_id", "left_semi"))
+
+
+LOW, HIGH = 1706400000000, 1706580000000
+
+
+@query(f"with {SQL_INDEX} select * from track_index where last_ts between {LOW} and {HIGH}")
+def index_stop_between(t):
+    return indexes.track_index(t.node_tracks).where(F.col("last_ts").between(LOW, HIGH))
+
+
+@query(f"with {SQL_INDEX} select node, track_id, first_ts < {HIGH} and last_ts >= {LOW} as both, last_ts <= {HIGH} as until, first_ts >= {LOW} as since from track_index")
+def index_overlap(t):
+    i, a, b = indexes.track_index(t.node_tracks), F.col("first_ts"), F.col("last_ts")
+    return i.select("node", "track_id", indexes.overlaps(a, b, LOW, HIGH).alias("both"), indexes.overlaps(a, b, None, HIGH).alias("until"), indexes.overlaps(a, b, LOW, None).alias("since"))
+
+
+@query(f"with {SQL_INDEX} select t.node, t.track_id, t.seq, t.ts from node_tracks t join track_index i using (node, track_id) where t.seq >= i.first_offset and (i.last_offset < 0 or t.seq <= i.last_offset) and cast(t.track_id as bigint) % 10 = 3")
+def log_replay(t):
+    chosen = t.node_tracks.where(F.col("track_id").cast("bigint") % 10 == 3)
+    return indexes.replay(chosen, indexes.track_index(chosen), ["node", "track_id"]).select("node", "track_id", "seq", "ts")
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1996-02-01'")
+def predicate_scan(t):
+    d = F.col("o_orderdate")
+    return t.read("orders").where((d >= F.lit("1996-01-01").cast("timestamp_ntz")) & (d < F.lit("1996-02-01").cast("timestamp_ntz"))).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query(f"with {SQL_TRACKS} select node, track_id, max_by(x, {{'a': ts, 'b': seq}}) as x, max(ts) as ts from node_tracks group by node, track_id")
+def upsert_latest(t):
+    log = t.node_tracks.withColumn("at", F.struct("ts", "seq")).select("node", "track_id", "x", "ts", "at")
+    half = F.col("ts") < 1705000000000
+    return indexes.upsert(log.where(half), log.where(~half), ["node", "track_id"], "at").select("node", "track_id", "x", "ts")
+
+
+# Motion
+
+SIZE, ADVANCE, MOST = HOUR, HOUR // 2, 40.0
+
+
+def edges_of(t) -> DataFrame:
+    return motion.motion_edges(t.node_tracks, t.area_nodes, t.area_pairs, SIZE, ADVANCE, MOST)
+
+
+SQL_EDGES = SQL_GATED + f""", w as (
+  select *, (ts // {ADVANCE} - i) * {ADVANCE} as w_begin from gated, range({SIZE // ADVANCE}) r(i) where area is not null and not is_deleted
+), paths as (
+  select area, w_begin, node, node || '[' || track_id || ']' as id, list({{'ts': ts, 'x': x, 'y': y}} order by ts, seq) as path, min(first_ts) as first_ts
+  from w where ts < w_begin + {SIZE} group by area, w_begin, node, track_id
+), pairs as (
+  select l.area, l.w_begin, l.id as left_id, r.id as right_id, l.path as lp, r.path as rp, l.first_ts as lf, r.first_ts as rf,
+    case when len(l.path) >= len(r.path) then l.path else r.path end as a, case when len(l.path) >= len(r.path) then r.path else l.path end as b
+  from paths l join area_pairs p on l.area = p.area and l.node = p.node1 join paths r on r.area = l.area and r.w_begin = l.w_begin and r.node = p.node2
+), best as (
+  select *, list_min(list_transform(range(0, len(a) - len(b) + 1), lambda o: {{'d': round(list_sum(list_transform(range(1, len(b) + 1),
+    lambda i: sqrt(pow(a[o + i].x - b[i].x, 2) + pow(a[o + i].y - b[i].y, 2)))) / len(b), 6), 'o': o}})) as m from pairs
+), near as (
+  select *, list_min(list_transform(range(0, len(b)), lambda i: {{'d': round(sqrt(pow(a[m.o + i + 1].x - b[i + 1].x, 2) + pow(a[m.o + i + 1].y - b[i + 1].y, 2)), 6), 'i': i}})) as c
+  from best where m.d < {MOST}
+), scored as (
+  select left_id, right_id, w_begin, round(1 - m.d / {MOST}, 9) as score, case when rf < lf then right_id else left_id end as id, least(lf, rf) as first_ts,
+    case when len(lp) >= len(rp) then a[m.o + c.i + 1].ts else b[c.i + 1].ts end as left_ts, case when len(lp) >= len(rp) then b[c.i + 1].ts else a[m.o + c.i + 1].ts end as right_ts
+  from near
+), edges as (select * from scored qualify row_number() over (partition by left_id, right_id order by score desc, w_begin) = 1)"""
+
+
+@query(f"with {SQL_EDGES} select * from edges")
+def motion_edges(t):
+    return edges_of(t)
+
+
+@query(f"with {SQL_EDGES} select w_begin, count(*) as n, round(sum(score), 5) as total from scored group by w_begin")
+def motion_pairs(t):
+    gated = tracks.distance_gate(t.node_tracks, t.area_nodes).where("area is not null")
+    scored = motion.scored_pairs(motion.path_pairs(motion.window_paths(gated, SIZE, ADVANCE), t.area_pairs), MOST)
+    return scored.groupBy("w_begin").agg(F.count("*").alias("n"), F.round(F.sum("score"), 5).alias("total"))
+
+
+@query(f"with {SQL_EDGES} select left_id, right_id, id, case when id = left_id then right_id else left_id end as follower, greatest(left_ts, right_ts) as ts from edges")
+def edge_leader(t):
+    return edges_of(t).select("left_id", "right_id", "id", F.when(F.col("id") == F.col("left_id"), F.col("right_id")).otherwise(F.col("left_id")).alias("follower"), F.greatest("left_ts", "right_ts").alias("ts"))
+
+
+SQL_FEW = SQL_EDGES + ", few as (select * from edges where score >= 0.97)"
+
+
+def _few(t):
+    return edges_of(t).where("score >= 0.97")
+
+
+@query(f"""with {SQL_FEW}, p as (
+  select a.left_id as al, a.right_id as ar, b.left_id as bl, b.right_id as br from few a join few b on a.left_id = b.left_id or a.right_id = b.right_id or a.left_id = b.right_id or a.right_id = b.left_id
+), o as (select *, case when al in (bl, br) then ar else al end as mine from p)
+select al, ar, bl, br, case when al = bl and ar = br then 'SAME' when split_part(mine, '[', 1) in (split_part(bl, '[', 1), split_part(br, '[', 1)) then 'CONFLICT' else 'MERGEABLE' end as relation from o""")
+def edge_relation(t):
+    few = _few(t).select("left_id", "right_id")
+    ends = few.withColumn("end", F.explode(F.array("left_id", "right_id")))
+    other = ends.select("end", F.col("left_id").alias("bl"), F.col("right_id").alias("br"))
+    pairs = ends.join(other, "end").select(F.col("left_id").alias("al"), F.col("right_id").alias("ar"), "bl", "br").distinct()
+    return pairs.withColumn("relation", associations.edge_relation(F.col("al"), F.col("ar"), F.col("bl"), F.col("br")))
+
+
+def _components(t):
+    few = _few(t)
+    part = connected_components(few, "left_id", "right_id")
+    return few.join(part.withColumnRenamed("id", "member"), F.col("left_id") == F.col("member")).drop("member")
+
+
+SQL_COMPONENTS = SQL_FEW.replace("with ", "") + """, both_ends as (select left_id as a, right_id as b from few union select right_id, left_id from few),
+reach(a, b) as (select a, b from both_ends union select r.a, e.b from reach r join both_ends e on r.b = e.a),
+component as (select a as id, least(a, min(b)) as component from reach group by a)"""
+
+
+@query(f"with recursive {SQL_COMPONENTS} select id, component from component")
+def assoc_components(t):
+    return connected_components(_few(t), "left_id", "right_id")
+
+
+@query(f"""with recursive {SQL_COMPONENTS}, s as (select c.component, f.* from few f join component c on f.left_id = c.id), m as (select component, unnest([left_id, right_id]) as t from s)
+select s.component, (select string_agg(distinct t, '-' order by t) from m where m.component = s.component) as tracklets, round(avg(score), 6) as score,
+  max(greatest(left_ts, right_ts)) as ts, min(first_ts) as first_ts, min_by(id, {{'a': first_ts, 'b': id}}) as id from s group by s.component""")
+def assoc_summary(t):
+    found = associations.summary(_components(t), "component")
+    return found.withColumn("tracklets", F.array_join("tracklets", "-"))
+
+
+@query(f"""with recursive {SQL_COMPONENTS}, m as (select component, id as tracklet from component), closed as (select node || '[' || track_id || ']' as tracklet from node_tracks where is_deleted and ts < {HIGH})
+select component as association, count(*) as size from m left join closed c using (tracklet) group by component having count(*) = count(c.tracklet)""".replace("count(c.tracklet)", "count(c.rowid)").replace("select node || '[' || track_id || ']' as tracklet from", "select node || '[' || track_id || ']' as tracklet, 1 as rowid from"))
+def fully_closed(t):
+    members = connected_components(_few(t), "left_id", "right_id").select(F.col("component").alias("association"), F.col("id").alias("tracklet"))
+    closed = t.node_tracks.where(F.col("is_deleted") & (F.col("ts") < HIGH)).select(tid().alias("tracklet"))
+    return associations.fully_closed(members, closed)
+
+
+@query(f"with {SQL_FEW} select node || '[' || track_id || ']' as tracklet from node_tracks where is_deleted and node || '[' || track_id || ']' not in (select left_id from few union select right_id from few)")
+def danglings(t):
+    few = _few(t)
+    members = few.select(F.col("left_id").alias("tracklet")).union(few.select("right_id"))
+    return t.node_tracks.where("is_deleted").select(tid().alias("tracklet")).join(members, "tracklet", "left_anti")
+
+
+SQL_SETS = """sets(n, a, b, sa, sb) as (values (1, ['p[1]', 'q[2]'], ['p[1]', 'q[2]'], 0.5, 0.4), (2, ['p[1]', 'q[2]'], ['p[1]'], 0.5, 0.9), (3, ['p[1]'], ['p[1]', 'q[2]'], 0.5, 0.4),
+  (4, ['p[1]', 'q[2]'], ['p[1]', 'q[3]'], 0.5, 0.4), (5, ['p[1]', 'q[2]'], ['p[1]', 'r[3]'], 0.5, 0.4), (6, ['p[1]'], ['q[2]'], 0.5, 0.4), (7, ['p[1]', 'q[2]'], ['p[3]', 'q[2]'], 0.3, 0.4))"""
+
+
+def _sets(t):
+    rows = [(1, "p[1] q[2]", "p[1] q[2]", 0.5, 0.4), (2, "p[1] q[2]", "p[1]", 0.5, 0.9), (3, "p[1]", "p[1] q[2]", 0.5, 0.4), (4, "p[1] q[2]", "p[1] q[3]", 0.5, 0.4), (5, "p[1] q[2]", "p[1] r[3]", 0.5, 0.4), (6, "p[1]", "q[2]", 0.5, 0.4), (7, "p[1] q[2]", "p[3] q[2]", 0.3, 0.4)]
+    return t.spark.createDataFrame([(n, a.split(), b.split(), x, y) for n, a, b, x, y in rows], "n int, a array<string>, b array<string>, sa double, sb double")
+
+
+SQL_RELATION = SQL_SETS + """, d as (select *, list_filter(a, lambda x: not list_contains(b, x)) as l, list_filter(b, lambda x: not list_contains(a, x)) as r from sets),
+rel as (select *, case when not list_has_any(a, b) then 'DISJOINT' when len(l) = 0 and len(r) = 0 then 'SAME' when len(r) = 0 then 'LEFT_SUBSUME' when len(l) = 0 then 'RIGHT_SUBSUME'
+  when list_has_any(list_transform(l, lambda x: split_part(x, '[', 1)), list_transform(r, lambda x: split_part(x, '[', 1))) then 'CONFLICT' else 'MERGEABLE' end as relation from d)"""
+
+
+@query(f"with {SQL_RELATION} select n, relation from rel")
+def assoc_relation(t):
+    return _sets(t).select("n", associations.association_relation(F.col("a"), F.col("b")).alias("relation"))
+
+
+@query(f"with {SQL_RELATION} select n, relation = 'LEFT_SUBSUME' or (relation = 'SAME' and sa > sb) or (relation = 'CONFLICT' and len(a) >= len(b) and sa > sb) as superior from rel")
+def assoc_superior(t):
+    return _sets(t).select("n", associations.superior(F.col("a"), F.col("sa"), F.col("b"), F.col("sb")).alias("superior"))
+
+
+@query()
+def assoc_closure(t):
+    return associations.closures(_few(t))
+
+
+@query()
+def best_associations(t):
+    return associations.best_associations(_few(t))
+
+
+@query()
+def final_selection(t):
+    return associations.final_assignments(_few(t), t.node_tracks.where("is_deleted").select(tid().alias("tracklet")))
+
+
+# Features
+
+SQL_SESSIONS = SQL_INDEX + ", " + SQL_LINKS
+
+
+@query(f"""with {SQL_SESSIONS} select distinct s.node || '[' || s.track_id || ']' as session, i.node || '[' || i.track_id || ']' as candidate, i.node as exit_node, i.last_ts
+from track_index s join links l on s.node = l.enter_node and s.enter_zone = l.enter_zone join track_index i on i.node = l.exit_node and i.exit_zone = l.exit_zone
+where i.last_ts >= 0 and i.last_ts between s.first_ts + {25 * 24 * HOUR} - l.max_ms and s.first_ts + {25 * 24 * HOUR} - l.min_ms""")
+def transition_candidates(t):
+    index = indexes.track_index(t.node_tracks)
+    sessions = index.select(tid().alias("session"), "node", "enter_zone", (F.col("first_ts") + 25 * 24 * HOUR).alias("first_ts"))
+    return feature.transition_candidates(sessions, t.links, index.select("node", tid().alias("track"), "exit_zone", "last_ts"), 6 * HOUR)
+
+
+@query(f"""with {SQL_TRACKS} select a.seq as point, b.seq as interval_id from node_tracks a join node_tracks b on a.node = b.node and a.ts between b.ts and b.ts + {HOUR // 4} where a.is_deleted""")
+def interval_join(t):
+    points = t.node_tracks.where("is_deleted").select("node", F.col("ts").alias("p"), F.col("seq").alias("point"))
+    spans = t.node_tracks.select("node", F.col("ts").alias("low"), (F.col("ts") + HOUR // 4).alias("high"), F.col("seq").alias("interval_id"))
+    return rangejoin.interval_join(points, spans, "p", "low", "high", ["node"], HOUR // 4).select("point", "interval_id")
+
+
+SQL_SCORES = SQL_FEATURES + """, spairs as (
+  select s.track as session, c.track as candidate, s.seq as ss, c.seq as cs, s.ts as session_ts, c.ts as candidate_ts,
+    round(1 - list_sum(list_transform(range(1, len(s.feature) + 1), lambda i: cast(s.feature[i] as double) * cast(c.feature[i] as double))), 6) as score
+  from track_features s join track_features c on s.track - c.track between 1 and 6 and s.node <> c.node
+), kth as (
+  select *, row_number() over (partition by session, candidate order by score desc, cs, ss) as r, greatest(1, cast(round(count(*) over (partition by session, candidate) * 0.2) as int)) as k from spairs
+), scores as (select session, candidate, score, session_ts, candidate_ts, 'cam:0' || cast(candidate % 3 + 1 as varchar) as exit_node, candidate * 500 + 400 as last_ts from kth where r = k)"""
+
+
+def scores_of(t) -> DataFrame:
+    some = feature.session_features(t.track_features)
+    heads = t.track_features.select("track", "node").distinct()
+    pairs = heads.select(F.col("track").alias("session"), F.col("node").alias("n1"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("i")).withColumn("candidate", F.col("session") - F.col("i"))
+    pairs = pairs.join(heads.select(F.col("track").alias("candidate"), F.col("node").alias("exit_node")), "candidate").where("n1 <> exit_node")
+    scored = feature.pair_scores(pairs.select("session", "candidate"), some)
+    return scored.withColumns({"exit_node": F.concat(F.lit("cam:0"), (F.col("candidate") % 3 + 1).cast("string")), "last_ts": F.col("candidate") * 500 + 400})
+
+
+@query(f"with {SQL_SCORES} select session, candidate, score, session_ts, candidate_ts from scores")
+def feature_pair_topk(t):
+    return scores_of(t).select("session", "candidate", "score", "session_ts", "candidate_ts")
+
+
+SQL_BEST = SQL_SCORES + """, g as (
+  select *, max(score) over (partition by session, exit_node) as node_best, row_number() over (partition by session, exit_node order by last_ts, candidate) as place, count(*) over (partition by session, exit_node) as size from scores
+), boosted as (select *, round(score * case when size > 1 and place = 1 then 1.15 when size > 1 and place = 2 then 1.03 else 1.0 end, 6) as boost from g),
+best as (select * from boosted qualify row_number() over (partition by session order by node_best desc, exit_node, boost desc, candidate) = 1)"""
+
+
+@query(f"with {SQL_BEST} select session, candidate, exit_node, score, boost as boosted from best")
+def feature_best_candidate(t):
+    return feature.best_candidates(scores_of(t)).select("session", "candidate", "exit_node", "score", "boosted")
+
+
+@query(f"with {SQL_BEST} select session, candidate, boost as score from best where boost >= 1.3")
+def feature_min_score(t):
+    return feature.best_candidates(scores_of(t)).where("boosted >= 1.3").select("session", "candidate", F.col("boosted").alias("score"))
+
+
+@query()
+def feature_best_once(t):
+    scores = scores_of(t).withColumns({"first_ts": F.col("session") * 500, "network": F.lit("site")})
+    return feature.best_candidates_once(scores)
+
+
+@query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))), 6) as norm from embeddings")
+def vector_norm(t):
+    return t.read("embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+SQL_COSINE = """select b.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: cast(a.embedding[i] as double) * cast(b.embedding[i] as double)))
+  / sqrt(list_sum(list_transform(a.embedding, lambda x: cast(x as double) * cast(x as double)))) / sqrt(list_sum(list_transform(b.embedding, lambda x: cast(x as double) * cast(x as double)))), 6) as cosine
+from (select embedding from embeddings where vec_id = 0) a, embeddings b"""
+
+
+def _cosines(t):
+    v = t.read("embeddings")
+    probe = v.where("vec_id = 0").select(F.col("embedding").alias("probe"))
+    return v.crossJoin(F.broadcast(probe)).select("vec_id", F.round(vectors.cosine(F.col("probe"), F.col("embedding")), 6).alias("cosine"))
+
+
+@query(SQL_COSINE)
+def vector_cosine(t):
+    return _cosines(t)
+
+
+@query(f"select cosine from ({SQL_COSINE}) order by cosine, vec_id limit 1 offset 9")
+def vector_kth(t):
+    """The k-th smallest cosine of a vector against all others: only k rows leave each task."""
+    smallest = _cosines(t).orderBy("cosine", "vec_id").limit(10)
+    return smallest.agg(F.max("cosine").alias("cosine"))
+
+
+# Zones
+
+SQL_LINES = SQL_TRACKS + """, lines as (
+  select *, lag(x) over o as x0, lag(y) over o as y0, case when is_deleted then 'deleted' when lag(x) over o is null then 'point' else 'line' end as kind
+  from node_tracks window o as (partition by node, track_id order by ts, seq)
+)"""
+
+
+@query(f"with {SQL_LINES} select node, track_id, seq, kind, x0, y0, x, y from lines")
+def line_tracks(t):
+    return tracks.lines(t.node_tracks).select("node", "track_id", "seq", "kind", "x0", "y0", "x", "y")
+
+
+SQL_EVENTS = SQL_LINES + ", " + SQL_ZONES + """, cuts as (
+  select l.node, l.track_id, l.ts, l.seq, z.zone, l.x0 between z.x0 and z.x1 and l.y0 between z.y0 and z.y1 as s, l.x between z.x0 and z.x1 and l.y between z.y0 and z.y1 as e,
+    list_min(list_filter([case when l.x <> l.x0 and (z.x0 - l.x0) / (l.x - l.x0) between 0 and 1 and l.y0 + (z.x0 - l.x0) / (l.x - l.x0) * (l.y - l.y0) between z.y0 and z.y1 then (z.x0 - l.x0) / (l.x - l.x0) end,
+      case when l.x <> l.x0 and (z.x1 - l.x0) / (l.x - l.x0) between 0 and 1 and l.y0 + (z.x1 - l.x0) / (l.x - l.x0) * (l.y - l.y0) between z.y0 and z.y1 then (z.x1 - l.x0) / (l.x - l.x0) end,
+      case when l.y <> l.y0 and (z.y0 - l.y0) / (l.y - l.y0) between 0 and 1 and l.x0 + (z.y0 - l.y0) / (l.y - l.y0) * (l.x - l.x0) between z.x0 and z.x1 then (z.y0 - l.y0) / (l.y - l.y0) end,
+      case when l.y <> l.y0 and (z.y1 - l.y0) / (l.y - l.y0) between 0 and 1 and l.x0 + (z.y1 - l.y0) / (l.y - l.y0) * (l.x - l.x0) between z.x0 and z.x1 then (z.y1 - l.y0) / (l.y - l.y0) end],
+      lambda t: t is not null)) as d
+  from lines l, zones z where l.kind = 'line'
+), rel as (
+  select *, case when s and e then 'Inside' when e then 'Entered' when s then 'Left' when d is not null then 'Through' end as relation from cuts
+), touched as (select *, count(*) over (partition by node, track_id, seq) as many from rel where relation is not null),
+events as (
+  select node, track_id, ts, seq, relation, zone, row_number() over (partition by node, track_id, seq order by case relation when 'Left' then 0 when 'Through' then 1 else 2 end, round(d, 6), zone) - 1 as step
+  from touched where many = 1 or relation <> 'Inside'
+  union all select node, track_id, ts, seq, 'Deleted', null, 0 from lines where kind = 'deleted'
+  union all select l.node, l.track_id, l.ts, l.seq, case when z.zone is null then 'Unassigned' else 'Entered' end, z.zone, 0
+    from lines l left join zones z on l.x between z.x0 and z.x1 and l.y between z.y0 and z.y1 where l.kind = 'point'
+)"""
+
+
+@query(f"with {SQL_EVENTS} select node, track_id, seq, zone, relation from rel where relation is not null")
+def zone_relation(t):
+    related = zones.zone_relations(tracks.lines(t.node_tracks), t.zones).where("kind = 'line'")
+    return related.select("node", "track_id", "seq", F.explode("touched").alias("r")).select("node", "track_id", "seq", "r.zone", "r.relation")
+
+
+@query(f"with {SQL_EVENTS} select node, track_id, ts, seq, step, relation, zone from events")
+def zone_events(t):
+    return zones.zone_events(tracks.lines(t.node_tracks), t.zones)
+
+
+SQL_STAYS = SQL_EVENTS + """, moves as (select node, track_id, zone, ts, seq, step, case relation when 'Entered' then 1 else -1 end as change from events where relation in ('Entered', 'Left')),
+tail as (select * from moves qualify row_number() over (partition by node, track_id, zone order by ts desc, seq desc, step desc) = 1),
+stays as (select * from moves union all select m.node, m.track_id, m.zone, d.ts, d.seq, 0, -1 from tail m join events d on m.node = d.node and m.track_id = d.track_id and d.relation = 'Deleted'
+  where m.change = 1 and (d.ts > m.ts or (d.ts = m.ts and d.seq > m.seq)))"""
+
+
+@query(f"with {SQL_STAYS} select node, track_id, zone, ts, seq, step, change from stays")
+def track_zones(t):
+    return zones.stays(zones.zone_events(tracks.lines(t.node_tracks), t.zones))
+
+
+@query(f"with {SQL_STAYS} select node, track_id, zone, ts, seq, step, change, sum(change) over (partition by zone order by ts, seq, step, node, track_id rows unbounded preceding)::bigint as residents from stays")
+def zone_residents(t):
+    return zones.zone_residents(zones.stays(zones.zone_events(tracks.lines(t.node_tracks), t.zones)))
+
+
+@query(f"with {SQL_STAYS} select zone, count(*) as residents from (select zone, track_id, sum(change) as n from stays where ts <= {LOW} group by zone, track_id having sum(change) > 0) group by zone")
+def residents_at(t):
+    changes = zones.stays(zones.zone_events(tracks.lines(t.node_tracks), t.zones)).where(F.col("ts") <= LOW)
+    return changes.groupBy("zone", "track_id").agg(F.sum("change").alias("n")).where("n > 0").groupBy("zone").agg(F.count("*").alias("residents"))
+
+
+# Global tracks
+
+SQL_GLOBAL = SQL_TRACKS + """, assigned as (
+  select node || '[' || track_id || ']' as tracklet, 'g' || cast(cast(track_id as bigint) // 10 as varchar) as association, min(first_ts) over (partition by cast(track_id as bigint) // 10) as first_ts
+  from (select distinct node, track_id, first_ts from node_tracks) where cast(track_id as bigint) % 7 <> 0
+), enriched as (
+  select t.* exclude (first_ts), t.node || '[' || t.track_id || ']' as tracklet, coalesce(a.association, t.node || '[' || t.track_id || ']') as association, coalesce(a.first_ts, t.first_ts) as assoc_first_ts, t.first_ts, a.association is not null as associated
+  from node_tracks t left join assigned a on a.tracklet = t.node || '[' || t.track_id || ']'
+)"""
+
+
+def enriched_of(t) -> DataFrame:
+    log = t.node_tracks.withColumn("tracklet", tid())
+    number = F.col("track_id").cast("bigint")
+    heads = log.groupBy("tracklet", "track_id").agg(F.min("first_ts").alias("f"))
+    first = heads.where(number % 7 != 0).groupBy(F.floor(number / 10).alias("g")).agg(F.min("f").alias("first_ts"))
+    assigned = heads.where(number % 7 != 0).withColumn("g", F.floor(number / 10)).join(first, "g").select("tracklet", F.concat(F.lit("g"), F.col("g").cast("string")).alias("association"), "first_ts")
+    return global_tracks.enrich(log, assigned)
+
+
+@query(f"with {SQL_GLOBAL} select tracklet, seq, association, assoc_first_ts, associated from enriched")
+def track_enrich(t):
+    return enriched_of(t).select("tracklet", "seq", "association", "assoc_first_ts", "associated")
+
+
+@query(f"""with {SQL_GLOBAL} select association, ts // {HOUR} * {HOUR} as w_begin, round(avg(x), 6) as x, round(avg(y), 6) as y, max(ts) as ts, min(assoc_first_ts) as first_ts, count(*) as n_supports,
+  count(distinct tracklet) as n_tracklets, case when bool_or(associated) then 'ASSOCIATED' else 'ISOLATED' end as state from enriched e where not is_deleted group by association, e.ts // {HOUR} * {HOUR}""")
+def global_track(t):
+    return global_tracks.global_tracks(enriched_of(t), HOUR)
+
+
+@query(f"with {SQL_GLOBAL}, g as (select association, tracklet, max(ts) filter (is_deleted and ts < {HIGH}) as gone from enriched group by association, tracklet) select association, max(gone) as ts, 'DELETED' as state from g group by association having count(*) = count(gone)")
+def global_deletes(t):
+    late = F.col("is_deleted") & (F.col("ts") < HIGH)
+    return global_tracks.deletions(enriched_of(t).withColumn("is_deleted", late))
+
+
+@query(f"with {SQL_GLOBAL} select tracklet, ts // {HOUR} * {HOUR} as w_begin, round(avg(x), 6) as x, round(avg(y), 6) as y, max_by(first_ts, {{'a': ts, 'b': seq}}) as first_ts, max(ts) as ts from enriched e where not is_deleted and not associated group by tracklet, e.ts // {HOUR} * {HOUR}")
+def isolated_tracks(t):
+    return global_tracks.isolated(enriched_of(t).where("not associated"), HOUR)
+
+
+@query()
+def trajectories_latest(t):
+    return global_tracks.trajectories(enriched_of(t), "association", 200000 + F.col("x") * 10, 600000 + F.col("y") * 10)
+
+
+@query(f"with {SQL_GLOBAL}, l as (select association, max(ts) as ts from enriched where not is_deleted group by association) select association, strftime(make_timestamp(ts * 1000), '%Y-%m-%d %H:%M:%S.%g') as stamp from l")
+def trajectory_stamps(t):
+    return global_tracks.trajectories(enriched_of(t), "association", F.col("x"), F.col("y")).select("association", "stamp")
+
+
+# Counts, order, sets
+
+
+@query(f"with {SQL_TRACKS} select node, min(ts - first_ts) as least, max(ts - first_ts) as most, round(avg(ts - first_ts), 3) as mean, count(*) as n from node_tracks group by node")
+def latency_stats(t):
+    age = F.col("ts") - F.col("first_ts")
+    return t.node_tracks.groupBy("node").agg(F.min(age).alias("least"), F.max(age).alias("most"), F.round(F.avg(age), 3).alias("mean"), F.count("*").alias("n"))
+
+
+@query(f"with {SQL_TRACKS} select node, count(*) as n from node_tracks group by node")
+def count_by_node(t):
+    return t.node_tracks.groupBy("node").agg(F.count("*").alias("n"))
+
+
+@query("select user_id % 4 as partition, max(event_id) as \"offset\" from events group by 1")
+def commit_offsets(t):
+    return t.read("events").groupBy((F.col("user_id") % 4).alias("partition")).agg(F.max("event_id").alias("offset"))
+
+
+@query(f"with {SQL_TRACKS} select node, track_id, min_by(seq, {{'a': ts, 'b': seq}}) as seq from node_tracks group by node, track_id")
+def distinct_tracklets(t):
+    return t.node_tracks.groupBy("node", "track_id").agg(F.min_by("seq", F.struct("ts", "seq")).alias("seq"))
+
+
+@query("select o_custkey as k from orders union all select c_custkey from customer")
+def union_streams(t):
+    return t.read("orders").select(F.col("o_custkey").alias("k")).unionByName(t.read("customer").select(F.col("c_custkey").alias("k")))
+
+
+@query("""select 'both' as part, count(*) as n from (select c_custkey from customer intersect select o_custkey from orders)
+union all select 'left', count(*) from (select c_custkey from customer except select o_custkey from orders)""")
+def set_ops(t):
+    c, o = t.read("customer").select(F.col("c_custkey").alias("k")), t.read("orders").select(F.col("o_custkey").alias("k"))
+    both = c.intersect(o).agg(F.count("*").alias("n")).select(F.lit("both").alias("part"), "n")
+    return both.union(c.subtract(o).agg(F.count("*").alias("n")).select(F.lit("left").alias("part"), "n"))
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20")
+def topk_score(t):
+    return t.read("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@query(f"with {SQL_TRACKS} select node, track_id, seq, row_number() over (partition by node order by ts, cast(track_id as bigint), seq) as place from node_tracks")
+def natural_order(t):
+    order = Window.partitionBy("node").orderBy("ts", F.col("track_id").cast("bigint"), "seq")
+    return t.node_tracks.select("node", "track_id", "seq", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderkey <= 100 order by o_orderkey limit 10 offset 5")
+def take_drop(t):
+    return t.read("orders").where("o_orderkey <= 100").select("o_orderkey", "o_custkey").orderBy("o_orderkey").offset(5).limit(10)
+
+
+# Codecs
+
+
+@query(f"with {SQL_TRACKS} select distinct node || '[' || track_id || ']' as tracklet, node, track_id as track from node_tracks")
+def id_codec(t):
+    i = t.node_tracks.select(tid().alias("tracklet")).distinct()
+    return i.select("tracklet", ids.tracklet_node(F.col("tracklet")).alias("node"), ids.tracklet_track(F.col("tracklet")).alias("track"))
+
+
+@query(f"with {SQL_TRACKS}, d as (select distinct node, cast(track_id as bigint) as k from node_tracks), l as (select node, min(k) as least from d group by node) select node, string_agg(node || '[' || k || ']' || case when k = least then '*' else '' end, '-' order by k) as text from d join l using (node) group by node")
+def assoc_text(t):
+    log = t.node_tracks.groupBy("node").agg(F.collect_set(tid()).alias("members"), F.min(F.col("track_id").cast("bigint")).alias("least"))
+    leader = ids.tracklet_id(F.col("node"), F.col("least").cast("string"))
+    return log.select("node", ids.association_text(F.col("members"), leader).alias("text"))
+
+
+@query(f"with {SQL_EVENTS}, c as (select seq, step, relation, zone, case when relation in ('Unassigned', 'Deleted') then left(relation, 1) else left(relation, 1) || '(' || zone || ')' end as text from events) select seq, step, text, relation, zone from c")
+def zone_codec(t):
+    coded = zones.zone_events(tracks.lines(t.node_tracks), t.zones).select("seq", "step", ids.zone_text(F.col("relation"), F.col("zone")).alias("text"))
+    return coded.select("seq", "step", "text", ids.zone_relation(F.col("text")).alias("relation"), ids.zone_name(F.col("text")).alias("zone"))
+
+
+@query("select event_id, cast(regexp_extract(props, '([0-9]+)', 1) as double) as y, value as x from events")
+def json_points(t):
+    wire = t.read("events").select("event_id", F.to_json(F.array(F.col("value"), F.get_json_object("props", "$.k").cast("double"))).alias("point"))
+    p = F.from_json("point", "array<double>")
+    return wire.select("event_id", F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))
