@@ -247,7 +247,7 @@ def components(docs: DataFrame, m: Measure = Measure()) -> DataFrame:
     sets = materialize(table.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")))
     signed = table.where("doc_id is not null").select("doc_id", F.explode("sigs").alias("sig"))
     crowds = materialize(signed.groupBy("sig").agg(F.min("doc_id").alias("star"), F.max("doc_id").alias("last")).where("star < last").drop("last"))
-    ties = signed.join(small(crowds), "sig").where("star < doc_id").select("star", "doc_id").distinct()
+    ties = signed.join(crowds, "sig").where("star < doc_id").select("star", "doc_id").distinct()
     ties = ties.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     groups = materialize(connected_components(ties, "star", "doc_id"))
     sizes = table.groupBy("doc_id").agg(F.max("n").alias("n"))
