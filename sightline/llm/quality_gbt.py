@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import SPACE, Words, crc_mod, labelled_sample, sliced, utf8
+from sightline.llm.common import Words, crc_mod, labelled_sample, sliced, utf8
 from sightline.llm.quality_rules import SYMBOLS, duplicate_lines, repeated_words
 
 #: Labelled documents that the trees are fitted on, about, at most.
@@ -120,22 +120,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold="true
     return boost(x, np.array([r.label for r in rows], float))
 
 
-def score(docs: DataFrame, model: Trees) -> DataFrame:
-    """Score every whole text: all columns, then `score`, the chance that the document is a good one.
+def score(docs: DataFrame, model: Trees, out: str = "score") -> DataFrame:
+    """Score every whole text: all columns, then `out`, the chance that the document is a good one.
 
-    Null and empty texts are scored as texts without words. Repeated rows get equal scores. A column `score` is replaced.
+    Null and empty texts are scored as texts without words. Repeated rows get equal scores. A column `out` is replaced.
     """
-    keep = [c for c in docs.columns if c != "score"]
+    keep = [c for c in docs.columns if c != out]
     chosen = docs.select(*keep)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
         for batch in sliced(batches):
             s = held.value.score(statistics(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*keep, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
-    return chosen.mapInArrow(scored, f"{fields}, score double")
+    return chosen.mapInArrow(scored, f"{fields}, `{out}` double")
 
 
 def classify_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -148,6 +148,4 @@ def classify_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with their own columns."""
     model = train(docs, labels, fold=crc_mod("doc_id", 4) != 2)
-    return score(docs.drop("score"), model).where(F.col("score") >= ACCEPT).select(*docs.columns) if "score" not in docs.columns else docs.join(
-        score(docs.select("doc_id", "text"), model).where(F.col("score") < ACCEPT).select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti"
-    )
+    return score(docs, model, "__quality").where(F.col("__quality") >= ACCEPT).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe, chat, decontam, jaccard, langid, quality_gbt, quality_rules, sharding, toxicity
+from sightline.llm import bpe, chat, decontam, jaccard, langid, quality_gbt, quality_rules, secret_scan, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.scan(table(spark, sf_dir, "documents"), forest)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.classify_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,6 +85,7 @@ _ALL = (
     op5_ngram_jaccard_join,
     op6_toxicity,
     op7_sharding,
+    op8_secret_scans,
     op9_quality_classifier,
     op10_quality_rules,
 )
