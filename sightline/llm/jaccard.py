@@ -112,7 +112,8 @@ def bands_of_minima(sets: list[np.ndarray], m: Measure) -> tuple[np.ndarray, np.
     mine = np.flatnonzero([len(s) > 0 for s in sets])
     found = np.empty((len(mine), m.bands), np.uint64)
     for at, i in enumerate(mine):
-        low = np.concatenate([(sets[i][:, None] * odd[None, k : k + m.rows]).min(axis=0) for k in range(0, len(odd), m.rows)]).reshape(m.bands, m.rows)
+        step = max(1, (1 << 17) // len(sets[i]))
+        low = np.concatenate([(odd[k : k + step, None] * sets[i][None, :]).min(axis=1) for k in range(0, len(odd), step)]).reshape(m.bands, m.rows)
         name = np.arange(m.bands, dtype=np.uint64)
         for j in range(m.rows):
             name = mix(name * _SALT + low[:, j])
