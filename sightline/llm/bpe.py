@@ -18,8 +18,29 @@ from sightline.llm.common import sliced
 #: White space as the tokenizer's normalizer and splitter see it.
 BLANK = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = regex.compile(f"[^{BLANK}]+")
-#: Entries of a cache of encoded words in a worker; beyond, the older half goes.
-CACHE = 300_000
+#: Entries of a cache of encoded words in a worker, and of one of their pieces; beyond, the older half goes.
+CACHE = 800_000
+
+
+class Recent:
+    """A cache of bounded size: when a generation is full, the one before it is dropped."""
+
+    def __init__(self, make, entries: int = CACHE, longest: int = 64):
+        self.make, self.half, self.longest = make, entries // 2, longest
+        self.new: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def __call__(self, key: str):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = self.make(key)
+            if len(key) <= self.longest:
+                if len(self.new) >= self.half:
+                    self.old, self.new = self.new, {}
+                self.new[key] = found
+        return found
 
 
 def byte_letters() -> list[str]:
@@ -118,8 +139,7 @@ class Encoder:
     def __init__(self, tokenizer: Tokenizer, window: int | None = None):
         self.t = tokenizer
         self.window = max(window or 4 * tokenizer.lookahead, tokenizer.lookahead + 64)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces, self.cached = Recent(self.piece), Recent(self.chunk)
 
     def stream(self, symbols: Iterator[str]) -> Iterator[int]:
         """Ids of one word, each as soon as no further symbol can change it. A token is final if it ends `lookahead` symbols before the last one
@@ -153,19 +173,7 @@ class Encoder:
         """Ids of what stands between blanks, as little-endian 32-bit integers."""
         text = unicodedata.normalize("NFC", chunk)
         text = text.lower() if text.isascii() else "".join([c.lower() for c in text])
-        return np.array([i for p in self.t.pieces.findall(text) for i in self.piece(p)], "<u4").tobytes()
-
-    def cached(self, chunk: str) -> bytes:
-        found = self.cache.get(chunk)
-        if found is None:
-            found = self.older.get(chunk)
-            if found is None:
-                found = self.chunk(chunk)
-            if len(chunk) <= 64:
-                self.cache[chunk] = found
-                if len(self.cache) > CACHE // 2:
-                    self.older, self.cache = self.cache, {}
-        return found
+        return np.array([i for p in self.t.pieces.findall(text) for i in self.pieces(p)], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text. Added tokens in it count as themselves; the rest is normalized, and parted at blanks, which no piece crosses."""
