@@ -1,0 +1,351 @@
+"""Each operator against brute force, an exact round trip or held-out accuracy, and on odd rows."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from sightline.llm import bpe, chat, decontam, jaccard, langid, quality_gbt, quality_rules, queries, secret_scan, sharding, toxicity
+from sightline.llm.common import Words, gram_counts, ngram_hash, utf8
+
+DATA = Path("/root/testdata/sf0.01")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, shard int, h string, sig bigint, n bigint"
+LONG = " ".join(f"word{i % 700} and more" for i in range(30_000))
+ODD = [None, "", "   \n ", "one", "two words", "The same text of seven words here", "The same text of seven words here", LONG, "émigré naïve ŒUVRE 東京 " * 5, "x" * 5000, "<|endoftext|> <|im_start|> \\ <|", "1234 5678 !!"]
+
+
+def frame(spark, texts, ids=None):
+    rows = [(i, t, "en", "s", len(t or ""), 0.5, 1, "h", 2, 3) for i, t in zip(ids or range(len(texts)), texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, a null id, repeated rows, and extra columns named as operators name theirs."""
+    return frame(spark, [*ODD, "repeated row of text", "repeated row of text", "no id"], [*range(len(ODD)), 50, 50, None]).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, (i + 1) % 2, "x") for i in range(5, 12)] + [(5, None, None, "y"), (None, 1, 1, "z")], "doc_id bigint, quality int, toxic int, extra string")
+
+
+def empty(df):
+    return df.where("false")
+
+
+# 1
+
+
+def test_chat_picks_the_best_branch_and_round_trips(spark):
+    rows = [("t", 1, None, "user", "a\\n<|im_end|>\n", 1.0), ("t", 2, 1, "assistant", "b <|im_start|>", 1.0), ("t", 3, 1, "assistant", None, 5.0), ("t", 4, 3, "us\ner\\n", "d\\", 0.5), ("t", 5, 3, "user", "e", 0.5)]
+    rows += [("loop", 1, 2, "user", "x", 1.0), ("loop", 2, 1, "user", "y", 1.0), ("orphan", 1, 9, "user", "z", 1.0)]
+    m = spark.createDataFrame(rows, "tree string, node bigint, parent bigint, role string, text string, score double").withColumn("depth", F.lit(7))
+    told = chat.format_trees(m, top=2)
+    found = told.select("tree", "leaf", "branch", "branch_score", chat.parse(F.col("formatted")).alias("turns"), chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss")).orderBy("branch").collect()
+    assert [(r.tree, r.leaf, r.branch, r.branch_score) for r in found] == [("t", 4, 1, 6.5), ("t", 5, 2, 6.5)]
+    assert [tuple(t) for t in found[0].turns] == [("user", "a\\n<|im_end|>\n"), ("assistant", ""), ("us\ner\\n", "d\\")]
+    assert found[0].loss == ""
+    assert chat.format_trees(empty(m)).count() == 0
+
+
+def test_chat_orders_ties_and_nulls(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, "assistant", None), (None, 0, "user", "lost"), (2, 1, None, "x")]
+    c = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    told = chat.format_trees(chat.as_trees(c)).select("tree", chat.parse(F.col("formatted")).alias("t")).collect()
+    assert {r.tree: [tuple(t) for t in r.t] for r in told} == {"c1": [("user", "a"), ("user", "b"), ("assistant", "")], "none": [("user", "lost")], "c2": [("", "x")]}
+
+
+# 2
+
+
+def test_language_on_odd_rows(odd):
+    found = {r.doc_id: r for r in langid.identify_documents(odd).collect()}
+    assert len(found) == len(ODD) + 2
+    assert [found[i].lang_pred for i in (0, 1, 2, 11)] == ["und"] * 4 and found[0].score == 0
+    assert found[5].lang_pred == "en"
+    assert langid.identify_documents(empty(odd)).count() == 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_language_held_out(spark):
+    found = queries.op2_language_id(spark, str(DATA)).join(queries.table(spark, str(DATA), "documents").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
+    assert found.where("lang_pred = lang").count() >= 0.97 * found.count()
+
+
+# 3
+
+
+def test_bpe_equals_the_library(odd, spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.tokenizer_path()
+    theirs = tokenizers.Tokenizer.from_file(path)
+    for r in bpe.encode_documents(odd, path).collect():
+        ids = theirs.encode(r.text or "", add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
+        assert r.decoded == theirs.decode(ids, skip_special_tokens=False)
+    assert bpe.encode_documents(empty(odd), path).count() == 0
+
+
+def test_bpe_windows_and_fuzz():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.tokenizer_path()
+    theirs, t = tokenizers.Tokenizer.from_file(path), bpe.Tokenizer(path)
+    encoder, rng = bpe.Encoder(t, t.lookahead + 80), random.Random(4)
+    for letters in ("a", "aeh", "thineras"):
+        for n in (1, 200, 2500):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            assert encoder.piece(word) == theirs.encode(word, add_special_tokens=False).ids
+    signs = [chr(c) for c in [*range(0, 0x180), 0x3A3, 0x130, 0x2028, 0x301, 0x85, 0xA0, 0x3000, 0x1F600]] + ["<|endoftext|>", "'s", "'LL", "<|"]
+    for _ in range(1500):
+        s = "".join(rng.choice(signs) for _ in range(rng.randrange(25)))
+        assert np.frombuffer(encoder.encode(s), "<u4").tolist() == theirs.encode(s, add_special_tokens=False).ids, s
+    ids = np.frombuffer(encoder.encode("Naïve 東京 cafés"), "<u4").tolist()
+    assert "".join(bpe.Decoder(t).words(iter(ids))) == "naïve 東京 cafés "
+
+
+# 4
+
+
+def plain_words(text):
+    return [w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()]
+
+
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(60)]
+    items = [" ".join(rng.choice(words) for _ in range(n)) for n in (3, 5, 9, 20, 20, 40)] + [None, "", "ties ties ties ties ties ties"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(80))) for _ in range(30)]
+    for i in range(20):
+        own = rng.choice(items[1:6]).split()
+        own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(" ".join([*texts[i].split()[:20], *own, *texts[i].split()[20:]]))
+    texts += [items[0].upper(), items[0] + " more", items[-1], items[3]]
+
+    def sets(t):
+        w = plain_words(t)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    expected = {(d, i): len(sets(t) & sets(x)) for d, t in enumerate(texts) for i, x in enumerate(items) if sets(x) and 10 * len(sets(t) & sets(x)) >= 8 * len(sets(x))}
+    docs, bench = frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r.n_shared for r in decontam.contained_items(docs, bench).collect()}
+    assert found == expected and expected
+    kept = {r.doc_id for r in decontam.decontaminate(docs, bench).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in expected}
+
+
+def test_containment_on_odd_rows(odd, spark):
+    bench = spark.createDataFrame([(1, "the same text of seven words here"), (2, None), (3, "no id")], "item_id bigint, text string")
+    assert sorted((r.doc_id is None, r.doc_id, r.item_id) for r in decontam.contained_items(odd, bench).collect() if r.doc_id is not None) == [(False, 5, 1), (False, 6, 1)]
+    assert decontam.decontaminate(odd, bench).where("doc_id is null").count() == 0
+    assert decontam.contained_items(empty(odd), bench).count() == 0 and decontam.contained_items(odd, empty(bench)).count() == 0
+    assert decontam.decontaminate(odd, bench).columns == odd.columns
+
+
+# 5
+
+
+def brute_components(texts, width, num, den):
+    lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for t in texts:
+        w = (t or "").encode().translate(lower).split()
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []))
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and den * both >= num * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    return [(len(s), c) for s, c in zip(sets, label)]
+
+
+def near_copies(rng, n):
+    texts = []
+    for _ in range(n):
+        base = [f"v{rng.randrange(400)}" for _ in range(rng.choice([3, 4, 12, 40, 90, 300]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                copy[rng.randrange(len(copy))] = f"u{rng.randrange(9999)}"
+            texts.append(" ".join(copy).upper() if rng.random() < 0.3 else " ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("measure", [jaccard.Measure(), jaccard.Measure(width=5, num=8, den=10, bands=48)])
+def test_components_equal_brute_force(spark, measure):
+    texts = near_copies(random.Random(measure.width), 60) + [None, "", " \n", "one", "ONE", "two words", "a b c", "a b c d"]
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(frame(spark, texts), measure).collect())
+    assert [(n, c) for _, n, c in found] == brute_components(texts, measure.width, measure.num, measure.den)
+
+
+def test_components_in_many_small_tasks(spark, monkeypatch):
+    """Groups larger than a task are cut into parts that all meet."""
+    monkeypatch.setattr(jaccard, "TASK", 600)
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(100)]
+    texts = []
+    for _ in range(40):
+        copy = list(base) + [f"x{rng.randrange(3)}"] * rng.randrange(9)
+        copy[rng.randrange(100)] = f"u{rng.randrange(99)}"
+        texts.append(" ".join(copy))
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(frame(spark, texts)).collect())
+    assert [(n, c) for _, n, c in found] == brute_components(texts, 3, 9, 10)
+
+
+def test_linked_sets_share_a_signature():
+    rng, m = np.random.default_rng(1), jaccard.Measure()
+    tried = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 500))
+        pool = rng.integers(0, 1 << 63, 2 * n + 80).astype(np.uint64)
+        gone, new = int(rng.integers(0, n // 9 + 2)), int(rng.integers(0, n // 9 + 2))
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[min(gone, n - 1) : n], pool[n : n + new]]))
+        both = len(np.intersect1d(a, b))
+        if 10 * both >= 9 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+            tried += 1
+            row, sig = jaccard.signatures([a, b], m)
+            assert set(sig[row == 0]) & set(sig[row == 1])
+            assert len(jaccard.spanning_links([a, b], np.zeros(2, int), m)) == 1
+    assert tried > 50
+
+
+def test_components_on_odd_rows(odd):
+    found = {r.doc_id: r for r in jaccard.components(odd).collect()}
+    assert found[6].component_id == 5 and found[0].n_shingles == 0 and found[0].component_id == 0
+    assert found[50].component_id == 50 and found[None].component_id is None
+    assert jaccard.components(empty(odd)).count() == 0
+    assert jaccard.distinct_documents(odd, jaccard.Measure()).columns == odd.columns
+
+
+# 6 and 9
+
+
+def test_classifiers_on_odd_rows(odd, labels):
+    for run in (toxicity.score_documents, quality_gbt.classify_documents):
+        rows = run(odd, labels).collect()
+        assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
+        assert len({r.score for r in rows if r.doc_id == 50}) == 1
+        assert run(empty(odd), labels).count() == 0
+        assert run(odd, empty(labels)).count() == odd.count()
+    assert quality_gbt.good_documents(odd, labels).columns == odd.columns
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_quality_held_out(spark):
+    found = queries.op9_quality_classifier(spark, str(DATA)).join(queries.table(spark, str(DATA), "labels"), "doc_id").where("held_out")
+    assert found.where("predicted = quality").count() >= 0.93 * found.count()
+
+
+def test_machine_learns_a_pair_that_is_bad_together():
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for _ in range(1500):
+        a, b = rng.random(2) < 0.5
+        rows.append(np.unique(np.array([7] * a + [9] * b + list(rng.integers(100, 140, 5)), np.int32)))
+        y.append(float(a and b))
+    m = toxicity.fit(rows, np.array(y), epochs=30)
+    alone = max(m.score(np.array([7], np.int32)), m.score(np.array([9], np.int32)))
+    assert m.score(np.array([7, 9], np.int32)) > 0.5 > alone
+
+
+def test_trees_fit_a_step():
+    x = np.random.default_rng(0).random((2000, 3))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] < 0.3)).astype(float)
+    assert ((quality_gbt.boost(x, y).score(x) > 0.5) == y).mean() > 0.99
+
+
+# 7
+
+
+def test_sharding_law(spark, odd):
+    docs = frame(spark, [f"text {i}" for i in range(3000)])
+    rows = sharding.shard_documents(docs).collect()
+    assert sorted(r.size for r in rows) == sorted(len(f"text {i}") + 1 for i in range(3000))
+    assert all(r.text_crc32 == zlib.crc32(f"text {r.doc_id}".encode()) for r in rows)
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 8)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(8))
+    assert 250 < sum(r.grown_shard == 8 for r in rows) < 420
+    grown = {r.doc_id: r.shard for r in sharding.shard_documents(docs, shards=9).collect()}
+    assert all(grown[r.doc_id] == r.grown_shard for r in rows)
+    heavy = Counter(r.shard for r in sharding.shard_documents(docs, shards=2, weights=[3.0, 1.0]).collect())
+    assert 2100 < heavy[0] < 2400
+    rows = sharding.shard_documents(odd).collect()
+    assert len(rows) == odd.count() and {(r.doc_id, r.size) for r in rows} >= {(0, 1), (1, 1)}
+    assert sharding.shard_documents(empty(odd)).count() == 0
+
+
+# 8
+
+
+def test_secrets_are_found_and_masked(spark, odd):
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    key = hashlib.sha1(b"k").hexdigest()
+    texts = [f'ntha token = "{key}" thhan', f"commit {key} in main", f"see https://www.example.com/a/b/{key[:20]}/index.html", f"API_KEY: AKIA{'Q7' * 8}", "call 4151891120517744", None, ""]
+    found = {(r.doc_id, r.is_secret) for r in secret_scan.scan(frame(spark, texts), forest).collect()}
+    assert (0, True) in found and (1, False) in found and (3, True) in found and (4, False) in found and (2, True) not in found
+    masked = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redact(frame(spark, texts), forest).collect()}
+    assert masked[0] == ('ntha token = "[SECRET]" thhan', 29) and masked[1][0] == texts[1] and masked[5] == (None, 0)
+    assert secret_scan.redact(odd, forest).count() == odd.count() and secret_scan.redact(odd, forest).columns == odd.columns
+    assert secret_scan.scan(empty(odd), forest).count() == 0
+
+
+# 10
+
+
+def brute_counts(text):
+    words = (text or "").encode().split()
+    windows = defaultdict(list)
+    for i in range(len(words) - 4):
+        windows[tuple(words[i : i + 5])].append(i)
+    hit = {i + j for at in windows.values() if len(at) > 1 for i in at for j in range(5)}
+    lines = [x for x in (text or "").encode().split(b"\n") if x.split()]
+    return len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit)
+
+
+def test_rules_equal_brute_force(odd, labels):
+    rng = random.Random(6)
+    texts = [*ODD, "a b c d e f\na b c d e f\n\x0b\n \n# x", *(" ".join(rng.choice("ab") for _ in range(30)) for _ in range(20)), "tab\tform\x0cfeed\x1cno break\x85here\n" * 3]
+    counts = quality_rules.base_counts(pa.array(texts))
+    assert list(zip(*(counts[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))) == [brute_counts(t) for t in texts]
+    rows = quality_rules.judge_documents(odd, labels).collect()
+    assert len(rows) == odd.count()
+    for r in rows:
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD)
+    assert quality_rules.judge_documents(empty(odd), labels).count() == 0
+
+
+def test_ratio_counts_all_texts(spark):
+    docs = frame(spark, ["aaaa bbbb", "aaaa cccc", None])
+    weights = quality_rules.ratio(docs, docs.where("doc_id = 0").select("doc_id"))
+    points = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    count = lambda t: gram_counts(points(t), quality_rules.ORDERS, quality_rules.BITS) + 0.0
+    good, raw = count("aaaa bbbb"), count("aaaa bbbb") + count("aaaa cccc")
+    share = lambda x: np.log((x + 1) / (x.sum() + len(x)))
+    assert np.allclose(weights, share(good) - share(raw))
+
+
+# helpers
+
+
+def test_words_and_pieces():
+    texts = ["Ab c\td\n", "", "xé\x85y  z", None, " ", "ab"]
+    data, offsets = utf8(pa.array(texts))
+    w = Words(data, offsets, lower=True)
+    found = [[bytes(data[a:b]) for a, b in zip(w.first[x:y], w.last[x:y])] for x, y in zip(w.at[:-1], w.at[1:])]
+    assert found == [(t or "").encode().split() for t in texts]
+    assert w.hash[0] == w.hash[-1] and len(ngram_hash(w.hash, 3)) == len(w.hash) - 2
+    points = np.random.default_rng(0).integers(32, 99, 5000).astype(np.uint32)
+    assert (gram_counts(points, (1, 2, 3), 12, piece=700) == gram_counts(points, (1, 2, 3), 12)).all()
