@@ -250,7 +250,7 @@ def test_machine_learns_a_pair_that_is_bad_together():
     rows, y = [], []
     for _ in range(1500):
         a, b = rng.random(2) < 0.5
-        rows.append(np.unique(np.array([7] * a + [9] * b + list(rng.integers(100, 140, 5)), np.int32)))
+        rows.append(np.unique(np.array([7] * int(a) + [9] * int(b) + list(rng.integers(100, 140, 5)), np.int32)))
         y.append(float(a and b))
     m = toxicity.fit(rows, np.array(y), epochs=30)
     alone = max(m.score(np.array([7], np.int32)), m.score(np.array([9], np.int32)))
