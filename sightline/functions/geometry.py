@@ -79,7 +79,7 @@ def to_wgs84(east: Column, north: Column) -> tuple[Column, Column]:
     ep = e / (1 - e)
     e1 = (1 - math.sqrt(1 - e)) / (1 + math.sqrt(1 - e))
     mu = ((north - NORTH0) / SCALE + _arc(LAT0)) / (A * (1 - e / 4 - 3 * e**2 / 64 - 5 * e**3 / 256))
-    foot = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu)
+    foot = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu) + 1097 * e1**4 / 512 * F.sin(8 * mu)
     sin2 = F.pow(F.sin(foot), 2.0)
     c, t = ep * F.pow(F.cos(foot), 2.0), F.pow(F.tan(foot), 2.0)
     n = A / F.sqrt(1 - e * sin2)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.functions import ids, vectors
+from sightline.functions import geometry, ids, vectors
 from sightline.operators import associations, feature, global_tracks, indexes, motion, rangejoin, tracks, windows, zones
 from sightline.operators.components import connected_components
 from sightline.sources.views import SQL_AREAS, SQL_FEATURES, SQL_LINKS, SQL_TRACKS, SQL_ZONES, Tables
@@ -550,7 +550,24 @@ def isolated_tracks(t):
     return global_tracks.isolated(enriched_of(t).where("not associated"), HOUR)
 
 
-@query()
+def _sql_degrees() -> str:
+    """CTEs from p(association, e, n, ts) to d(association, lon, lat, ts), by the formulas of the projection."""
+    e = geometry.FLAT * (2 - geometry.FLAT)
+    e1 = (1 - (1 - e) ** 0.5) / (1 + (1 - e) ** 0.5)
+    mu = f"((n - {geometry.NORTH0}) + {geometry._arc(geometry.LAT0)!r}) / {geometry.A * (1 - e / 4 - 3 * e**2 / 64 - 5 * e**3 / 256)!r}"
+    foot = f"mu + {3 * e1 / 2 - 27 * e1**3 / 32!r} * sin(2 * mu) + {21 * e1**2 / 16 - 55 * e1**4 / 32!r} * sin(4 * mu) + {151 * e1**3 / 96!r} * sin(6 * mu) + {1097 * e1**4 / 512!r} * sin(8 * mu)"
+    ep = e / (1 - e)
+    return f"""m as (select *, {mu} as mu from p), f as (select *, {foot} as foot from m),
+g as (select *, {ep!r} * pow(cos(foot), 2) as c, pow(tan(foot), 2) as t, {geometry.A!r} / sqrt(1 - {e!r} * pow(sin(foot), 2)) as v, {geometry.A * (1 - e)!r} / pow(1 - {e!r} * pow(sin(foot), 2), 1.5) as r from f),
+h as (select *, (e - {geometry.EAST0}) / v as q from g),
+d as (select association, ts, degrees({geometry.LON0!r} + (q - (1 + 2 * t + c) * pow(q, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * {ep!r} + 24 * t * t) * pow(q, 5) / 120) / cos(foot)) as lon,
+  degrees(foot - v * tan(foot) / r * (q * q / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * {ep!r}) * pow(q, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * {ep!r} - 3 * c * c) * pow(q, 6) / 720)) as lat from h)"""
+
+
+@query(f"""with {SQL_GLOBAL}, l as (select association, max_by({{'x': x, 'y': y, 'ts': ts}}, {{'a': ts, 'b': seq}}) as p from enriched where not is_deleted group by association),
+p as (select association, 200000 + p.x * 10 as e, 600000 + p.y * 10 as n, p.ts as ts from l), {_sql_degrees()}
+select association, round(lon, 7) as lon, round(lat, 7) as lat, strftime(make_timestamp(ts * 1000), '%Y-%m-%d %H:%M:%S.%g') as stamp,
+  printf('MPOINT((%.7f %.7f) %s)', round(lon, 7), round(lat, 7), strftime(make_timestamp(ts * 1000), '%Y-%m-%d %H:%M:%S.%g')) as moving_point from d""")
 def trajectories_latest(t):
     return global_tracks.trajectories(enriched_of(t), "association", 200000 + F.col("x") * 10, 600000 + F.col("y") * 10)
 
@@ -640,3 +657,83 @@ def json_points(t):
     wire = t.read("events").select("event_id", F.to_json(F.array(F.col("value"), F.get_json_object("props", "$.k").cast("double"))).alias("point"))
     p = F.from_json("point", "array<double>")
     return wire.select("event_id", F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))
+
+
+@query("""select event_id, list_extract(string_split(kv, '='), 1) as key, cast(list_extract(string_split(kv, '='), 2) as bigint) as value
+from (select event_id, 'k=' || regexp_extract(props, '([0-9]+)', 1) as kv from events)""")
+def json_key_values(t):
+    wire = t.read("events").select("event_id", F.to_json(F.array(F.struct(F.lit("k").alias("key"), F.get_json_object("props", "$.k").cast("bigint").alias("value")))).alias("kv"))
+    return wire.select("event_id", F.inline(F.from_json("kv", "array<struct<key: string, value: bigint>>")))
+
+
+# Order and delay
+
+
+@query(f"with {SQL_TRACKS} select node, track_id, seq, min(ts) over (partition by node order by ts range between {HOUR} following and unbounded following) as release_ts from node_tracks")
+def delay_release(t):
+    """When a delay line of an hour lets each event go in a batch: at the first event of its node that is an hour younger."""
+    later = Window.partitionBy("node").orderBy("ts").rangeBetween(HOUR, Window.unboundedFollowing)
+    return t.node_tracks.select("node", "track_id", "seq", F.min("ts").over(later).alias("release_ts"))
+
+
+@query(f"""with {SQL_GATED}, w as (select *, (ts // {12 * HOUR}) * {12 * HOUR} as w_begin from gated where area is not null and not is_deleted),
+p as (select node, track_id, w_begin, list(x order by ts, seq) as xs from w group by all)
+select node, track_id, w_begin, i as at, round(list_sum(xs[i:i + 2]), 6) as total from p, range(1, 200) r(i) where i + 2 <= len(xs)""")
+def path_buffer(t):
+    """Full windows of three points over each path."""
+    gated = tracks.distance_gate(t.node_tracks, t.area_nodes).where("area is not null")
+    paths = motion.window_paths(gated, 12 * HOUR, 12 * HOUR)
+    at = F.explode(F.when(F.size("path") >= 3, F.sequence(F.lit(1).cast("long"), F.size("path").cast("long") - 2)))
+    slices = paths.select("node", "track_id", "w_begin", "path", at.alias("at"))
+    total = F.aggregate(F.slice("path", F.col("at").cast("int"), F.lit(3)), F.lit(0.0), lambda s, p: s + p["x"])
+    return slices.select("node", "track_id", "w_begin", "at", F.round(total, 6).alias("total"))
+
+
+# Association tables
+
+
+@query(f"""with {SQL_EDGES}, h as (select *, max(score) over (partition by left_id, right_id order by w_begin rows between unbounded preceding and 1 preceding) as before from scored)
+select left_id, right_id, w_begin, score from h where before is null or score > before""")
+def edge_history(t):
+    """Edges as a stream gives them out: each pair's first, then those that score higher than all before."""
+    gated = tracks.distance_gate(t.node_tracks, t.area_nodes).where("area is not null")
+    scored = motion.scored_pairs(motion.path_pairs(motion.window_paths(gated, SIZE, ADVANCE), t.area_pairs), MOST)
+    before = F.max("score").over(Window.partitionBy("left_id", "right_id").orderBy("w_begin").rowsBetween(Window.unboundedPreceding, -1))
+    return scored.withColumn("before", before).where("before is null or score > before").select("left_id", "right_id", "w_begin", "score")
+
+
+@query(f"with {SQL_FEW} select t as tracklet, count(*) as n_edges, max(score) as best from (select unnest([left_id, right_id]) as t, score from few) group by t")
+def assoc_adjacency(t):
+    ends = _few(t).select(F.explode(F.array("left_id", "right_id")).alias("tracklet"), "score")
+    return ends.groupBy("tracklet").agg(F.count("*").alias("n_edges"), F.max("score").alias("best"))
+
+
+@query(f"""with recursive {SQL_COMPONENTS}, s as (select c.component, f.* from few f join component c on f.left_id = c.id),
+a as (select component, round(avg(score), 6) as score, min(first_ts) as first_ts from s group by component)
+select c.id as tracklet, c.component as association, a.score, a.first_ts from component c join a using (component)""")
+def assoc_lookup(t):
+    """Tracklets joined with the associations that they belong to."""
+    tied = _components(t)
+    found = associations.summary(tied, "component").select(F.col("component").alias("association"), "score", "first_ts")
+    members = connected_components(_few(t), "left_id", "right_id").select(F.col("id").alias("tracklet"), F.col("component").alias("association"))
+    return members.join(found, "association")
+
+
+@query(f"""with recursive {SQL_COMPONENTS}, gone as (select min(left_id) as t from few), s as (select c.component, f.* from few f join component c on f.left_id = c.id, gone where f.left_id <> t and f.right_id <> t)
+select component, round(avg(score), 6) as score, count(*) as n from s group by component""")
+def assoc_remove_tracklet(t):
+    """Associations once the first tracklet is taken out of them."""
+    tied = _components(t)
+    gone = F.broadcast(tied.agg(F.min("left_id").alias("gone")))
+    rest = tied.crossJoin(gone).where((F.col("left_id") != F.col("gone")) & (F.col("right_id") != F.col("gone")))
+    sizes = rest.groupBy("component").agg(F.count("*").alias("n"))
+    return associations.summary(rest, "component").select("component", "score").join(sizes, "component")
+
+
+@query(f"""with {SQL_SCORES.replace('round(1 - list_sum', 'round(list_sum')} select session, candidate, score from scores""")
+def feature_pair_dot(t):
+    """As feature_pair_topk, with a score that is higher for vectors that are more alike."""
+    heads = t.track_features.select("track", "node").distinct()
+    pairs = heads.select(F.col("track").alias("session"), F.col("node").alias("n1"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("i")).withColumn("candidate", F.col("session") - F.col("i"))
+    pairs = pairs.join(heads.select(F.col("track").alias("candidate"), F.col("node").alias("n2")), "candidate").where("n1 <> n2")
+    return feature.pair_scores(pairs.select("session", "candidate"), feature.session_features(t.track_features), score="dot").select("session", "candidate", "score")
