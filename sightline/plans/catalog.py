@@ -669,11 +669,11 @@ def json_key_values(t):
 # Order and delay
 
 
-@query(f"with {SQL_TRACKS} select node, track_id, seq, min(ts) over (partition by node order by ts range between {HOUR} following and unbounded following) as release_ts from node_tracks")
+@query(f"with {SQL_TRACKS}, r as (select node, track_id, seq, min(ts) over (partition by node order by ts range between {HOUR} following and unbounded following) as release_ts from node_tracks) select * from r where release_ts is not null")
 def delay_release(t):
-    """When a delay line of an hour lets each event go in a batch: at the first event of its node that is an hour younger."""
+    """When a delay line of an hour lets each event go in a batch: at the first event of its node that is an hour younger. Events that are still held are left out."""
     later = Window.partitionBy("node").orderBy("ts").rangeBetween(HOUR, Window.unboundedFollowing)
-    return t.node_tracks.select("node", "track_id", "seq", F.min("ts").over(later).alias("release_ts"))
+    return t.node_tracks.select("node", "track_id", "seq", F.min("ts").over(later).alias("release_ts")).where("release_ts is not null")
 
 
 @query(f"""with {SQL_GATED}, w as (select *, (ts // {12 * HOUR}) * {12 * HOUR} as w_begin from gated where area is not null and not is_deleted),
