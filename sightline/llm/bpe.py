@@ -18,8 +18,8 @@ from sightline.llm.common import sliced
 #: White space as the tokenizer's normalizer and splitter see it.
 BLANK = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = regex.compile(f"[^{BLANK}]+")
-#: Entries of a cache of encoded words in a worker, and of one of their pieces; beyond, the older half goes.
-CACHE = 800_000
+#: Entries of a cache of encoded words in a worker, and of one of their pieces; beyond, the older half goes. About 200 bytes each.
+CACHE = 200_000
 
 
 class Recent:
