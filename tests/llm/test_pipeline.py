@@ -23,7 +23,9 @@ def test_stages_keep_columns_and_do_their_work(spark):
     assert kept[0] > kept[1] >= kept[2] >= kept[3] == kept[4] > 0
     labels = {r.doc_id: r.quality for r in queries.table(spark, str(DATA), "labels").collect()}
     left = {r.doc_id: r.text for r in docs.collect()}
-    assert sum(labels.get(i) == 0 for i in left) <= 3
+    # Some sixty labels are enough to find most bad documents; test_quality_held_out measures accuracy.
+    assert sum(labels.get(i) == 0 for i in left) <= 0.5 * sum(q == 0 for q in labels.values())
+    assert sum(labels.get(i) == 1 for i in left) >= 0.8 * sum(q == 1 for q in labels.values())
     words = {i: "".join(c if c.isalnum() else " " for c in t.lower()).split() for i, t in left.items()}
     for item in queries.table(spark, str(DATA), "benchmark").collect():
         w = "".join(c if c.isalnum() else " " for c in item.text.lower()).split()
