@@ -33,8 +33,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds n_tokens and ids (little-endian 32-bit integers)."""
-    return bpe.encode_documents(docs, tokenizer_path(), decode=False)
+    """Adds n_tokens, ids (little-endian 32-bit integers) and decoded_sha256 (of the text that the ids decode to)."""
+    return bpe.encode_documents(docs, tokenizer_path(), decode="decoded_sha256")
 
 
 STAGES = [(f.__name__, f) for f in (quality_classifier, ngram_jaccard_join, benchmark_decontamination, secret_scans, bpe_encoding)]

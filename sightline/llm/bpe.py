@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ BLANK = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = regex.compile(f"[^{BLANK}]+")
 #: Entries of a cache of encoded words in a worker, and of one of their pieces; beyond, the older half goes. About 200 bytes each.
 CACHE = 200_000
+#: Ids that are decoded at once.
+RUN = 4096
 
 
 class Recent:
@@ -189,8 +192,8 @@ class Encoder:
 class Decoder:
     """Ids to text, one at a time; the state is a few bytes.
 
-    The tokenizer file names no decoder, so its library joins the tokens with blanks: `plain`. `words` reads letters as bytes again, a word
-    end as a blank, and gives a character once its last byte has come; bytes that are not UTF-8 become U+FFFD.
+    The tokenizer file names no decoder, so its library joins the tokens with blanks: `plain`, and `joined` as ids come. `words` reads letters as
+    bytes again, a word end as a blank, and gives a character once its last byte has come; bytes that are not UTF-8 become U+FFFD.
     """
 
     def __init__(self, tokenizer: Tokenizer):
@@ -200,6 +203,27 @@ class Decoder:
     def plain(self, ids: np.ndarray) -> str:
         return " ".join(map(self.t.names.__getitem__, ids.tolist()))
 
+    def joined(self, runs: Iterable[np.ndarray]) -> Iterator[str]:
+        """The text of `plain`, from ids that come in runs of any length; the state is whether a token has come."""
+        begun = False
+        for ids in runs:
+            if len(ids):
+                yield " " * begun + self.plain(ids)
+                begun = True
+
+    def runs(self, ids: bytes) -> Iterator[np.ndarray]:
+        return (np.frombuffer(ids, "<u4", min(RUN, len(ids) // 4 - at), 4 * at) for at in range(0, len(ids) // 4, RUN))
+
+    def text(self, ids: bytes) -> str:
+        return "".join(self.joined(self.runs(ids)))
+
+    def digest(self, ids: bytes) -> str:
+        """sha256 of the text in UTF-8, of which one run's is held at a time."""
+        state = hashlib.sha256()
+        for part in self.joined(self.runs(ids)):
+            state.update(part.encode())
+        return state.hexdigest()
+
     def words(self, ids: Iterator[int]) -> Iterator[str]:
         state = codecs.getincrementaldecoder("utf-8")("replace")
         for i in ids:
@@ -224,24 +248,24 @@ def tools(path: str) -> tuple[Encoder, Decoder]:
     return _HELD[path]
 
 
-def encode_documents(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
-    """Encode every whole text: all columns, then `n_tokens`, `ids` (little-endian 32-bit integers) and, if asked for, `decoded`.
+def encode_documents(docs: DataFrame, path: str, decode: str = "decoded") -> DataFrame:
+    """Encode every whole text and decode its ids: all columns, then `n_tokens`, `ids` (little-endian 32-bit integers) and the column that
+    `decode` names: `decoded`, or `decoded_sha256` of its UTF-8 bytes.
 
     path: a tokenizer file that each worker can read. Null and empty texts have no ids and decode to the empty text. Repeated rows get equal
     results. Input columns of these names are replaced.
     """
-    added = ["n_tokens", "ids", *(["decoded"] if decode else [])]
+    added = ["n_tokens", "ids", decode]
     keep = [c for c in docs.columns if c not in added]
     chosen = docs.select(*keep)
 
     def encoded(batches):
         encoder, decoder = tools(path)
+        told = {"decoded": decoder.text, "decoded_sha256": decoder.digest}[decode]
         for batch in sliced(batches):
             ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
-            columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-            if decode:
-                columns.append(pa.array([decoder.plain(np.frombuffer(x, "<u4")) for x in ids], pa.string()))
+            columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(told, ids), pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*keep, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
-    return chosen.mapInArrow(encoded, f"{fields}, n_tokens bigint, ids binary" + ", decoded string" * decode)
+    return chosen.mapInArrow(encoded, f"{fields}, n_tokens bigint, ids binary, {decode} string")

@@ -1,12 +1,13 @@
 """The pipeline's stages against brute force on small tables."""
 
+import hashlib
 from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from sightline.llm import queries
+from sightline.llm import bpe, queries
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -37,3 +38,15 @@ def test_stages_keep_columns_and_do_their_work(spark):
     theirs = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
     for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(DATA)).collect():
         assert np.frombuffer(r.ids, "<u4").tolist() == theirs.encode(r.text, add_special_tokens=False).ids
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_last_stage_decodes_every_document(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    theirs = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    docs = queries.table(spark, str(DATA), "documents")
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, str(DATA)).collect()
+    assert len(rows) == docs.count() and max(r.n_tokens for r in rows) > bpe.RUN
+    for r in rows:
+        text = theirs.decode(np.frombuffer(r.ids, "<u4").tolist(), skip_special_tokens=False)
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
