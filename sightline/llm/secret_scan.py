@@ -14,8 +14,22 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import sliced
 
-#: A candidate: 16 or more characters that keys are made of, with a digit among them.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
+_NAME = r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|key|auth|credentials?)[A-Za-z0-9_.\-]{0,40}+[\"'`\])]{0,2}"
+#: What a candidate is; the group of each pattern, or else the whole match. Runs of characters that keys are made of; dotted tokens; values that are
+#: assigned to names of secrets, given to options of such names or sent as credentials, whatever their length or characters; private-key blocks.
+CANDIDATES = [
+    re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}"),
+    re.compile(r"(?<![A-Za-z0-9_.\-])[A-Za-z0-9_\-]{4,}+(?:\.[A-Za-z0-9_\-]{4,}+)+"),
+    re.compile(_NAME + r"[ \t]{0,4}(?::=|=>|={1,3}|:)[ \t]{0,4}(?=[\"'`])(?:\"((?:\\.|[^\"\\\n])++)\"|'((?:\\.|[^'\\\n])++)'|`((?:\\.|[^`\\\n])++)`|[\"'`]([^\s\"'`]++))"),
+    re.compile(_NAME + r"[ \t]{0,4}(?::=|=>|={1,3}|:)[ \t]{0,4}([^\s\"'`=:]\S*+(?<![,;]))"),
+    re.compile(r"--?(?i:[a-z\-]{0,20}(?:token|secret|passw(?:or)?d|passphrase|pwd|key|auth))[ \t]{1,4}[\"'`]?([^\s\"'`\-]\S*+(?<![\"'`,;]))"),
+    re.compile(r"(?i:bearer|basic)[ \t]{1,4}([A-Za-z0-9_.~+/\-]{6,}+=*+)"),
+    re.compile(r"://[^\s:/@]{0,64}:([^\s/@]{1,256})@"),
+    re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----(?P<all>)(?:(?:[^-]|-(?!----))*+-----END \1-----|(?:\s{0,4}[A-Za-z0-9+/=]{16,}+)*+)"),
+]
+#: Without one of these in lower case a text has no match of the pattern.
+_STEMS = ("token", "secret", "passw", "passphrase", "pwd", "key", "auth", "credential")
+NEEDLES = [("",), (".",), _STEMS, _STEMS, _STEMS, ("bearer", "basic"), ("://",), ("-----begin",)]
 AROUND = 48
 MASK = "[SECRET]"
 #: Findings that a forest is fitted on, at most.
@@ -28,7 +42,9 @@ _WORDS = re.compile(
     "project|repo|main|lib|common|table|column|order|date|time|key|api|the|and|with|from|this|that|http|www|com|org|net|html|page|page|news|post|blog|shop|article|report|part|line|item|list|type|class|method|object|string|number|result|error|message"
 )
 _LEFT_PATH = re.compile(r"(?:[/\\.]|https?:|www\.|@)$|https?://\S*$")
-FEATURES = 15
+_STRONG = re.compile(r"(?:secret|passw(?:or)?d|passphrase|pwd|credentials?|(?:api|access|private|secret|auth|client)[_\-. ]?(?:key|token))[A-Za-z0-9_.\-]*[\"'`\])]{0,2}\s*(?::=|=>|=+|:|\s)\s*[\"'`]?$", re.I)
+_SAID = re.compile(r"(?:[\"'`]?[$%<{\[]|(?:none|null|nil|true|false|undefined|required|optional|string|str|int|bytes|os\.|self\.|env|get|input|the|a|an|is|must|was|and|or|not|to|of|for|in|your|this|that)\b)", re.I)
+FEATURES = 20
 
 
 def features(before: str, found: str, after: str) -> list[float]:
@@ -57,6 +73,11 @@ def features(before: str, found: str, after: str) -> list[float]:
         float(bool(_TELLS.search(near))),
         float(bool(_HARMLESS.search(near)) or bool(_HARMLESS.match(after.lstrip(" \"')")))),
         float(bool(re.search(r"[=:]\s*[\"'`]?$", before))),
+        float(bool(_STRONG.search(near))),
+        float(before[-1:] in ('"', "'", "`")),
+        float(bool(_SAID.match(found))),
+        share["o"] - (found.count("-") + found.count("_") + found.count("/") + found.count(" ")) / n,
+        float(found.startswith("-----BEGIN ")) + 2.0 * bool(re.search(r"://[^\s/@]*:$", before) and after[:1] == "@"),
     ]
 
 
@@ -147,6 +168,45 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 5) -> Data
         else:
             row = rng.choice([" ", "call ", "order ", "isbn "]), pick(string.digits, rng.randint(16, 20)), ""
         rows.append((f"{lead} {row[0]}", row[1], f"{row[2]} {tail}", 0))
+    signs = "!@#$%^&*.:~?+"
+    for i in range(n):
+        lead, tail = " ".join(word() for _ in range(rng.randint(0, 6))), " ".join(word() for _ in range(rng.randint(0, 6)))
+        name = rng.choice(["password", "secret", "passwd", "passphrase", "pwd", "api_key", "client_secret", "access_token", "credential", "private_key", "DB_PASSWORD"])
+        sign, quote = rng.choice([" = ", "=", ": ", ":", " := "]), rng.choice(['"', "'", "", "`"])
+        if i % 2:
+            case = rng.randrange(7)
+            dotted = "eyJ" + pick(mixed, rng.randint(12, 30)) + "." + pick(mixed + "-_", rng.randint(20, 80)) + "." + pick(mixed + "-_", rng.randint(20, 43))
+            if case == 0:
+                row = f"{name}{sign}{quote}", pick(mixed + signs, rng.randint(5, 20)), quote
+            elif case == 1:
+                row = f"{name}{sign}{quote}", pick(string.ascii_letters, rng.randint(5, 40)), quote
+            elif case == 2:
+                row = f'{name}{sign}"', " ".join(word() for _ in range(rng.randint(3, 6))), '"'
+            elif case == 3:
+                row = f"{name}{sign}{quote}", word() + rng.choice(["", pick(string.digits, rng.randint(1, 4)), pick(signs, 1)]), quote
+            elif case == 4:
+                row = rng.choice([f"{name}{sign}{quote}", "Authorization: Bearer ", "token = ", "jwt ", " "]), dotted, quote
+            elif case == 5:
+                kind, body = rng.choice(["RSA ", "EC ", "OPENSSH ", ""]), "\n".join(pick(mixed + "+/", 64) for _ in range(rng.randint(2, 12)))
+                row = "", f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----", ""
+            else:
+                row = rng.choice([("Authorization: Bearer ", pick(string.ascii_letters, rng.randint(16, 48)), ""), (f"postgres://{word()}:", pick(mixed + "!$.~", rng.randint(4, 20)), "@db"), ("--password ", pick(mixed + signs, rng.randint(5, 16)), ""), ("token = '", pick(string.ascii_letters, rng.randint(16, 40)), "'")])
+            rows.append((f"{lead} {row[0]}", row[1], f"{row[2]} {tail}", 1))
+            continue
+        case = rng.randrange(6)
+        if case == 0:
+            row = " ", "".join(word() for _ in range(8))[: rng.randint(16, 40)], ""
+        elif case == 1:
+            row = rng.choice(["import ", "in ", "https://", "see www.", " "]), ".".join(rng.choice([word(), word().title(), f"{word()}_{word()}", f"{word()}-{word()}"]) + "ahen" for _ in range(rng.randint(2, 5))), rng.choice(["", "/", "("])
+        elif case == 2:
+            row = f"{name}{rng.choice([': ', ' = ', '='])}", rng.choice(["none", "null", "None", "true", "required", "string", "str", "the", "must", "your", "this", "os.environ", "self.value", "getpass()", "${PASSWORD}", "$SECRET", "<password>", "{{secret}}", "%s", "input()"]), ""
+        elif case == 3:
+            row = rng.choice(["key: ", "Key: ", "token: ", "tokens: ", "keyboard: ", "monkey: ", "author: ", "keys = ", "authors: ", "token = "]), word(), rng.choice(["", ",", "."])
+        elif case == 4:
+            row = rng.choice([" ", "in ", "./", "call "]), rng.choice(["/", "_", "-"]).join(word() for _ in range(rng.randint(4, 7))) + "ahen", ""
+        else:
+            row = rng.choice(["\n", " "]), rng.choice("-_+/") * rng.randint(16, 80), ""
+        rows.append((f"{lead} {row[0]}", row[1], f"{row[2]} {tail}", 0))
     return spark.createDataFrame(rows, "before string, found string, after string, label int")
 
 
@@ -158,9 +218,19 @@ def train(findings: DataFrame, bound: int = FINDINGS) -> Forest:
     return grow(x, y) if len(y) else Forest(np.zeros((1, 1), int), np.full((1, 1), np.inf), np.zeros((1, 2)), 1)
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Start and end of each distinct candidate. One can lie in another: a key in a longer value that may not be a secret as a whole."""
+    lower, found = text.lower(), set()
+    for pattern, needles in zip(CANDIDATES, NEEDLES):
+        if any(x in lower for x in needles):
+            whole = "all" in pattern.groupindex or not pattern.groups
+            found.update(m.span(0 if whole else m.lastindex) for m in pattern.finditer(text))
+    return sorted(found)
+
+
 def find(texts: list[str | None], forest: Forest) -> list[list[tuple[int, int, float]]]:
     """Candidates of each whole text: start, end, score."""
-    spans = [[m.span() for m in CANDIDATE.finditer(t)] if t else [] for t in texts]
+    spans = [candidates(t) if t else [] for t in texts]
     x = [features(t[max(0, a - AROUND) : a], t[a:b], t[b : b + AROUND]) for t, s in zip(texts, spans) for a, b in s]
     scores = iter(forest.score(np.array(x)).tolist() if x else [])
     return [[(a, b, next(scores)) for a, b in s] for s in spans]
@@ -169,6 +239,7 @@ def find(texts: list[str | None], forest: Forest) -> list[list[tuple[int, int, f
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
     """Candidates in every whole text: doc_id, start, end (code points), finding, score, is_secret (score from `threshold` on).
 
+    A key that is not as in CANDIDATES is not seen: one of under 16 characters, or with other characters, that no name or option tells of.
     Null and empty texts hold none. Repeated rows give repeated findings. Other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(forest)
@@ -194,7 +265,11 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame
         for batch in sliced(batches):
             texts, changed = batch.column("text").to_pylist(), {}
             for i, found in enumerate(find(texts, held.value)):
-                secrets = [(a, b) for a, b, s in found if s >= threshold]
+                secrets: list[tuple[int, int]] = []
+                for a, b in ((a, b) for a, b, s in found if s >= threshold):
+                    if secrets and a < secrets[-1][1]:
+                        a, b = secrets[-1][0], max(b, secrets.pop()[1])
+                    secrets.append((a, b))
                 if secrets:
                     edges = [0, *(x for span in secrets for x in span), len(texts[i])]
                     changed[i] = MASK.join(texts[i][a:b] for a, b in zip(edges[::2], edges[1::2]))
