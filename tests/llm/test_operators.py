@@ -110,6 +110,16 @@ def test_bpe_windows_and_fuzz():
     assert "".join(bpe.Decoder(t).words(iter(ids))) == "naïve 東京 cafés "
 
 
+def test_decoding_by_runs_equals_the_library(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    theirs, t = tokenizers.Tokenizer.from_file(queries.tokenizer_path()), bpe.Tokenizer(queries.tokenizer_path())
+    monkeypatch.setattr(bpe, "RUN", 3)
+    for text in ("", "one", "émigré naïve 東京 <|endoftext|> " * 4):
+        ids = bpe.Encoder(t).encode(text)
+        told = theirs.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+        assert bpe.Decoder(t).text(ids) == told and bpe.Decoder(t).digest(ids) == hashlib.sha256(told.encode()).hexdigest()
+
+
 # 4
 
 
