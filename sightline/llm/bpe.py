@@ -5,8 +5,11 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
+import itertools
 import json
+import struct
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,31 +21,35 @@ from sightline.llm.common import sliced
 
 #: White space as the tokenizer's normalizer and splitter see it.
 BLANK = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_CHUNK = regex.compile(f"[^{BLANK}]+")
-#: Entries of a cache of encoded words in a worker, and of one of their pieces; beyond, the older half goes. About 200 bytes each.
-CACHE = 200_000
+_FIRST_BLANK, _LAST_BLANK = regex.compile(f"[{BLANK}]"), regex.compile(f"(?r)[{BLANK}]")
+#: Encoded pieces that a worker keeps, of 64 characters at most; beyond, the older half goes. About 200 bytes each.
+CACHE = 400_000
 #: Ids that are decoded at once.
 RUN = 4096
+#: A piece that begins so near to what has been read may be another one once more is read, unless it is a run: longer than any fixed piece.
+UNSURE = 16
+#: Bits of a symbol's number in a packed pair, and a place in the merge list that is behind all.
+SHIFT = 20
+MASK, NEVER = (1 << SHIFT) - 1, 1 << 60
+#: Windows of so many symbols are searched for the next merge from end to end; longer ones keep a heap.
+SHORT = 64
 
 
-class Recent:
-    """A cache of bounded size: when a generation is full, the one before it is dropped."""
+class Recent(dict):
+    """A cache of bounded size: when a generation is full, the one before it is dropped. Long keys are made anew each time."""
 
     def __init__(self, make, entries: int = CACHE, longest: int = 64):
-        self.make, self.half, self.longest = make, entries // 2, longest
-        self.new: dict[str, object] = {}
-        self.old: dict[str, object] = {}
+        self.make, self.half, self.longest, self.old = make, entries // 2, longest, {}
 
-    def __call__(self, key: str):
-        found = self.new.get(key)
+    def __missing__(self, key: str):
+        found = self.old.get(key)
         if found is None:
-            found = self.old.get(key)
-            if found is None:
-                found = self.make(key)
-            if len(key) <= self.longest:
-                if len(self.new) >= self.half:
-                    self.old, self.new = self.new, {}
-                self.new[key] = found
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
         return found
 
 
@@ -54,7 +61,11 @@ def byte_letters() -> list[str]:
 
 
 class Tokenizer:
-    """What a tokenizer file says: vocabulary, merges, word end, pre-tokenization and added tokens."""
+    """What a tokenizer file says: vocabulary, merges, word end, pre-tokenization and added tokens.
+
+    Symbols and tokens are numbers: those of the vocabulary by their ids, others after them. pairs: two symbols, packed, to the merge's place in
+    the list and the number of the token that it makes, packed.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -69,11 +80,18 @@ class Tokenizer:
             self.merges[a, b] = (rank, a + b)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"\s", BLANK))
+        #: The alternatives of the pattern that are runs of any length.
+        self.runs = [regex.compile(r.replace(r"\s", BLANK)) for r in regex.findall(r"\[(?:\\.|[^\]\\])*\]\+", pattern)]
         self.letters = byte_letters()
-        self.shown = dict(enumerate(self.letters))
         self.lookahead = lookahead(self.merges, self.end)
         parts = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, parts))) if parts else None
+        number = dict(self.vocab)
+        self.known = max(number.values(), default=-1) + 1
+        of = lambda token: number.setdefault(token, self.known + len(number))
+        self.inside, self.last = [of(c) for c in self.letters], [of(c + self.end) for c in self.letters]
+        self.pairs = {of(a) << SHIFT | of(b): rank << SHIFT | of(both) for (a, b), (rank, both) in self.merges.items()}
+        self.size = {i: symbols_of(t, self.end) for t, i in number.items()}
 
 
 def symbols_of(token: str, end: str) -> int:
@@ -99,143 +117,196 @@ def lookahead(merges: dict[tuple[str, str], tuple[int, str]], end: str) -> int:
     return max((far.get(s, 0) for s in base), default=0) + 1
 
 
-def merge_window(symbols: list[str], merges: dict) -> list[str]:
+def merge_window(symbols: list[int], pairs: dict[int, int]) -> list[int]:
     """Merge the symbols of a window: always the pair that is earliest in the list, the leftmost of equals."""
-    if len(symbols) <= 24:
-        found = [merges.get(p) for p in zip(symbols, symbols[1:])]
-        while True:
-            best, at = None, -1
-            for i, m in enumerate(found):
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, i
-            if best is None:
-                return symbols
-            symbols[at : at + 2] = [best[1]]
-            del found[at]
-            if at:
-                found[at - 1] = merges.get((symbols[at - 1], best[1]))
-            if at < len(found):
-                found[at] = merges.get((best[1], symbols[at + 1]))
-    tokens: list[str | None] = list(symbols)
-    n = len(tokens)
+    found = [pairs.get(a << SHIFT | b, NEVER) for a, b in zip(symbols, symbols[1:])]
+    if len(symbols) <= SHORT:
+        while found and (best := min(found)) != NEVER:
+            i, both = found.index(best), best & MASK
+            symbols[i : i + 2] = (both,)
+            del found[i]
+            if i:
+                found[i - 1] = pairs.get(symbols[i - 1] << SHIFT | both, NEVER)
+            if i < len(found):
+                found[i] = pairs.get(both << SHIFT | symbols[i + 1], NEVER)
+        return symbols
+    n = len(symbols)
     before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(m[0], i, m[1]) for i in range(n - 1) if (m := merges.get((symbols[i], symbols[i + 1])))]
+    heap = [(m, i) for i, m in enumerate(found) if m != NEVER]
     heapq.heapify(heap)
     while heap:
-        _, i, both = heapq.heappop(heap)
+        best, i = heapq.heappop(heap)
         j = after[i]
-        if tokens[i] is None or j >= n or merges.get((tokens[i], tokens[j]), (0, ""))[1] != both:
+        if symbols[i] < 0 or j >= n or pairs.get(symbols[i] << SHIFT | symbols[j]) != best:
             continue
-        tokens[i], tokens[j], after[i] = both, None, after[j]
+        both = best & MASK
+        symbols[i], symbols[j], after[i] = both, -1, after[j]
         if after[j] < n:
             before[after[j]] = i
-            if m := merges.get((both, tokens[after[j]])):
-                heapq.heappush(heap, (m[0], i, m[1]))
-        if before[i] >= 0 and (m := merges.get((tokens[before[i]], both))):
-            heapq.heappush(heap, (m[0], before[i], m[1]))
-    return [t for t in tokens if t is not None]
+            if m := pairs.get(both << SHIFT | symbols[after[j]]):
+                heapq.heappush(heap, (m, i))
+        if before[i] >= 0 and (m := pairs.get(symbols[before[i]] << SHIFT | both)):
+            heapq.heappush(heap, (m, before[i]))
+    return [s for s in symbols if s >= 0]
 
 
 class Encoder:
-    """Encodes words with a window of bounded size, whatever a word's length."""
+    """A transducer from text to ids. Blocks of text come in, and ids leave as soon as nothing that follows can change them; what it holds is a
+    window of one piece, a block, and a bounded cache of what the transducer gave for short pieces. Runs of ids are little-endian 32-bit integers."""
 
-    def __init__(self, tokenizer: Tokenizer, window: int | None = None):
-        self.t = tokenizer
+    def __init__(self, tokenizer: Tokenizer, window: int | None = None, block: int = 1 << 16):
+        self.t, self.block = tokenizer, block
         self.window = max(window or 4 * tokenizer.lookahead, tokenizer.lookahead + 64)
-        self.pieces, self.cached = Recent(self.piece), Recent(self.chunk)
-
-    def stream(self, symbols: Iterator[str]) -> Iterator[int]:
-        """Ids of one word, each as soon as no further symbol can change it. A token is final if it ends `lookahead` symbols before the last one
-        read, or if the word has ended; what follows final tokens is encoded as if the word began there."""
-        held: list[str] = []
-        ahead, end, vocab = self.t.lookahead, self.t.end, self.t.vocab
-        last = next(symbols, None)
-        while last is not None:
-            while last is not None and len(held) < self.window:
-                here, last = last, next(symbols, None)
-                held.append(here if last is not None else here + end)
-            tokens = merge_window(list(held), self.t.merges)
-            done = 0
-            for token in tokens:
-                size = symbols_of(token, end)
-                if last is not None and done + size > len(held) - ahead:
-                    break
-                done += size
-                yield from (vocab[token],) if token in vocab else ()
+        self.pieces = Recent(self.piece)
+
+    def stream(self, blocks: Iterable[bytes]) -> Iterator[bytes]:
+        """Runs of ids of one piece, whose UTF-8 bytes come in blocks. A token is final if it ends `lookahead` symbols before the last one read, or
+        if the piece has ended; what follows final tokens is encoded as if the piece began there."""
+        blocks = filter(None, blocks)
+        held, block, at = b"", next(blocks, b""), 0
+        while block or held:
+            while block and len(held) < self.window:
+                part = block[at : at + self.window - len(held)]
+                held, at = held + part, at + len(part)
+                if at == len(block):
+                    block, at = next(blocks, b""), 0
+            ids, done = self.step(held, not block)
+            yield ids
             held = held[done:]
 
-    def piece(self, piece: str) -> list[int]:
-        symbols = piece.encode("utf-8").decode("latin-1").translate(self.t.shown)
-        if len(symbols) > self.window:
-            return list(self.stream(iter(symbols)))
-        # The whole word fits, so its end is known and all of its tokens are final.
-        vocab = self.t.vocab
-        return [vocab[t] for t in merge_window([*symbols[:-1], symbols[-1] + self.t.end], self.t.merges) if t in vocab]
-
-    def chunk(self, chunk: str) -> bytes:
-        """Ids of what stands between blanks, as little-endian 32-bit integers."""
-        text = unicodedata.normalize("NFC", chunk)
-        text = text.lower() if text.isascii() else "".join([c.lower() for c in text])
-        return np.array([i for p in self.t.pieces.findall(text) for i in self.pieces(p)], "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text. Added tokens in it count as themselves; the rest is normalized, and parted at blanks, which no piece crosses."""
-        if self.t.special is None or "<|" not in text:
-            return b"".join(map(self.cached, _CHUNK.findall(text)))
-        out, at = [], 0
-        for m in self.t.special.finditer(text):
-            out += [*map(self.cached, _CHUNK.findall(text[at : m.start()])), np.array([self.t.added[m[0]]], "<u4").tobytes()]
-            at = m.end()
-        return b"".join([*out, *map(self.cached, _CHUNK.findall(text[at:]))])
+    def step(self, held: bytes, ended: bool) -> tuple[bytes, int]:
+        """The transducer's step: the ids that are final given what is held, and how much of it they stand for."""
+        t, done = self.t, len(held)
+        symbols = [*map(t.inside.__getitem__, held)]
+        if ended:
+            symbols[-1] = t.last[held[-1]]
+        tokens = merge_window(symbols, t.pairs)
+        if not ended:
+            done, limit = 0, done - t.lookahead
+            for k, token in enumerate(tokens):  # noqa: B007
+                if done + t.size[token] > limit:
+                    break
+                done += t.size[token]
+            tokens = tokens[:k]
+        if tokens and max(tokens) >= t.known:
+            tokens = [x for x in tokens if x < t.known]
+        return array("I", tokens).tobytes(), done
+
+    def piece(self, piece: str) -> bytes:
+        """A piece within the window is one step; others are many."""
+        data = piece.encode()
+        return self.step(data, True)[0] if len(data) <= self.window else b"".join(self.stream((data,)))
+
+    def normal(self, text: str) -> str:
+        """Composed, and in lower case character by character: only a capital sigma's lower case depends on what stands around it."""
+        text = unicodedata.normalize("NFC", text)
+        return text.lower() if "\u03a3" not in text else "".join([c.lower() for c in text])
+
+    def parts(self, text: str, at: int, end: int) -> Iterator[str]:
+        """Normal forms of text[at:end], by parts of about a block that compose as the whole does: no part begins with a character that could
+        join what stands before it."""
+        while at < end:
+            stop = min(at + self.block, end)
+            while stop < end and not text[stop].isascii() and (unicodedata.category(text[stop])[0] == "M" or "\u1100" <= text[stop] <= "\u11ff"):
+                stop += 1
+            yield self.normal(text[at:stop])
+            at = stop
+
+    def long_chunk(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """Ids of text[at:end], of any length and without a blank. A piece that reaches the end of a part goes on in the next one."""
+        parts = self.parts(text, at, end)
+        kept, following = next(parts), next(parts, "")
+        while kept:
+            stop, rest = len(kept), ""
+            for m in self.t.pieces.finditer(kept):
+                if following and len(kept) - m.start() < UNSURE:
+                    stop = m.start()
+                    break
+                if following and m.end() == len(kept):
+                    run, left = next(r for r in self.t.runs if r.fullmatch(m[0])), []
+                    yield from self.stream(self.run(run, m[0], itertools.chain([following], parts), left))
+                    rest, following = "".join(left), ""
+                    break
+                yield self.pieces[m[0]]
+            kept = kept[stop:] + rest + following
+            following = next(parts, "")
+
+    def run(self, run, begun: str, parts: Iterable[str], left: list[str]) -> Iterator[bytes]:
+        """The bytes of a run that goes on for as long as the parts match; what follows it in its last part is put into `left`."""
+        yield begun.encode()
+        for part in parts:
+            m = run.match(part)
+            size = m.end() if m else 0
+            yield part[:size].encode()
+            if size < len(part):
+                left.append(part[size:])
+                return
+
+    def between(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """Runs of ids of text[at:end], which holds no added token; by blocks that end at a blank, which no piece crosses."""
+        while at < end:
+            stop = min(at + self.block, end)
+            if stop < end:
+                blank = _LAST_BLANK.search(text, at, stop)
+                if blank is None:
+                    following = _FIRST_BLANK.search(text, stop, end)
+                    stop = following.start() if following else end
+                    yield from self.long_chunk(text, at, stop)
+                    at = stop
+                    continue
+                stop = blank.end()
+            yield b"".join(map(self.pieces.__getitem__, self.t.pieces.findall(self.normal(text[at:stop]))))
+            at = stop
+
+    def encode(self, text: str) -> Iterator[bytes]:
+        """Runs of ids of a whole text. Added tokens in it count as themselves."""
+        at = 0
+        if self.t.special is not None and "<|" in text:
+            for m in self.t.special.finditer(text):
+                yield from self.between(text, at, m.start())
+                yield struct.pack("<I", self.t.added[m[0]])
+                at = m.end()
+        yield from self.between(text, at, len(text))
 
 
 class Decoder:
-    """Ids to text, one at a time; the state is a few bytes.
+    """A state machine from ids to text. Each id stands for some bytes; a character leaves once its last byte has come, so the state is the bytes of
+    one character and whether a token has come. Bytes that are not UTF-8 become U+FFFD.
 
-    The tokenizer file names no decoder, so its library joins the tokens with blanks: `plain`, and `joined` as ids come. `words` reads letters as
-    bytes again, a word end as a blank, and gives a character once its last byte has come; bytes that are not UTF-8 become U+FFFD.
+    The tokenizer file names no decoder, so its library joins the tokens' names with blanks: `joined`, the rule by default. With `joined` false,
+    letters are read as bytes again and a word end as a blank.
     """
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.t = tokenizer
-        self.byte = {c: i for i, c in enumerate(tokenizer.letters)}
-
-    def plain(self, ids: np.ndarray) -> str:
-        return " ".join(map(self.t.names.__getitem__, ids.tolist()))
-
-    def joined(self, runs: Iterable[np.ndarray]) -> Iterator[str]:
-        """The text of `plain`, from ids that come in runs of any length; the state is whether a token has come."""
-        begun = False
-        for ids in runs:
-            if len(ids):
-                yield " " * begun + self.plain(ids)
+    def __init__(self, tokenizer: Tokenizer, joined: bool = True):
+        byte = {c: i for i, c in enumerate(tokenizer.letters)}
+        self.joined, end, self.spoken = joined, tokenizer.end, {}
+        for i, name in tokenizer.names.items():
+            if joined or name in tokenizer.added:
+                self.spoken[i] = b" " * joined + name.encode()
+            else:
+                ends = bool(end) and name.endswith(end)
+                self.spoken[i] = bytes(byte[c] for c in (name.removesuffix(end) if ends else name)) + b" " * ends
+
+    def decode(self, runs: Iterable[bytes]) -> Iterator[str]:
+        """Text as ids come, in runs of any length."""
+        state, begun = codecs.getincrementaldecoder("utf-8")("replace"), False
+        for run in runs:
+            for at in range(0, len(run), 4 * RUN):
+                got = b"".join(map(self.spoken.__getitem__, np.frombuffer(run[at : at + 4 * RUN], "<u4").tolist()))
+                yield state.decode(got if begun or not self.joined else got[1:])
                 begun = True
-
-    def runs(self, ids: bytes) -> Iterator[np.ndarray]:
-        return (np.frombuffer(ids, "<u4", min(RUN, len(ids) // 4 - at), 4 * at) for at in range(0, len(ids) // 4, RUN))
+        yield state.decode(b"", True)
 
     def text(self, ids: bytes) -> str:
-        return "".join(self.joined(self.runs(ids)))
+        return "".join(self.decode((ids,)))
 
     def digest(self, ids: bytes) -> str:
         """sha256 of the text in UTF-8, of which one run's is held at a time."""
         state = hashlib.sha256()
-        for part in self.joined(self.runs(ids)):
+        for part in self.decode((ids,)):
             state.update(part.encode())
         return state.hexdigest()
 
-    def words(self, ids: Iterator[int]) -> Iterator[str]:
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            name = self.t.names[i]
-            if i in self.t.added.values():
-                yield state.decode(b"", True) + name
-                continue
-            ends = bool(self.t.end) and name.endswith(self.t.end)
-            got = state.decode(bytes(self.byte[c] for c in (name.removesuffix(self.t.end) if ends else name)), ends)
-            yield got + " " * ends
-        yield state.decode(b"", True)
-
 
 _HELD: dict[str, tuple[Encoder, Decoder]] = {}
 
@@ -263,7 +334,7 @@ def encode_documents(docs: DataFrame, path: str, decode: str = "decoded") -> Dat
         encoder, decoder = tools(path)
         told = {"decoded": decoder.text, "decoded_sha256": decoder.digest}[decode]
         for batch in sliced(batches):
-            ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
+            ids = [b"".join(encoder.encode(t or "")) for t in batch.column("text").to_pylist()]
             columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(told, ids), pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*keep, *added])
 

@@ -93,6 +93,10 @@ def test_bpe_equals_the_library(odd, spark):
     assert bpe.encode_documents(empty(odd), path).count() == 0
 
 
+def numbers(runs):
+    return np.frombuffer(b"".join(runs), "<u4").tolist()
+
+
 def test_bpe_windows_and_fuzz():
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.tokenizer_path()
@@ -101,23 +105,75 @@ def test_bpe_windows_and_fuzz():
     for letters in ("a", "aeh", "thineras"):
         for n in (1, 200, 2500):
             word = "".join(rng.choice(letters) for _ in range(n))
-            assert encoder.piece(word) == theirs.encode(word, add_special_tokens=False).ids
-    signs = [chr(c) for c in [*range(0, 0x180), 0x3A3, 0x130, 0x2028, 0x301, 0x85, 0xA0, 0x3000, 0x1F600]] + ["<|endoftext|>", "'s", "'LL", "<|"]
-    for _ in range(1500):
-        s = "".join(rng.choice(signs) for _ in range(rng.randrange(25)))
-        assert np.frombuffer(encoder.encode(s), "<u4").tolist() == theirs.encode(s, add_special_tokens=False).ids, s
-    ids = np.frombuffer(encoder.encode("Naïve 東京 cafés"), "<u4").tolist()
-    assert "".join(bpe.Decoder(t).words(iter(ids))) == "naïve 東京 cafés "
+            assert numbers([encoder.piece(word)]) == theirs.encode(word, add_special_tokens=False).ids
+    signs = [chr(c) for c in [*range(0, 0x180), 0x3A3, 0x130, 0x2028, 0x301, 0x302, 0x323, 0x85, 0xA0, 0x3000, 0x1F600, 0x1100, 0x1161, 0x11A8, 0xAC00, 0x9C7, 0x9BE]]
+    signs += ["<|endoftext|>", "'s", "'LL", "'re", "<|", "aaaaaaaaaaaa", "!!!!!!!!!!"]
+    for block in (20, 64, 1 << 16):
+        encoder = bpe.Encoder(t, t.lookahead + 80, block)
+        for _ in range(600):
+            pool = rng.sample(signs, rng.choice([3, 10, 60]))
+            s = "".join(rng.choice(pool) for _ in range(rng.randrange(200)))
+            assert numbers(encoder.encode(s)) == theirs.encode(s, add_special_tokens=False).ids, (block, s)
+
+
+def test_bpe_holds_no_more_for_longer_texts():
+    """A word, and a text of many words, ten times as long need no more memory, from text to ids to text."""
+    import tracemalloc
+
+    t = bpe.Tokenizer(queries.tokenizer_path())
+    decoder = bpe.Decoder(t)
+    for unit in ("thinera", "thinera, "):
+        peaks = []
+        for n in (3000, 30_000):
+            text = unit * n
+            encoder = bpe.Encoder(t, block=1 << 12)
+            tracemalloc.start()
+            size = sum(map(len, decoder.decode(encoder.encode(text))))
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            assert size > n
+        assert peaks[1] < 1.3 * peaks[0] + 20_000 < len(text) * 3
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_every_id_leaves_the_transducer(monkeypatch):
+    """All ids of the texts, but for those of added tokens, come from the transducer's step or from the cache of what it gave."""
+    import duckdb
+
+    given = []
+    step = bpe.Encoder.step
+
+    def counted(self, held, ended):
+        ids, done = step(self, held, ended)
+        given.append(len(ids) // 4)
+        return ids, done
+
+    monkeypatch.setattr(bpe.Encoder, "step", counted)
+    t = bpe.Tokenizer(queries.tokenizer_path())
+    monkeypatch.setattr(bpe.Recent, "__missing__", lambda self, key: self.make(key))
+    encoder = bpe.Encoder(t)
+    texts = [r[0] for r in duckdb.sql(f"select text from '{DATA}/documents.parquet' where text is not null limit 100").fetchall()]
+    assert sum(len(numbers(encoder.encode(x))) for x in texts) == sum(given) > 10_000
 
 
 def test_decoding_by_runs_equals_the_library(monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     theirs, t = tokenizers.Tokenizer.from_file(queries.tokenizer_path()), bpe.Tokenizer(queries.tokenizer_path())
     monkeypatch.setattr(bpe, "RUN", 3)
+    decoder = bpe.Decoder(t)
     for text in ("", "one", "émigré naïve 東京 <|endoftext|> " * 4):
-        ids = bpe.Encoder(t).encode(text)
-        told = theirs.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
-        assert bpe.Decoder(t).text(ids) == told and bpe.Decoder(t).digest(ids) == hashlib.sha256(told.encode()).hexdigest()
+        runs = list(bpe.Encoder(t).encode(text))
+        told = theirs.decode(numbers(runs), skip_special_tokens=False)
+        assert decoder.text(b"".join(runs)) == told and decoder.digest(b"".join(runs)) == hashlib.sha256(told.encode()).hexdigest()
+
+
+def test_decoding_to_bytes_gives_a_character_with_its_last_byte():
+    t = bpe.Tokenizer(queries.tokenizer_path())
+    decoder = bpe.Decoder(t, joined=False)
+    ids = numbers(bpe.Encoder(t).encode("Naïve 東京 cafés \U0001f600"))
+    assert "".join(decoder.decode(np.array([i], "<u4").tobytes() for i in ids)) == "naïve 東京 cafés \U0001f600 "
+    cut = [t.vocab[t.letters[b]] for b in "é".encode()]
+    assert list(decoder.decode(np.array([i], "<u4").tobytes() for i in [*cut, cut[0]])) == ["", "é", "", "\ufffd"]
 
 
 # 4
