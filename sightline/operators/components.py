@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.operators.tables import materialize
+from sightline.operators.tables import discard, materialize
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -13,11 +13,11 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
 
     Alternates two steps until nothing changes: each node hands its larger neighbours to its smallest one, then its smaller neighbours too.
     Both keep the components and shorten paths, so rounds grow with the logarithm of the longest path. A step groups with a partial minimum
-    and joins it back, so no neighbour list is ever gathered. Loops and repeated links do no harm; links with a null end are ignored.
+    and joins it back, so no neighbour list is ever gathered. Loops and repeated links do no harm; links with a null end are ignored. `links` is
+    evaluated once.
     """
-    edges = links.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null")
-    loops = edges.where("u = v").select("u").distinct()
-    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    links = materialize(links.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    loops, edges = links.where("u = v").select("u"), links.where("u <> v")
     if edges.isEmpty():
         return loops.select(F.col("u").alias("id"), F.col("u").alias("component"))
     state = None
@@ -27,7 +27,8 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
         large = both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = materialize(star.where("u <> v").distinct())
+        last, edges = edges, materialize(star.where("u <> v").distinct())
+        discard(last)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
             break

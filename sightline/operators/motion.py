@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import geometry, ids
 from sightline.operators import tracks, windows
+from sightline.operators.tables import small
 
 
 def window_paths(gated: DataFrame, size: int, advance: int) -> DataFrame:
@@ -19,7 +20,7 @@ def window_paths(gated: DataFrame, size: int, advance: int) -> DataFrame:
 def path_pairs(paths: DataFrame, area_pairs: DataFrame) -> DataFrame:
     """Paths of two bound nodes in one area and window. The node pair is joined first, so both joins are on equal keys alone."""
     side = lambda s: paths.select("area", "w_begin", F.col("node").alias(f"{s}_node"), ids.tracklet_id(F.col("node"), F.col("track_id")).alias(f"{s}_id"), F.col("path").alias(f"{s}_path"), F.col("first_ts").alias(f"{s}_first"))
-    left = side("left").join(F.broadcast(area_pairs.select("area", F.col("node1").alias("left_node"), F.col("node2").alias("right_node"))), ["area", "left_node"])
+    left = side("left").join(small(area_pairs.select("area", F.col("node1").alias("left_node"), F.col("node2").alias("right_node"))), ["area", "left_node"])
     return left.join(side("right"), ["area", "w_begin", "right_node"]).where((F.col("left_node") != F.col("right_node")) | (ids.tracklet_order(F.col("left_id")) < ids.tracklet_order(F.col("right_id"))))
 
 

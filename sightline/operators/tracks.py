@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.tables import small
+
 
 def distance_gate(tracks: DataFrame, area_nodes: DataFrame) -> DataFrame:
     """Deletes pass; other events pass if their node is in an area and they are within its distance. Adds the area (null for deletes outside)."""
-    joined = tracks.join(F.broadcast(area_nodes), "node", "left")
+    joined = tracks.join(small(area_nodes), "node", "left")
     near = F.col("area").isNotNull() & (F.col("distance") <= F.coalesce("threshold", F.lit(float("inf"))))
     return joined.where(F.col("is_deleted") | near).drop("threshold")
 
 
 def listening(tracks: DataFrame, nodes: DataFrame) -> DataFrame:
-    return tracks.join(F.broadcast(nodes), "node", "left_semi")
+    return tracks.join(small(nodes), "node", "left_semi")
 
 
 def skip_assigned(tracks: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions import geometry, ids, vectors
 from sightline.operators import associations, feature, global_tracks, indexes, motion, rangejoin, tracks, windows, zones
 from sightline.operators.components import connected_components
+from sightline.operators.tables import materialize, small
 from sightline.sources.views import SQL_AREAS, SQL_FEATURES, SQL_LINKS, SQL_TRACKS, SQL_ZONES, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,7 +168,7 @@ def index_point_lookup(t):
 @query(f"with {SQL_INDEX} select * from track_index where track_id in ('1', '2', '3', '44')")
 def index_multi_lookup(t):
     keys = t.spark.createDataFrame([("1",), ("2",), ("3",), ("44",)], "track_id string")
-    return indexes.track_index(t.node_tracks.join(F.broadcast(keys), "track_id", "left_semi"))
+    return indexes.track_index(t.node_tracks.join(small(keys), "track_id", "left_semi"))
 
 
 LOW, HIGH = 1706400000000, 1706580000000
