@@ -8,30 +8,48 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.operators.tables import discard as discard
 from sightline.operators.tables import materialize as materialize
+from sightline.operators.tables import small as small
 
-#: Rows up to which a table of short rows (ids, hashes, counts) is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+def crc_mod(column, n: int):
+    """crc32 of the value as text, modulo n (null ids count as the empty text)."""
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a materialised table for broadcast if its counted rows are within the bound; else leave the join to shuffle."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+#: Bytes of text that a classifier is fitted on, at most.
+SAMPLE_BYTES = 96 << 20
 
 
-def crc_mod(column, n: int):
-    """crc32 of the value as text, modulo n (null ids count as the empty text)."""
-    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+def sampled(rows: DataFrame, key: str, bound: int, salt: str, size: int = SAMPLE_BYTES) -> DataFrame:
+    """Different rows (by key and text) with the smallest hashes, `bound` of them and `size` bytes of text at most; all of them while there are no more.
 
+    rows: key, text and more. Copies count once. What the driver sees is a hash and a length for each chosen row.
+    """
+    h = F.xxhash64(F.lit(salt), F.col(key).isNull(), F.col(key), F.coalesce("text", F.lit("")))
+    n, near = rows.count(), rows.withColumn("__h", h)
+    if n > 2 * bound:
+        near = near.where(F.col("__h") < int((2 * bound / n - 0.5) * 2**64))
+    heads = near.select("__h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).distinct().orderBy("__h").limit(bound).collect()
+    cut, held = None, 0
+    for r in heads:
+        held += r.size
+        if held > size:
+            break
+        cut = r["__h"]
+    return near.where(F.lit(False) if cut is None else F.col("__h") <= cut).dropDuplicates(["__h"]).drop("__h")
+
+
+def fields_of(schema) -> str:
+    """The columns of a schema, for the schema of a result that keeps them."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
 
-def bounded_sample(df: DataFrame, key: str, bound: int, salt: str) -> DataFrame:
-    """About `bound` rows at most, chosen by a hash of the key; all rows while there are no more than that."""
-    n = df.count()
-    if n <= bound:
-        return df
-    share = F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30))
-    return df.where(share < int(bound / n * (1 << 30)))
+
+def spare(columns: list[str], name: str) -> str:
+    """A column name that a table has not."""
+    while name in columns:
+        name += "_"
+    return name
 
 
 def sliced(batches, rows: int = 256, size: int = 2 << 20):
@@ -164,7 +182,13 @@ def tree_sum(df: DataFrame, fan_in: int = 16) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, bound: int, salt: str) -> DataFrame:
-    """About `bound` labelled rows (text, label) at most, for fitting. The ids are chosen before any text is read, so that they can be broadcast."""
+    """Labelled rows (doc_id, text, label) for fitting, `bound` and SAMPLE_BYTES of text at most. Of repeated labels the highest counts.
+
+    The ids with the smallest hashes are chosen before any text is read, so that they can be broadcast.
+    """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(F.expr(fold) if isinstance(fold, str) else fold).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    ids = bounded_sample(ids, "doc_id", bound, salt).withColumnRenamed("doc_id", "__id")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+    if ids.count() > bound:
+        ids = ids.orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id").limit(bound)
+    ids = ids.withColumnRenamed("doc_id", "__id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+    return sampled(rows, "doc_id", bound, salt)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import materialize, small
+from sightline.llm.common import materialize, small, spare
 
 WIDTH, THRESHOLD = 5, 0.8
+_SPREAD = 0x0101010101010101
 
 
 def words(text: Column) -> Column:
@@ -35,19 +36,35 @@ def spelled(run: list[Column]) -> Column:
     return F.concat_ws(" ", *run)
 
 
+def row_key(id: str) -> Column:
+    """64 bits that stand for an id, null or not, and a text: what tells rows apart."""
+    return F.xxhash64(F.col(id).isNull(), F.col(id), F.coalesce("text", F.lit("")))
+
+
+def size_class(n: Column, top: int | None = None) -> Column:
+    """Classes of sizes that double: class k has sizes from 2**k on. With `top`, larger classes count as that one."""
+    k = F.floor(F.log2(n.cast("double")) + 1e-9).cast("int")
+    return k if top is None else F.least(k, F.lit(top))
+
+
+def in_class(h: Column, k: Column) -> Column:
+    """A hash as it is in class k: one number still, so that joins stay on one."""
+    return h.bitwiseXOR(k.cast("bigint") * F.lit(_SPREAD))
+
+
 def item_sketches(items: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Each item's shingles, and the bottom-k MinHash sketch of each.
+    """Each item's shingles (item, item_id, n_item, need, shingle), and the bottom-k MinHash sketch of each (item, need, h).
 
-    An item of n shingles that a document contains to `threshold` lacks at most n - ceil(threshold * n) of them there. So of its k lowest
-    hashes, k one more than that, the document has one at least: no such pair is missed.
+    An item is a different (item_id, text). One of n shingles that a document contains to `threshold` lacks at most n - ceil(threshold * n) of
+    them there. So of its k lowest hashes, k one more than that, the document has one at least: no such pair is missed.
     """
-    tokens = items.select("item_id", once(words(F.col("text"))).alias("w"))
-    all_shingles = materialize(tokens.select("item_id", F.explode(shingles(F.col("w"), width, True, spelled)).alias("shingle")).where("shingle is not null").distinct())
-    hashes = tokens.select("item_id", once(F.array_sort(F.coalesce(shingles(F.col("w"), width, True, hashed), F.array().cast("array<bigint>")))).alias("h"))
-    n = F.size("h")
-    need = F.ceil(F.lit(threshold) * n - 1e-9).cast("int")
-    sketch = hashes.select("item_id", n.alias("n_item"), need.alias("need"), F.explode(F.slice("h", F.lit(1), n - need + 1)).alias("h"))
-    return all_shingles, materialize(sketch)
+    tokens = items.select(row_key("item_id").alias("item"), "item_id", once(words(F.col("text"))).alias("w")).dropDuplicates(["item"])
+    sizes = lambda n: (n.alias("n_item"), F.ceil(F.lit(threshold) * n - 1e-9).cast("int").alias("need"))
+    spelt = tokens.select("item", "item_id", once(shingles(F.col("w"), width, True, spelled)).alias("s")).where("s is not null")
+    every = materialize(spelt.select("item", "item_id", *sizes(F.size("s")), F.explode("s").alias("shingle")))
+    hashes = tokens.select("item", once(F.array_sort(F.coalesce(shingles(F.col("w"), width, True, hashed), F.array().cast("array<bigint>")))).alias("h"))
+    sketch = hashes.select("item", "h", *sizes(F.size("h"))).where("n_item > 0")
+    return every, materialize(sketch.select("item", "need", F.explode(F.slice("h", F.lit(1), F.col("n_item") - F.col("need") + 1)).alias("h")))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -55,34 +72,35 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, thres
 
     docs: doc_id, text; items: item_id, text; other columns are not read. Words are runs of letters and digits in lower case; an item with fewer
     words than `width` is one shingle, found only in documents of just those words.
-    Columns: doc_id, text_hash, item_id, n_item (shingles of the item), n_shared, containment.
-    Documents are told apart by doc_id and text, so repeated rows are one, and null ids count as an id. Null and empty texts contain nothing;
-    an empty table gives no rows.
+    Columns: doc_id, text_hash, item_id, item (stands for item_id and text), n_item (shingles of the item), n_shared, containment.
+    Documents are told apart by doc_id and text, items by item_id and text: repeated rows are one, rows of one id with other texts are not, and
+    a null is an id like others. Null and empty texts contain nothing and are in nothing; an empty table gives no rows.
 
     Search: containment, not resemblance, is wanted, so an item's sketch is looked up in each document's whole set instead of comparing sketches
-    of both (which long documents would dilute). Both sides are partitioned by size: items have sketches that grow with their size, and a
-    document meets only items that its own number of shingles can hold. Sketch lookups happen where a document is read; only hits are shuffled.
+    of both (which long documents would dilute). Both sides are partitioned by size: items have sketches that grow with their size, and are put
+    into the partition of each size class of documents that can hold enough of them; a document's hashes meet only its own partition. All
+    documents that can hold the largest item share one. Sketches are looked up where a document is read; only hits are shuffled.
     Survivors are verified on spelled-out shingles. DataFrame operations only.
     """
     every, sketch = item_sketches(items, width, threshold)
+    top = sketch.agg(F.max(size_class(F.col("need")))).first()[0] or 0
+    parts = materialize(sketch.select("item", "need", F.explode(F.sequence(size_class(F.col("need")), F.lit(top))).alias("k"), "h").select("item", "need", in_class(F.col("h"), F.col("k")).alias("h")))
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     tokens = docs.select("doc_id", text_hash.alias("text_hash"), once(words(F.col("text"))).alias("w"))
     hashes = tokens.select("doc_id", "text_hash", once(F.coalesce(shingles(F.col("w"), width, True, hashed), F.array().cast("array<bigint>"))).alias("h"))
-    hits = hashes.select("doc_id", "text_hash", F.size("h").alias("n_doc"), F.explode("h").alias("h")).join(small(sketch), "h").where("n_doc >= need")
-    found = materialize(hits.select("doc_id", "text_hash", "item_id", "need").distinct())
-    ids = materialize(found.select("doc_id", "text_hash").distinct())
-    chosen = docs.select("doc_id", "text", text_hash.alias("text_hash")).join(small(ids.withColumnsRenamed({"doc_id": "__d", "text_hash": "__t"})), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")), "left_semi")
+    sized = hashes.select("doc_id", "text_hash", F.size("h").alias("n_doc"), size_class(F.greatest(F.size("h"), F.lit(1)), top).alias("k"), F.explode("h").alias("h"))
+    hits = sized.select("doc_id", "text_hash", "n_doc", in_class(F.col("h"), F.col("k")).alias("h")).join(small(parts), "h").where("n_doc >= need")
+    ids = materialize(hits.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct())
+    chosen = docs.select("doc_id", "text", text_hash.alias("text_hash")).join(small(ids), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")), "left_semi")
     spelt = chosen.select("doc_id", "text_hash", once(words(F.col("text"))).alias("w")).select("doc_id", "text_hash", F.explode(shingles(F.col("w"), width, True, spelled)).alias("shingle"))
-    shared = spelt.join(small(every), "shingle").groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("shingle").alias("n_shared"))
-    sizes = every.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    pair = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("item_id").alias("__i"), "need")
-    both = shared.join(pair, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")) & (F.col("item_id") == F.col("__i")))
-    sure = both.where(F.col("n_shared") >= F.col("need")).join(small(materialize(sizes)), "item_id")
-    return sure.select("doc_id", "text_hash", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    shared = spelt.join(small(every), "shingle").groupBy("doc_id", "text_hash", "item").agg(F.count_distinct("shingle").alias("n_shared"), F.first("item_id").alias("item_id"), F.first("n_item").alias("n_item"), F.first("need").alias("need"))
+    sure = shared.where("n_shared >= need")
+    return sure.select("doc_id", "text_hash", "item_id", "item", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns as they are, that contain no test item."""
-    leaks = materialize(contained_items(docs, items, width, threshold).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct())
-    same = docs["doc_id"].eqNullSafe(leaks["__d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == leaks["__t"])
+    d, t = spare(docs.columns, "__d"), spare(docs.columns, "__t")
+    leaks = materialize(contained_items(docs, items, width, threshold).select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(t))
     return docs.join(small(leaks), same, "left_anti")

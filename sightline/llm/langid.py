@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import bounded_sample, code_points, crc_mod, gram_counts, sliced, tree_sum
+from sightline.llm.common import code_points, crc_mod, fields_of, gram_counts, sampled, sliced, tree_sum
 
 ORDERS, BITS = (1, 2, 3), 15
-#: Labelled documents that the weights are fitted on, about, at most; document frequencies come from all training documents.
+#: Labelled documents that the weights are fitted on, at most; document frequencies come from all training documents.
 SAMPLE = 2000
 
 
@@ -113,7 +113,7 @@ def temperature_of(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, key: str = "doc_id", label: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on documents with text and label. Document frequencies cover all of them; weights a sample of about `sample` rows at most."""
+    """Fit on documents with text and label. Document frequencies cover all of them; weights a sample of `sample` rows at most."""
     docs = docs.select(F.col(key).alias("key"), "text", F.col(label).alias("label")).where("text is not null and label is not null")
 
     def presence(batches):
@@ -128,20 +128,20 @@ def train(docs: DataFrame, key: str = "doc_id", label: str = "lang", sample: int
         for batch, rows in counts(batches):
             found = [gram_counts(points, ORDERS, BITS) for points in rows]
             at = [np.flatnonzero(c) for c in found]
-            yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "at": pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), "n": pa.array([np.minimum(c[a], 65535).astype(np.uint16).tobytes() for c, a in zip(found, at)], pa.binary()), "back": batch.column("back")})
+            yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "at": pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), "n": pa.array([c[a].astype(np.uint32).tobytes() for c, a in zip(found, at)], pa.binary()), "back": batch.column("back")})
 
     df = tree_sum(docs.select("text").mapInArrow(presence, "v binary"))
     if not len(df) or not df[-1]:
         return Model([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
     idf = np.log((1 + df[-1]) / (1 + df[:-1]))
-    chosen = bounded_sample(docs, "key", sample, "langid").withColumn("back", F.pmod(F.xxhash64(F.lit("held back"), "key"), F.lit(5)) == 0)
+    chosen = sampled(docs, "key", sample, "langid").withColumn("back", F.pmod(F.xxhash64(F.lit("held back"), "key"), F.lit(5)) == 0)
     rows = chosen.select("text", "label", "back").mapInArrow(sparse, "label string, at binary, n binary, back boolean").collect()
     rows.sort(key=lambda r: (r.label, r.at, r.n))
     classes = sorted({r.label for r in rows})
     labels = np.array([classes.index(r.label) for r in rows], int)
     vectors = []
     for r in rows:
-        at, c = np.frombuffer(r.at, np.uint16).astype(int), np.frombuffer(r.n, np.uint16)
+        at, c = np.frombuffer(r.at, np.uint16).astype(int), np.frombuffer(r.n, np.uint32)
         v = np.log1p(c) * idf[at]
         vectors.append((at, v / (np.sqrt((v * v).sum()) or 1.0)))
     back = np.array([r.back for r in rows], bool)
@@ -169,8 +169,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             kept = batch.select(keep)
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*keep, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return chosen.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return chosen.mapInArrow(predict, f"{fields_of(docs.select(*keep).schema)}, lang_pred string, score double")
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

@@ -21,14 +21,14 @@ from e group by conv_id""",
 with d as (
   select distinct doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents
 ), i as (
-  select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark
+  select distinct item_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark
 ), ds as (
   select distinct doc_id, text, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))
     when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d
 ), its as (
-  select distinct item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))
+  select distinct item_id, text, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))
     when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from i
-), n as (select item_id, count(*) as n_item from its group by item_id),
-hit as (select doc_id, text, item_id, count(*) as n_shared from ds join its using (s) group by doc_id, text, item_id)
-select distinct doc_id, item_id, n_item, n_shared from hit join n using (item_id) where n_shared >= ceil(0.8 * n_item - 1e-9)""",
+), sized as (select *, count(*) over (partition by item_id, text) as n_item from its),
+hit as (select ds.doc_id, ds.text, z.item_id, z.text as item_text, z.n_item, count(*) as n_shared from ds join sized z using (s) group by all)
+select distinct doc_id, item_id, n_item, n_shared from hit where n_shared >= ceil(0.8 * n_item - 1e-9)""",
 }

@@ -214,6 +214,33 @@ def test_containment_on_odd_rows(odd, spark):
     assert decontam.decontaminate(odd, bench).columns == odd.columns
 
 
+def test_items_are_told_apart_by_id_and_text(spark, odd):
+    """Rows of one item id with other texts are items of their own, and items without an id count."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    short, long, nameless = text(12), text(40), text(15)
+    bench = spark.createDataFrame([(1, short), (1, long), (1, short), (None, nameless)], "item_id bigint, text string").withColumn("__d", F.lit(1))
+    docs = frame(spark, [text(9) + " " + short + " " + text(9), text(30), nameless.upper(), short[:20] + text(30)], [7, None, None, 7])
+    found = {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontam.contained_items(docs, bench).collect()}
+    assert found == {(7, 1, 8, 8), (None, None, 11, 11)}
+    kept = decontam.decontaminate(docs.withColumn("__d", F.lit(1)).withColumn("__t", F.lit(1)), bench)
+    assert sorted(r.text for r in kept.collect()) == sorted(r.text for r in docs.collect()[1::2])
+    texts = decontam.contained_items(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), bench.withColumn("item_id", F.concat(F.lit("i"), "item_id")))
+    assert {(r.doc_id, r.item_id) for r in texts.collect()} == {("d7", "i1"), (None, None)}
+
+
+def test_size_classes_of_documents(spark):
+    """Items at the edge of what a document can hold, in classes of both."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    items = [" ".join(rng.sample(words, n)) for n in (5, 6, 7, 8, 9, 11, 12, 19, 20, 21, 36, 68, 69, 132, 260, 1030)]
+    texts = [" ".join(t.split()[: -(len(t.split()) - 4) // 5]) for t in items if len(t.split()) > 9] + items + [" ".join(items)]
+    docs, bench = frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    expected = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if 10 * len(sets(t) & sets(x)) >= 8 * len(sets(x))}
+    assert {(r.doc_id, r.item_id) for r in decontam.contained_items(docs, bench).collect()} == expected
+
+
 # 5
 
 
