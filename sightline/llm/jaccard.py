@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import Words, materialize, mix, ngram_hash, sliced, small, utf8
+from sightline.llm.common import Words, discard, fields_of, materialize, mix, ngram_hash, sliced, small, spare, utf8
 from sightline.operators.components import connected_components
 
 #: Coordinates of a count vector, and entries of a tree node.
 GROUPS, FANOUT = 64, 16
 #: Shingles of the documents that one task compares, about, at most.
-TASK = 1_000_000
+TASK = 250_000
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -198,7 +198,7 @@ def profile(docs: DataFrame, m: Measure) -> DataFrame:
                 {"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "f1": total(_SALT), "f2": total(_SALT * np.uint64(3)), "sigs": pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.astype(np.int64)))}
             )
 
-    return docs.select("doc_id", "text").mapInArrow(profiled, "doc_id bigint, n bigint, f1 bigint, f2 bigint, sigs array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(profiled, f"{fields_of(docs.select('doc_id').schema)}, n bigint, f1 bigint, f2 bigint, sigs array<bigint>")
 
 
 def tasks(members: DataFrame, m: Measure) -> DataFrame:
@@ -235,25 +235,30 @@ def verified_links(docs: DataFrame, dealt: DataFrame, m: Measure) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "task": batch.column("task"), "grp": batch.column("grp"), "side": batch.column("side"), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, grp, side = (table.column(c).to_numpy() for c in ("doc_id", "grp", "side"))
+        table = table.sort_by([("grp", "ascending"), ("doc_id", "ascending")])
+        grp, side = (table.column(c).to_numpy() for c in ("grp", "side"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
-        order = np.lexsort((ids, grp))
-        out = []
-        for mine in np.split(order, np.flatnonzero(np.diff(grp[order])) + 1):
+        ids, out = table.column("doc_id").combine_chunks(), []
+        for mine in np.split(np.arange(len(grp)), np.flatnonzero(grp[1:] != grp[:-1]) + 1):
             if len(mine) > 1:
-                out += [(ids[mine[i]], ids[mine[j]]) for i, j in spanning_links([sets[i] for i in mine], side[mine], m)]
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+                out += [(mine[i], mine[j]) for i, j in spanning_links([sets[i] for i in mine], side[mine], m)]
+        at = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": ids.take(pa.array(at[:, 0])), "b": ids.take(pa.array(at[:, 1]))})
 
     chosen = docs.select("doc_id", "text").join(small(dealt.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "task", "grp", "side")
-    return chosen.mapInArrow(encode, "doc_id bigint, task string, grp bigint, side int, s binary").groupBy("task").applyInArrow(compare, "a bigint, b bigint")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    encoded = chosen.mapInArrow(encode, f"{fields_of(dealt.schema)}, s binary")
+    return encoded.groupBy("task").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def components(docs: DataFrame, m: Measure = Measure()) -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their shingle sets: doc_id, n_shingles, component_id.
 
     docs: doc_id, text; other columns are not read. Words part at ASCII white space and A-Z count as a-z. component_id is the smallest doc_id
-    that links reach. Null, empty and blank texts have an empty set and no link. Equal sets are linked, and compared once. Rows of one id are
-    one document; a null id is linked with nothing and has a null component. Sets are held as 64-bit hashes of shingles.
+    that links reach. Null, empty and blank texts have an empty set and no link. Equal sets are linked, and compared once. Each row of the input
+    gives one of the result. Rows of one id are one document: what any of them is linked with, all are, whatever their texts; n_shingles is each
+    row's own. A null id is linked with nothing and has a null component. Ids are of any type that has an order. Sets are held as 64-bit hashes
+    of shingles.
 
     1. Each distinct set gives signatures; linked sets share one (see signatures; with bands, but for the chance given there). No row is dropped for being in a crowd: documents of a
        signature are tied to the smallest of them (found with a partial minimum, so that a crowd is never in one task), and ties make
@@ -268,16 +273,33 @@ def components(docs: DataFrame, m: Measure = Measure()) -> DataFrame:
     ties = signed.join(crowds, "sig").where("star < doc_id").select("star", "doc_id").distinct()
     ties = ties.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     groups = materialize(connected_components(ties, "star", "doc_id"))
+    discard(crowds)
     sizes = table.groupBy("doc_id").agg(F.max("n").alias("n"))
-    members = materialize(groups.join(sizes, F.col("id") == F.col("doc_id")).select("doc_id", F.col("component").alias("grp"), "n"))
-    links = materialize(verified_links(docs, materialize(tasks(members, m)), m))
-    found = materialize(connected_components(links))
-    of_set = sets.join(found, F.col("rep") == F.col("id"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    whole = table.select("doc_id", "n", "f1", "f2").join(of_set, ["f1", "f2"], "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    members = materialize(groups.join(sizes, F.col("id") == F.col("doc_id")).select("doc_id", F.xxhash64("component").alias("grp"), "n"))
+    discard(groups)
+    dealt = materialize(tasks(members, m))
+    links = materialize(verified_links(docs, dealt, m))
+    discard(members)
+    discard(dealt)
+    tagged = materialize(table.select("doc_id", "n", "f1", "f2").join(sets, ["f1", "f2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")))
+    discard(sets)
+    discard(table)
+    # Sets of one id are linked, and a row without words has the component of its id's other rows.
+    least = materialize(tagged.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")))
+    several = tagged.join(least.where("least < most").drop("most"), "doc_id").where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    found = materialize(connected_components(links.union(several)))
+    discard(links)
+    bare = tagged.where("rep is null").select(F.col("doc_id").alias("__bare")).distinct()
+    mixed = least.join(bare, F.col("doc_id") == F.col("__bare"), "left_semi").select(F.col("doc_id").alias("__d"), F.col("least").alias("__rep"))
+    whole = tagged.join(mixed, F.col("rep").isNull() & (F.col("doc_id") == F.col("__d")), "left").select("doc_id", "n", F.coalesce("rep", "__rep").alias("rep"))
+    return whole.join(found, F.col("rep") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame, m: Measure) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; documents without words are components of their own. All columns."""
-    others = materialize(components(docs, m).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(small(others), F.col("doc_id") == F.col("__id"), "left_anti")
+    """One document of each component stays, the one with the smallest id; documents without words, or without an id, are components of their own.
+
+    All columns, as they are. Rows of one id are one document, so all of them stay or go.
+    """
+    id = spare(docs.columns, "__id")
+    others = materialize(components(docs, m).where("doc_id <> component_id").select(F.col("doc_id").alias(id)).distinct())
+    return docs.join(small(others), F.col("doc_id") == F.col(id), "left_anti")

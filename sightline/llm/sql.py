@@ -1,5 +1,22 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from sightline.llm.sharding import RUN
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte: eight steps of the reversed polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+def _winner(shards: int) -> str:
+    """The shard with the highest draw; with weights of 1 the bids are in the draws' order. 13 hexadecimal digits of a hash as a number."""
+    draws = ", ".join(f"{{'d': ('0x' || substr(md5('shard:{s}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint, 's': -{s}}}" for s in range(shards))
+    return f"(-list_max([{draws}]).s)::int"
+
+
 ORACLE_SQL = {
     "op1_chat_formatting": r"""
 with c as (
@@ -17,6 +34,21 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn nulls last, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   sum(length('<|im_start|>') + length(head) + 1 + length(body) + length('<|im_end|>') + 1)::bigint as formatted_chars
 from e group by conv_id""",
+    "op7_sharding": f"""
+with crc as (select {_crc_table()!r} as t),
+b as (
+  select doc_id, encode(coalesce(text, '')) as body, strlen(coalesce(text, '')) + 1 as size from documents
+), sized as (
+  select doc_id, size, list_transform(range(1, size), lambda i: ('0x' || substr(hex(body), 2 * i - 1, 2))::bigint) as bytes from b
+), d as (
+  select doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::bigint), 4294967295) as text_crc32,
+    {_winner(8)} as shard, {_winner(9)} as grown_shard from sized, crc
+), p as (
+  select *, (row_number() over (partition by doc_id, size, text_crc32) - 1) // {RUN} as part from d
+), k as (
+  select *, substr(md5(concat_ws('/', coalesce(doc_id::varchar, '-'), size, text_crc32, part)), 1, 3) as bucket from p
+)
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by bucket, doc_id nulls first, size, text_crc32) - 1 as slot, grown_shard from k""",
     "op4_benchmark_decontamination": r"""
 with d as (
   select distinct doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents

@@ -11,10 +11,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe, chat, decontam, jaccard, langid, quality_gbt, quality_rules, queries, secret_scan, sharding, toxicity
+from sightline.llm import bpe, chat, decontam, jaccard, langid, quality_gbt, quality_rules, queries, secret_scan, sharding, sql, toxicity
 from sightline.llm.common import Words, gram_counts, ngram_hash, utf8
 
-DATA = Path("/root/testdata/sf0.01")
+DATA, SMALL = Path("/root/testdata/sf0.01"), Path("/root/testdata/sf0.001")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, shard int, h string, sig bigint, n bigint"
 LONG = " ".join(f"word{i % 700} and more" for i in range(30_000))
 ODD = [None, "", "   \n ", "one", "two words", "The same text of seven words here", "The same text of seven words here", LONG, "émigré naïve ŒUVRE 東京 " * 5, "x" * 5000, "<|endoftext|> <|im_start|> \\ <|", "1234 5678 !!"]
@@ -319,6 +319,17 @@ def test_components_on_odd_rows(odd):
     assert jaccard.distinct_documents(odd, jaccard.Measure()).columns == odd.columns
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = "alpha beta gamma delta", "one two three four five", "red green blue white black"
+    docs = frame(spark, [a, a, b, b, None, c, None, "", c], [3, 7, 7, 9, 9, 12, 14, 12, None])
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(docs).collect() if r.doc_id is not None)
+    assert found == [(3, 2, 3), (7, 2, 3), (7, 3, 3), (9, 0, 3), (9, 3, 3), (12, 0, 12), (12, 3, 12), (14, 0, 14)]
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 2, "0")))
+    assert {(r.doc_id, r.component_id) for r in jaccard.components(named).collect()} == {("d03", "d03"), ("d07", "d03"), ("d09", "d03"), ("d12", "d12"), ("d14", "d14"), (None, None)}
+    kept = jaccard.distinct_documents(named.withColumns({"__id": F.lit(1), "task": F.lit(2), "grp": F.lit(3)}), jaccard.Measure())
+    assert sorted(r.doc_id or "" for r in kept.collect()) == ["", "d03", "d12", "d12", "d14"] and kept.columns[-3:] == ["__id", "task", "grp"]
+
+
 # 6 and 9
 
 
@@ -379,6 +390,42 @@ def test_sharding_law(spark, odd):
     assert sharding.shard_documents(empty(odd)).count() == 0
 
 
+def test_slots_are_the_rows_alone(spark):
+    """The same slots whatever the session's partitions; a null key's rows and a crowd of copies lie in many buckets or runs."""
+    docs = frame(spark, [f"text {i}" for i in range(1500)]).union(frame(spark, ["copy"] * 300, [5] * 300)).union(frame(spark, [f"lost {i}" for i in range(2000)], [None] * 2000))
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (3, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(map(tuple, sharding.shard_documents(docs.repartition(n)).collect()), key=str))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    slots = defaultdict(list)
+    for r in found[0]:
+        slots[r[4]].append(r[5])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 3800
+
+
+def test_a_crowd_of_copies_is_cut_into_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    docs = frame(spark, ["copy"] * 100 + ["other", "third"], [5] * 101 + [6])
+    rows = sharding.shard_documents(docs, shards=1).collect()
+    assert sorted(r.slot for r in rows) == list(range(102)) and sum(r.text_crc32 == zlib.crc32(b"copy") for r in rows) == 100
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", sorted(sql.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in SMALL.iterdir():
+        con.execute(f"create view {f.stem} as select * from '{f}'")
+    expected, found = con.execute(sql.ORACLE_SQL[name]).df(), queries.QUERIES[name](spark, str(SMALL)).toPandas()
+    assert sorted(found.columns) == sorted(expected.columns)
+    rows = lambda d: sorted(map(str, d[sorted(d.columns)].astype(object).itertuples(index=False)))
+    assert rows(found) == rows(expected)
+
+
 # 8
 
 
