@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sightline.llm.common import sliced
+from sightline.llm.common import fields_of, sliced
 
 #: White space as the tokenizer's normalizer and splitter see it.
 BLANK = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -338,5 +338,4 @@ def encode_documents(docs: DataFrame, path: str, decode: str = "decoded") -> Dat
             columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(told, ids), pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*keep, *added])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
-    return chosen.mapInArrow(encoded, f"{fields}, n_tokens bigint, ids binary, {decode} string")
+    return chosen.mapInArrow(encoded, f"{fields_of(chosen.schema)}, n_tokens bigint, ids binary, {decode} string")

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import Words, crc_mod, labelled_sample, sliced, utf8
+from sightline.llm.common import Words, crc_mod, fields_of, labelled_sample, sliced, spare, utf8
 from sightline.llm.quality_rules import SYMBOLS, duplicate_lines, repeated_words
 
-#: Labelled documents that the trees are fitted on, about, at most.
+#: Labelled documents that the trees are fitted on, at most.
 SAMPLE = 12_000
 ACCEPT = 0.7
 _CLASS = np.zeros((256, 8), bool)
@@ -108,7 +108,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold="true", sample: int = SAMPLE) -> Trees:
-    """Fit on about `sample` labelled documents at most, of the fold. Only their statistics reach the driver."""
+    """Fit on `sample` labelled documents at most, of the fold. Only their statistics reach the driver."""
 
     def measure(batches):
         for batch in sliced(batches):
@@ -134,8 +134,7 @@ def score(docs: DataFrame, model: Trees, out: str = "score") -> DataFrame:
             s = held.value.score(statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*keep, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
-    return chosen.mapInArrow(scored, f"{fields}, `{out}` double")
+    return chosen.mapInArrow(scored, f"{fields_of(chosen.schema)}, `{out}` double")
 
 
 def classify_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -146,6 +145,6 @@ def classify_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with their own columns."""
-    model = train(docs, labels, fold=crc_mod("doc_id", 4) != 2)
-    return score(docs, model, "__quality").where(F.col("__quality") >= ACCEPT).select(*docs.columns)
+    """The documents that the classifier accepts, with their own columns, whatever their names. Rows are judged by their texts alone."""
+    model, out = train(docs, labels, fold=crc_mod("doc_id", 4) != 2), spare(docs.columns, "__quality")
+    return score(docs, model, out).where(F.col(out) >= ACCEPT).drop(out)

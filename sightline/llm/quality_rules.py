@@ -7,10 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import SPACE, Words, code_points, gram_counts, ngram_hash, sliced, small, tree_sum, utf8
+from sightline.llm.common import SPACE, Words, code_points, fields_of, gram_counts, ngram_hash, sliced, small, utf8
 
 ORDERS, BITS = (3,), 15
-#: A text is kept from this mean log-likelihood ratio on, in nats for each n-gram.
+#: Languages have models of their own, by a hash of their name: so many at most, beyond which some share one.
+STRATA = 32
+#: How many n-grams of the language's raw model the trusted one starts with: what trusted texts have not shown yet is taken to be as in the corpus.
+PRIOR = 10_000.0
+#: A text is kept from this mean log-likelihood ratio on, in nats for each n-gram: unless trusted texts of its language make its n-grams rarer, by
+#: the geometric mean, than the corpus does by more than a seventh.
 THRESHOLD = -0.15
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -53,40 +58,52 @@ def base_counts(column: pa.Array) -> dict[str, list[int]]:
     }
 
 
-def ratio(docs: DataFrame, trusted: DataFrame, smooth: float = 1.0) -> np.ndarray:
-    """For each bucket, the log of its share among the n-grams of the trusted documents over its share in the whole corpus.
+def _stratum(docs: DataFrame):
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    return F.pmod(F.crc32(lang.cast("binary")), F.lit(STRATA)).cast("int")
 
-    docs: doc_id, text; trusted: doc_id. Every document counts; null texts hold nothing. Without any trusted text, all zeros.
+
+def ratio(docs: DataFrame, trusted: DataFrame, prior: float = PRIOR) -> np.ndarray:
+    """For each language and bucket, the log of its share among the n-grams of the trusted documents over its share in the whole corpus.
+
+    docs: doc_id, text, and lang if there; trusted: doc_id. Every document counts; null texts hold nothing, a null language is one of its own. How
+    common a language is among trusted documents is no merit of a text, so shares are within a language. A language without any trusted text has
+    zeros. STRATA x 2**BITS values.
     """
     ids = trusted.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
-    marked = docs.select("doc_id", "text").join(small(ids), F.col("doc_id") == F.col("__id"), "left").select("text", F.col("__id").isNotNull().alias("trusted"))
+    chosen = docs.select("doc_id", "text", _stratum(docs).alias("stratum"))
+    marked = chosen.join(small(ids), F.col("doc_id") == F.col("__id"), "left").select("text", "stratum", F.col("__id").isNotNull().alias("trusted"))
 
     def count(batches):
-        total = np.zeros((2, 1 << BITS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in sliced(batches):
             points, offsets = code_points([t or "" for t in batch.column("text").to_pylist()])
-            for i, good in enumerate(batch.column("trusted").to_pylist()):
+            for i, (k, good) in enumerate(zip(batch.column("stratum").to_pylist(), batch.column("trusted").to_pylist())):
                 found = gram_counts(points[offsets[i] : offsets[i + 1]], ORDERS, BITS)
-                total[0] += found
-                if good:
-                    total[1] += found
-        yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
-
-    total = tree_sum(marked.mapInArrow(count, "v binary"))
-    if not len(total):
-        return np.zeros(1 << BITS)
-    raw, good = total.reshape(2, -1).astype(float)
-    if not good.sum():
-        return np.zeros(1 << BITS)
-    share = lambda x: np.log((x + smooth) / (x.sum() + smooth * len(x)))
-    return share(good) - share(raw)
+                own = total.setdefault(k, np.zeros((2, 1 << BITS), np.int64))
+                own[0] += found
+                own[1] += found if good else 0
+        for k, (raw, good) in total.items():
+            at = np.flatnonzero(raw)
+            yield pa.RecordBatch.from_pydict({"stratum": pa.array(np.full(len(at), k, np.int32)), "bucket": pa.array(at.astype(np.int32)), "raw": pa.array(raw[at]), "good": pa.array(good[at])})
+
+    counted = marked.mapInArrow(count, "stratum int, bucket int, raw bigint, good bigint")
+    sums = counted.groupBy("stratum", "bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
+    table = np.zeros((2, STRATA, 1 << BITS))
+    for i, name in enumerate(("raw", "good")):
+        table[i, sums.column("stratum").to_numpy(), sums.column("bucket").to_numpy()] = sums.column(name).to_numpy()
+    raw, good = table
+    share = (raw + 0.5) / (raw + 0.5).sum(axis=1, keepdims=True)
+    found = np.log((good + prior * share) / (good.sum(axis=1, keepdims=True) + prior)) - np.log(share)
+    return np.where(good.sum(axis=1, keepdims=True) > 0, found, 0.0)
 
 
 def judge(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """Judge every whole text: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr.
 
-    llr is the mean of the weights over the text's n-grams (0 without any). kept: not base_failed, and llr is `threshold` at least.
-    Null and empty texts have no words, so they fail. Repeated rows are judged alike. Other columns are not read.
+    llr is the mean of the weights of the text's language over its n-grams (0 without any). kept: not base_failed, and llr is `threshold` at
+    least. Null and empty texts have no words, so they fail. Repeated rows are judged alike. docs: doc_id (of any type), text, and lang if there;
+    other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -94,13 +111,14 @@ def judge(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
         for batch in sliced(batches):
             points, offsets = code_points([t or "" for t in batch.column("text").to_pylist()])
             llr = []
-            for a, b in zip(offsets[:-1], offsets[1:]):
+            for a, b, k in zip(offsets[:-1], offsets[1:], batch.column("stratum").to_pylist()):
                 found = gram_counts(points[a:b], ORDERS, BITS)
-                llr.append(float(found @ held.value) / max(1, int(found.sum())))
+                llr.append(float(found @ held.value[k]) / max(1, int(found.sum())))
             out = {"doc_id": batch.column("doc_id")} | {k: pa.array(v, pa.int64()) for k, v in base_counts(batch.column("text")).items()} | {"llr": pa.array(llr, pa.float64())}
             yield pa.RecordBatch.from_pydict(out)
 
-    counted = docs.select("doc_id", "text").mapInArrow(judged, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, llr double")
+    chosen = docs.select("doc_id", "text", _stratum(docs).alias("stratum"))
+    counted = chosen.mapInArrow(judged, f"{fields_of(docs.select('doc_id').schema)}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, llr double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr")
 

@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import Words, crc_mod, labelled_sample, sliced, utf8
+from sightline.llm.common import Words, crc_mod, fields_of, labelled_sample, sliced, utf8
 
 BITS, FACTORS = 18, 8
-#: Labelled documents that the machine is fitted on, about, at most.
+#: Labelled documents that the machine is fitted on, at most.
 SAMPLE = 16_000
-#: A term is one of the model's if this many sampled documents hold it, and if its shares among the two labels differ by so many standard errors.
-LEAST, ERRORS = 8, 6.0
+#: A term or a pair of terms can be one of the model's if this many sampled documents hold it and its shares among the two labels differ by so many
+#: standard errors; a pair also by MORE of them than its terms do. Pairs are looked for among PAIRED terms.
+LEAST, ERRORS, MORE, PAIRED = 8, 6.0, 3.0, 2048
 _GAPS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
@@ -44,14 +45,37 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.bias + float(self.weight[at].sum()) + pairs, -30, 30))))
 
 
+def errors(bad: np.ndarray, good: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """By how many standard errors the shares bad / n1 and good / n0 differ."""
+    p = (bad + good) / (n1 + n0)
+    return (bad / n1 - good / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+
+
 def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Hashed terms that are frequent enough, and more frequent in one label than chance explains. Others only add noise to long texts."""
+    """Hashed terms that tell the labels apart more than chance explains: alone, or in a pair that tells more than either of its terms does.
+
+    Others only add noise to long texts. Pairs are looked for among the PAIRED terms that most sampled documents hold.
+    """
     share = lambda some: np.bincount(np.concatenate([np.zeros(0, np.int64), *some]).astype(np.int64), minlength=1 << BITS)
     bad, good = share([r for r, t in zip(rows, y) if t]), share([r for r, t in zip(rows, y) if not t])
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    p = (bad + good) / (n1 + n0)
-    z = (bad / n1 - good / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    return np.flatnonzero((bad + good >= LEAST) & (np.abs(z) >= ERRORS))
+    alone = np.abs(errors(bad, good, n1, n0))
+    often = np.flatnonzero(bad + good >= LEAST)
+    kept = often[alone[often] >= ERRORS]
+    often = np.sort(often[np.argsort(-(bad + good)[often], kind="stable")[:PAIRED]])
+    place = np.full(1 << BITS, -1, np.int32)
+    place[often] = np.arange(len(often))
+    both = np.zeros((2, len(often), len(often)), np.float32)
+    for label in (0, 1):
+        mine = [place[r] for r, t in zip(rows, y) if t == label]
+        for i in range(0, len(mine), 1024):
+            held = np.zeros((min(1024, len(mine) - i), len(often)), np.float32)
+            for k, r in enumerate(mine[i : i + 1024]):
+                held[k, r[r >= 0]] = 1
+            both[label] += held.T @ held
+    z = np.abs(errors(both[1], both[0], n1, n0))
+    more = (both.sum(axis=0) >= LEAST) & (z >= np.maximum(ERRORS, np.maximum(alone[often][:, None], alone[often][None, :]) + MORE))
+    return np.union1d(kept, often[more.any(axis=1)])
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 10, rate: float = 0.15, l2: float = 3e-5, batch: int = 64) -> Machine:
@@ -89,7 +113,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 10, rate: float = 0
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold="true", sample: int = SAMPLE) -> Machine:
-    """Fit on about `sample` labelled documents at most, of the fold. Only their hashed terms reach the driver."""
+    """Fit on `sample` labelled documents at most, of the fold. Only their hashed terms reach the driver."""
 
     def hashed(batches):
         for batch in sliced(batches):
@@ -103,7 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold="true",
 def score(docs: DataFrame, model: Machine) -> DataFrame:
     """doc_id and score (the chance that the text is toxic) of every whole text.
 
-    Null and empty texts have no terms: their score is the bias alone. Repeated rows get equal scores. Other columns are not read.
+    Null and empty texts have no terms: their score is the bias alone. Repeated rows get equal scores. Ids are of any type, null or not. Other
+    columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -111,7 +136,7 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
         for batch in sliced(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array([held.value.score(t) for t in terms(batch.column("text"))], pa.float64())})
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id bigint, score double")
+    return docs.select("doc_id", "text").mapInArrow(scored, f"{fields_of(docs.select('doc_id').schema)}, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.llm import bpe, chat, decontam, jaccard, langid, quality_gbt, quality_rules, queries, secret_scan, sharding, sql, toxicity
-from sightline.llm.common import Words, gram_counts, ngram_hash, utf8
+from sightline.llm.common import Words, gram_counts, ngram_hash, sampled, utf8
 
-DATA, SMALL = Path("/root/testdata/sf0.01"), Path("/root/testdata/sf0.001")
+DATA, SMALL, LARGE = (Path(f"/root/testdata/{x}") for x in ("sf0.01", "sf0.001", "sf0.1"))
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, shard int, h string, sig bigint, n bigint"
 LONG = " ".join(f"word{i % 700} and more" for i in range(30_000))
 ODD = [None, "", "   \n ", "one", "two words", "The same text of seven words here", "The same text of seven words here", LONG, "émigré naïve ŒUVRE 東京 " * 5, "x" * 5000, "<|endoftext|> <|im_start|> \\ <|", "1234 5678 !!"]
@@ -340,7 +340,11 @@ def test_classifiers_on_odd_rows(odd, labels):
         assert len({r.score for r in rows if r.doc_id == 50}) == 1
         assert run(empty(odd), labels).count() == 0
         assert run(odd, empty(labels)).count() == odd.count()
-    assert quality_gbt.good_documents(odd, labels).columns == odd.columns
+    clash = odd.withColumns({"__quality": F.lit("mine"), "__id": F.lit(1), "label": F.lit("x")})
+    assert quality_gbt.good_documents(clash, labels).columns == clash.columns
+    assert {r["__quality"] for r in quality_gbt.good_documents(clash, empty(labels)).collect()} <= {"mine"}
+    named, texts = odd.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert toxicity.score_documents(named, texts).where("doc_id is not null").count() == odd.count() - 1
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
@@ -349,16 +353,47 @@ def test_quality_held_out(spark):
     assert found.where("predicted = quality").count() >= 0.93 * found.count()
 
 
-def test_machine_learns_a_pair_that_is_bad_together():
-    rng = np.random.default_rng(0)
-    rows, y = [], []
-    for _ in range(1500):
+def paired(kind, n=2000):
+    """Documents of 30 neutral terms, some with terms 7 and 9: by themselves each is as frequent in both labels."""
+    rng, rows, y = np.random.default_rng(0), [], []
+    for _ in range(n):
         a, b = rng.random(2) < 0.5
-        rows.append(np.unique(np.array([7] * int(a) + [9] * int(b) + list(rng.integers(100, 140, 5)), np.int32)))
-        y.append(float(a and b))
-    m = toxicity.fit(rows, np.array(y), epochs=30)
+        rows.append(np.unique(np.array([7] * int(a) + [9] * int(b) + list(rng.integers(100, 400, 30)), np.int32)))
+        y.append(float(a == b) if kind == "both or none" else float(a and b) if a or b else float(rng.random() < 0.5))
+    return rows, np.array(y)
+
+
+@pytest.mark.parametrize("kind", ["both or none", "only both"])
+def test_machine_learns_a_pair_of_balanced_terms(kind):
+    rows, y = paired(kind)
+    m = toxicity.fit(rows[:1600], y[:1600])
     alone = max(m.score(np.array([7], np.int32)), m.score(np.array([9], np.int32)))
     assert m.score(np.array([7, 9], np.int32)) > 0.5 > alone
+    right = [(m.score(r) >= 0.5) == t for r, t in zip(rows[1600:], y[1600:]) if kind == "both or none" or 7 in r or 9 in r]
+    assert np.mean(right) > 0.95
+
+
+def test_machine_score_equals_the_sum_over_pairs():
+    rng = np.random.default_rng(1)
+    m = toxicity.Machine(np.arange(50, dtype=np.int32), -0.3, rng.normal(size=50), rng.normal(size=(50, 3)))
+    at = np.array([3, 8, 21, 40], np.int32)
+    s = m.bias + sum(m.weight[i] for i in at) + sum(m.factor[i] @ m.factor[j] for n, i in enumerate(at) for j in at[:n])
+    assert abs(m.score(at) - 1 / (1 + np.exp(-s))) < 1e-12
+
+
+@pytest.mark.skipif(not LARGE.exists(), reason="needs the driver's tables")
+def test_toxicity_held_out(spark):
+    found = queries.op6_toxicity(spark, str(LARGE)).join(queries.table(spark, str(LARGE), "labels"), "doc_id").where("held_out and toxic is not null").collect()
+    bad, good = [r for r in found if r.toxic], [r for r in found if not r.toxic]
+    assert sum(r.predicted for r in bad) >= 0.8 * len(bad) and sum(r.predicted for r in good) <= 0.01 * len(good)
+
+
+def test_samples_are_bounded(spark):
+    docs = frame(spark, [f"text {i}" for i in range(400)] + ["copy"] * 300, [*range(400), *([7] * 300)])
+    assert 100 < sampled(docs.select("doc_id", "text"), "doc_id", 150, "s").count() <= 150
+    assert sampled(docs.select("doc_id", "text"), "doc_id", 1000, "s").count() == 401
+    held = sampled(docs.select("doc_id", "text"), "doc_id", 1000, "s", 500).collect()
+    assert 0 < sum(len(r.text) for r in held) <= 500
 
 
 def test_trees_fit_a_step():
@@ -478,14 +513,48 @@ def test_rules_equal_brute_force(odd, labels):
     assert quality_rules.judge_documents(empty(odd), labels).count() == 0
 
 
-def test_ratio_counts_all_texts(spark):
-    docs = frame(spark, ["aaaa bbbb", "aaaa cccc", None])
-    weights = quality_rules.ratio(docs, docs.where("doc_id = 0").select("doc_id"))
-    points = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
-    count = lambda t: gram_counts(points(t), quality_rules.ORDERS, quality_rules.BITS) + 0.0
-    good, raw = count("aaaa bbbb"), count("aaaa bbbb") + count("aaaa cccc")
-    share = lambda x: np.log((x + 1) / (x.sum() + len(x)))
-    assert np.allclose(weights, share(good) - share(raw))
+def grams_of(text):
+    return gram_counts(np.frombuffer((text or "").encode("utf-32-le"), np.uint32), quality_rules.ORDERS, quality_rules.BITS) + 0.0
+
+
+def brute_llr(rows, trusted, prior=quality_rules.PRIOR):
+    """rows: (id, text, lang). The ratio by its definition, one language at a time."""
+    out = {}
+    for lang in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == lang]
+        raw, good = sum(grams_of(t) for _, t, _ in own) + 0.5, sum((grams_of(t) for i, t, _ in own if i in trusted), np.zeros(1 << quality_rules.BITS))
+        base = raw / raw.sum()
+        weight = np.log((good + prior * base) / (good.sum() + prior) / base)
+        out |= {i: float(grams_of(t) @ weight / max(1, grams_of(t).sum())) for i, t, _ in own}
+    return out
+
+
+def test_ratio_equals_brute_force(spark, odd, labels):
+    rng = random.Random(9)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(10, 60)))
+    rows = [(i, text("abcdehilr" if i % 3 else "éàstuvwxyz") if i % 11 else text("#$%&|zq"), ["en", "fr", None][i % 3]) for i in range(90)] + [(90, None, "en"), (91, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    trusted = {i for i in range(90) if i % 11 and i % 2}
+    found = quality_rules.judge_documents(docs, spark.createDataFrame([(i, int(i in trusted)) for i in range(90)] + [(1, None)], "doc_id bigint, quality int")).collect()
+    expected = brute_llr(rows, trusted)
+    assert len(found) == len(rows)
+    for r in found:
+        assert abs(r.llr - expected[r.doc_id]) < 1e-9 and r.kept == (not r.base_failed and expected[r.doc_id] >= quality_rules.THRESHOLD)
+    assert [r.kept for r in found if r.doc_id == 11] == [False]
+    bare = quality_rules.judge_documents(odd.drop("lang").withColumn("doc_id", F.col("doc_id").cast("string")), labels)
+    assert bare.count() == odd.count() and quality_rules.judge_documents(odd, empty(labels)).where("llr <> 0").count() == 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_rules_are_fair_to_languages(spark):
+    docs = queries.table(spark, str(DATA), "documents").select("doc_id", "lang")
+    judged = queries.op10_quality_rules(spark, str(DATA)).where("not base_failed").join(docs, "doc_id").join(queries.table(spark, str(DATA), "labels"), "doc_id", "left")
+    rows = judged.collect()
+    for lang in ("en", "fr", "es", "de"):
+        own = [r for r in rows if r.lang == lang]
+        assert sum(r.kept for r in own) >= 0.9 * len(own) and all(r.kept for r in own if r.quality == 1)
+    bad = [r for r in rows if r.quality == 0]
+    assert sum(r.kept for r in bad) <= 0.1 * len(bad)
 
 
 # helpers
