@@ -65,8 +65,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.train(secret_scan.labelled_findings(spark))
-    return secret_scan.scan(table(spark, sf_dir, "documents"), forest)
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
