@@ -29,7 +29,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays."""
-    return secret_scan.redact(docs, secret_scan.train(secret_scan.labelled_findings(spark)))
+    return secret_scan.redact(docs, secret_scan.fit(docs))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
