@@ -108,11 +108,13 @@ def masked(formatted: Column, spans: Column) -> Column:
 def as_trees(conversations: DataFrame) -> DataFrame:
     """Linear conversations as reply trees: each row answers the one before it.
 
-    Rows go by turn (nulls last), ties by role and text. Rows without a conv_id form one conversation with a null conv_id.
+    Rows go by turn (nulls last), ties by role and text. Rows without a conv_id form one conversation with a null conv_id. A conversation of any
+    length, and texts of any length, are one row of the formatted result, and no more of them is held than that. Repeated rows are turns of their
+    own. An empty table gives no rows; other columns are not read. Rows are ordered once, and written, so that ids are read without texts later.
     """
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "text")
     at = F.row_number().over(order).cast("long")
-    return conversations.select("conv_id", "role", "text", at.alias("node")).select(
+    placed = conversations.select("conv_id", "role", "text", at.alias("node")).select(
         F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("none")).alias("tree"),
         "conv_id",
         "node",
@@ -121,3 +123,4 @@ def as_trees(conversations: DataFrame) -> DataFrame:
         "text",
         F.lit(1.0).alias("score"),
     )
+    return materialize(placed)

@@ -62,6 +62,14 @@ def test_chat_orders_ties_and_nulls(spark):
     assert {r.tree: [tuple(t) for t in r.t] for r in told} == {"c1": [("user", "a"), ("user", "b"), ("assistant", "")], "none": [("user", "lost")], "c2": [("", "x")]}
 
 
+def test_chat_with_a_very_long_text_and_conversation(spark):
+    rows = [(1, 0, "user", LONG), (1, 1, "assistant", "\\<|" * 50_000)] + [(2, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(300)]
+    c = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"tree": F.lit(1), "node": F.lit("x"), "__tree": F.lit(0)})
+    told = chat.format_trees(chat.as_trees(c)).select("tree", "n_turns", chat.parse(F.col("formatted")).alias("t"), chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    assert {r.tree: [tuple(t) for t in r.t] for r in told} == {f"c{k}": [(role, text) for i, _, role, text in rows if i == k] for k in (1, 2)}
+    assert {r.tree: r.loss for r in told}["c1"] == rows[1][3]
+
+
 # 2
 
 
