@@ -46,11 +46,16 @@ def _on(a: Column, b: Column, p: Column) -> Column:
 
 def in_ring(p: Column, ring: Column) -> Column:
     """Whether a point lies in a closed ring: a ray to the right crosses it an odd number of times, or the point is on the border."""
+    return in_edges(p, edges(ring))
+
+
+def in_edges(p: Column, edges: Column) -> Column:
+    """As in_ring, from the ring's edges."""
     crosses = lambda e: ((e["a"]["y"] > p["y"]) != (e["b"]["y"] > p["y"])) & (
         p["x"] < (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]
     )
-    odd = F.size(F.filter(edges(ring), lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    return odd | F.exists(edges(ring), lambda e: _on(e["a"], e["b"], p))
+    odd = F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+    return odd | F.exists(edges, lambda e: _on(e["a"], e["b"], p))
 
 
 def segments_cross(a: Column, b: Column, c: Column, d: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import ids
 from sightline.operators.components import connected_components
+from sightline.operators.tables import discard, materialize
 
 
 def summary(supports: DataFrame, key: str) -> DataFrame:
@@ -98,14 +100,17 @@ def relation(a: Group, b: Group) -> str:
     return "CONFLICT" if {_node(t) for t in left} & {_node(t) for t in right} else "MERGEABLE"
 
 
-def settle(edges: Iterable[Edge]) -> list[Edge]:
-    """Of edges in conflict the higher score stays, and one edge for each pair."""
-    kept: list[Edge] = []
-    for e in edges:
-        rivals = [k for k in kept if {k.left, k.right} == {e.left, e.right} or _clash(k, e)]
-        if all(k.score < e.score for k in rivals):
-            kept = [k for k in kept if k not in rivals] + [e]
-    return kept
+def put(kept: list[Edge], e: Edge) -> None:
+    """Add an edge: of two edges of one pair the higher score stays; lower ones that conflict with it go; the edge itself is added whatever conflicts."""
+    for k in list(kept):
+        if {k.left, k.right} == {e.left, e.right}:
+            if k.score < e.score:
+                kept.remove(k)
+                kept.append(e)
+            return
+        if _clash(k, e) and k.score < e.score:
+            kept.remove(k)
+    kept.append(e)
 
 
 def _clash(a: Edge, b: Edge) -> bool:
@@ -116,44 +121,92 @@ def _clash(a: Edge, b: Edge) -> bool:
     return _node(mine) == _node(other) or _node(mine) in {_node(t) for t in common}
 
 
-def without_conflicts(held: Group, new: Group) -> Group | None:
-    """Merge what of `held` does not stand against `new`."""
-    foreign = {t for t in held.tracklets - new.tracklets if _node(t) in {_node(x) for x in new.tracklets}}
-    rest = [e for e in held.supports if not {e.left, e.right} & foreign]
-    return Group(settle(sorted([*new.supports, *rest], key=lambda e: (e.ts, e.left, e.right)))) if rest else None
+def _by_time(edges: Iterable[Edge]) -> list[Edge]:
+    return sorted(edges, key=lambda e: (e.ts, e.left, e.right))
 
 
-def insert(held: list[Group], new: Group, expand: bool = True, limit: int = 2000) -> None:
-    """Add an association to a closure: what it subsumes goes, what subsumes it stays, and merges with others are added too."""
-    merges, conflicts = [], []
-    for old in list(held):
-        how = relation(old, new)
-        if how == "SAME":
-            if new.score > old.score:
-                held[held.index(old)] = new
-            return
-        if how == "LEFT_SUBSUME":
-            return
-        if how == "RIGHT_SUBSUME":
-            held.remove(old)
-        elif how == "MERGEABLE":
-            merges.append(old)
-        elif how == "CONFLICT":
-            conflicts.append(old)
-    if len(held) > limit:
-        raise ValueError(f"a component holds more than {limit} associations; raise the least score of its edges")
-    added = False
-    for old in merges:
-        merged = Group(old.supports | new.supports)
-        added = added or merged.tracklets != new.tracklets
-        insert(held, merged, expand, limit)
-    if expand:
-        for old in conflicts:
-            if (merged := without_conflicts(old, new)) and merged.tracklets > new.tracklets:
-                added = True
-                insert(held, merged, False, limit)
-    if not added:
-        held.append(new)
+def without_conflicts(held: Group, new: Group) -> Group | None:
+    """What of `held` does not stand against `new`, then `new`, put together edge by edge."""
+    nodes = {_node(x) for x in new.tracklets}
+    foreign = {t for t in held.tracklets - new.tracklets if _node(t) in nodes}
+    rest = [e for e in held.supports if not {e.left, e.right} & foreign]
+    if not rest:
+        return None
+    kept: list[Edge] = []
+    for e in [*_by_time(rest), *_by_time(new.supports)]:
+        put(kept, e)
+    return Group(kept)
+
+
+class Closure:
+    """Associations none of which holds another one, found by their tracklets: adding one looks at those alone that share a tracklet with it."""
+
+    def __init__(self):
+        self.held: dict[frozenset[str], Group] = {}
+        self.at: dict[str, set[frozenset[str]]] = {}
+        self.place: dict[frozenset[str], int] = {}
+        self.count = 0
+
+    def __iter__(self):
+        return iter(list(self.held.values()))
+
+    def holds(self, tracklet: str) -> bool:
+        return bool(self.at.get(tracklet))
+
+    def touching(self, tracklets: Iterable[str]) -> list[Group]:
+        """Those that share a tracklet, in the order in which they came."""
+        return [self.held[k] for k in sorted({k for t in tracklets for k in self.at.get(t, ())}, key=self.place.__getitem__)]
+
+    def put(self, g: Group) -> None:
+        self.held[g.tracklets], self.place[g.tracklets], self.count = g, self.count, self.count + 1
+        for t in g.tracklets:
+            self.at.setdefault(t, set()).add(g.tracklets)
+
+    def drop(self, g: Group) -> None:
+        del self.held[g.tracklets]
+        for t in g.tracklets:
+            self.at[t].remove(g.tracklets)
+
+    def add(self, new: Group, expand: bool = True) -> bool:
+        """Add an association; whether anything came in. What it holds goes, what holds it keeps it out, a better one of the same tracklets takes
+        the place (and the first time, if earlier, of the other); merges with others come in its stead."""
+        same = self.held.get(new.tracklets)
+        if same is not None:
+            if same.score >= new.score:
+                return False
+            new.first_ts = min(new.first_ts, same.first_ts)
+            self.drop(same)
+            self.put(new)
+            return True
+        near = self.touching(new.tracklets)
+        if any(g.tracklets > new.tracklets for g in near):
+            return False
+        merges, conflicts = [], []
+        for g in near:
+            if g.tracklets < new.tracklets:
+                self.drop(g)
+            elif relation(g, new) == "MERGEABLE":
+                merges.append(g)
+            else:
+                conflicts.append(g)
+        added = False
+        for merged in [Group(g.supports | new.supports) for g in merges]:
+            added = self.add(merged) or added
+        if expand:
+            for freed in [f for g in conflicts if (f := without_conflicts(g, new))]:
+                added = self.add(freed, False) or added
+        if not added:
+            self.put(new)
+        return True
+
+    def resolve(self, key: Group) -> None:
+        """Cut a group's tracklets from all associations; what is left of one is added anew, part by part."""
+        touched = self.touching(key.tracklets)
+        for g in touched:
+            self.drop(g)
+        for g in touched:
+            for part in cut(g, key.tracklets):
+                self.add(part)
 
 
 def cut(group: Group, key: frozenset[str]) -> list[Group]:
@@ -166,58 +219,133 @@ def cut(group: Group, key: frozenset[str]) -> list[Group]:
     return [Group(p) for p in parts]
 
 
-def best(held: list[Group]) -> list[Group]:
+def best(held: Iterable[Group]) -> list[Group]:
     """Greedily the largest, then the best scored; what the others share with it is cut from them."""
     rest, chosen = sorted(held, key=Group.rank), []
     while rest:
         head, *rest = rest
         chosen.append(head)
         parts: list[Group] = []
+        seen: set[frozenset[str]] = set()
         for g in rest:
             for p in cut(g, head.tracklets) if g.tracklets & head.tracklets else [g]:
-                if all(p.tracklets != q.tracklets for q in parts):
+                if p.tracklets not in seen:
+                    seen.add(p.tracklets)
                     parts.append(p)
         rest = sorted(parts, key=Group.rank)
     return chosen
 
 
-def closure(edges: list[Edge]) -> list[Group]:
-    held: list[Group] = []
-    for e in sorted(edges, key=lambda e: (e.ts, e.left, e.right)):
-        insert(held, Group([e]))
+def outranks(a: Group, b: Group) -> bool:
+    """Whether a is superior to b: it holds b and more, or the same with a higher score, or conflicts with it, is no smaller and scores higher."""
+    how = relation(a, b)
+    return how == "LEFT_SUBSUME" or (how == "SAME" and a.score > b.score) or (how == "CONFLICT" and len(a.tracklets) >= len(b.tracklets) and a.score > b.score)
+
+
+def closure(edges: Iterable[Edge]) -> Closure:
+    held = Closure()
+    for e in _by_time(edges):
+        held.add(Group([e]))
     return held
 
 
-def _fold(edges: DataFrame, choose) -> DataFrame:
-    """Run `choose` over the closure of each connected component; components never touch each other's tracklets."""
-    part = connected_components(edges, "left_id", "right_id")
-    dealt = edges.join(part.withColumnRenamed("id", "__id"), F.col("left_id") == F.col("__id"))
+def graduates(edges: Iterable[Edge], closed: Iterable[tuple[int, str]]) -> tuple[list[Group], list[str]]:
+    """Associations that become final as tracklets close, and closed tracklets that remain alone.
+
+    Edges and closings (ts, tracklet) come in order of time, edges first. At a closing, the best of those associations all of whose tracklets
+    have closed are final, unless the closure still holds a superior one; a final one's tracklets are cut from the others. A closed tracklet that no
+    association holds any more, and no final one, is alone. Associations that wait for an open tracklet at the end are neither.
+    """
+    held, gone, final, alone, settled = Closure(), set(), [], [], set()
+    events = [(e.ts, 0, e.left, e.right, e) for e in edges] + [(ts, 1, t, "", None) for ts, t in closed]
+    for _, kind, t, _, e in sorted(events, key=lambda x: x[:4]):
+        if kind == 0:
+            held.add(Group([e]))
+            continue
+        gone.add(t)
+        for g in best([g for g in held if g.tracklets <= gone]):
+            if any(outranks(h, g) for h in held.touching(g.tracklets)):
+                continue
+            held.resolve(g)
+            final.append(g)
+            settled |= g.tracklets
+            gone -= g.tracklets
+        lone = sorted(x for x in gone if not held.holds(x))
+        alone += [x for x in lone if x not in settled]
+        gone -= set(lone)
+    return final, alone
+
+
+def _groups(found: Iterable[Group]):
+    import pandas as pd
+
+    columns = ["id", "tracklets", "size", "score", "first_ts", "ts"]
+    return pd.DataFrame([(g.id, "-".join(sorted(g.tracklets)), len(g.tracklets), round(g.score, 6), g.first_ts, g.ts) for g in found], columns=columns)
+
+
+def _edges(group) -> list[Edge]:
+    return [Edge(r.left_id, r.right_id, r.score, r.first_ts, max(r.left_ts, r.right_ts), r.id) for r in group.itertuples()]
+
 
-    def run(group):
-        import pandas as pd
+def _dealt(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with the connected component that they belong to, and the component of each tracklet. Components never touch each other's tracklets."""
+    columns = ["left_id", "right_id", "score", "first_ts", "left_ts", "right_ts", "id"]
+    edges = materialize(edges.select(*columns))
+    part = materialize(connected_components(edges, "left_id", "right_id")).withColumnRenamed("id", "__id")
+    return edges.join(part, F.col("left_id") == F.col("__id")).drop("__id"), part
 
-        found = choose(closure([Edge(r.left_id, r.right_id, r.score, r.first_ts, max(r.left_ts, r.right_ts), r.id) for r in group.itertuples()]))
-        return pd.DataFrame([(g.id, "-".join(sorted(g.tracklets)), len(g.tracklets), round(g.score, 6), g.first_ts, g.ts) for g in found], columns=["id", "tracklets", "size", "score", "first_ts", "ts"])
 
-    columns = ["component", "left_id", "right_id", "score", "first_ts", "left_ts", "right_ts", "id"]
-    return dealt.select(*columns).groupBy("component").applyInPandas(run, "id string, tracklets string, size int, score double, first_ts long, ts long")
+SHAPE = "id string, tracklets string, size int, score double, first_ts long, ts long"
 
 
 def closures(edges: DataFrame) -> DataFrame:
-    """All consistent associations that edges, taken in order of time, grow into."""
-    return _fold(edges, lambda held: held)
+    """All consistent associations that edges, taken in order of time, grow into. There can be as many as a component has ways to choose a
+    tracklet for each node, as there is no other rule than consistency; a component is walked by one task."""
+    return _dealt(edges)[0].groupBy("component").applyInPandas(lambda group: _groups(closure(_edges(group))), SHAPE)
 
 
 def best_associations(edges: DataFrame) -> DataFrame:
     """Associations that share no tracklet, the best first."""
-    return _fold(edges, best)
+    return _dealt(edges)[0].groupBy("component").applyInPandas(lambda group: _groups(best(closure(_edges(group)))), SHAPE)
 
 
 def final_assignments(edges: DataFrame, closed: DataFrame) -> DataFrame:
-    """tracklet, association: of the best associations for their members, of its own for every other closed tracklet."""
-    chosen = best_associations(edges).select(F.explode(F.split("tracklets", "-")).alias("tracklet"), F.col("id").alias("association"))
-    alone = closed.select("tracklet").distinct().join(chosen, "tracklet", "left_anti")
-    return chosen.union(alone.select("tracklet", F.col("tracklet").alias("association")))
+    """tracklet, association: of final associations for their members, of its own for every closed tracklet that remains alone (see graduates).
+
+    closed: tracklet, ts. Tracklets of associations that wait for open ones have none yet.
+    """
+    import pandas as pd
+
+    dealt, part = _dealt(edges)
+    ends = materialize(closed.groupBy("tracklet").agg(F.min("ts").alias("closed_ts")))
+    placed = ends.join(part, F.col("tracklet") == F.col("__id"), "left")
+
+    def walk(group, closings):
+        final, alone = graduates(_edges(group), zip(closings.closed_ts, closings.tracklet))
+        rows = [(t, g.id) for g in final for t in sorted(g.tracklets)] + [(t, t) for t in alone]
+        return pd.DataFrame(rows, columns=["tracklet", "association"])
+
+    told = dealt.groupBy("component").cogroup(placed.where("component is not null").select(F.col("component").alias("__c"), "tracklet", "closed_ts").groupBy("__c")).applyInPandas(walk, "tracklet string, association string")
+    return told.union(placed.where("component is null").select("tracklet", F.col("tracklet").alias("association")))
+
+
+def greedy_edges(edges: DataFrame) -> DataFrame:
+    """Edges that share no tracklet: the best score first (then the smaller ids), and none that touches one before it.
+
+    In rounds: edges that are the best at both of their ends are chosen, which are just those that the order would choose, and what they touch goes.
+    """
+    columns = ["left_id", "right_id", "score"]
+    rest, chosen = materialize(edges.select(*columns)), []
+    while not rest.isEmpty():
+        rank = F.struct((-F.col("score")).alias("s"), "left_id", "right_id")
+        ends = rest.select(F.explode(F.array("left_id", "right_id")).alias("t"), rank.alias("r")).groupBy("t").agg(F.min("r").alias("r"))
+        picked = materialize(ends.groupBy("r").agg(F.count("*").alias("n")).where("n = 2").select(F.col("r.left_id").alias("left_id"), F.col("r.right_id").alias("right_id"), (-F.col("r.s")).alias("score")))
+        chosen.append(picked)
+        taken = picked.select(F.explode(F.array("left_id", "right_id")).alias("t"))
+        last = rest
+        rest = materialize(rest.join(taken.withColumnRenamed("t", "left_id"), "left_id", "left_anti").join(taken.withColumnRenamed("t", "right_id"), "right_id", "left_anti").select(*columns))
+        discard(last)
+    return functools.reduce(DataFrame.union, chosen) if chosen else rest
 
 
 def without_tracklet(supports: DataFrame, key: str, tracklet: str) -> DataFrame:

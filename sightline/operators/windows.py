@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,16 @@ def newest_only(df: DataFrame, advance: int, deleted: str = "is_deleted", ts: st
     return df.where(~F.col(deleted) | (F.col(ts) - F.col(begin) < advance))
 
 
+def number_in_order(df: DataFrame, by: str, order: list, ts: str = "ts", out: str = "place", bucket: int = 86_400_000) -> DataFrame:
+    """Number the rows of each group from 1 in order of `ts`, then `order`: within buckets of time, after the counts of earlier buckets, so that no
+    group is one task's. Counts are one row for each group and bucket."""
+    dealt = df.withColumn("__b", F.floor(F.col(ts) / bucket))
+    counts = dealt.groupBy(by, "__b").agg(F.count("*").alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(by, "__b").orderBy(ts, *order))
+    return dealt.withColumn("__own", own).join(counts.select(by, "__b", earlier.alias("__before")), [by, "__b"]).withColumn(out, (F.col("__before") + F.col("__own")).cast("long")).drop("__b", "__own", "__before")
+
+
 def reanchored(df: DataFrame, size: int, advance: int, by: list[str], ts: str = "ts", begin: str = "w_begin") -> DataFrame:
     """Windows whose phase starts anew whenever an event comes after all open windows have closed. Groups of `by` are walked in order of time."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {begin} bigint"
