@@ -31,8 +31,11 @@ def track_index(log: DataFrame) -> DataFrame:
     )
 
 
-def update_index(log: DataFrame, key: str, closed_only: bool = True) -> DataFrame:
-    """One row for each key of an update log, once it is closed; or, if not closed_only, with -1 for ends that are open."""
+def update_index(log: DataFrame, key: str, closed_only: bool = True, alive_since: int | None = None) -> DataFrame:
+    """One row for each key of an update log, once it is closed; or, if not closed_only, with -1 for ends that are open.
+
+    Keys that are open and have had no event since `alive_since` are purged.
+    """
     at = F.struct("ts", "seq")
     found = log.groupBy(key).agg(
         F.min("seq").alias("first_offset"),
@@ -44,6 +47,8 @@ def update_index(log: DataFrame, key: str, closed_only: bool = True) -> DataFram
         F.min_by("is_deleted", at).alias("__gone_first"),
     )
     found = found.where(~F.col("__gone_first")).drop("__gone_first")
+    if alive_since is not None:
+        found = found.where(F.col("__closed") | (F.col("last_ts") >= alive_since))
     if closed_only:
         return found.where("__closed").drop("__closed")
     end = lambda c: F.when(F.col("__closed"), F.col(c)).otherwise(F.lit(-1)).alias(c)

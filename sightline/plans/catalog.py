@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry, ids, vectors
-from sightline.operators import associations, feature, global_tracks, indexes, motion, rangejoin, tracks, windows, zones
+from sightline.operators import associations, feature, global_tracks, indexes, motion, rangejoin, stores, tracks, windows, zones
 from sightline.operators.components import connected_components
 from sightline.operators.tables import materialize
 from sightline.sources.views import SQL_AREAS, SQL_FEATURES, SQL_LINKS, SQL_TRACKS, SQL_ZONES, Tables
@@ -16,6 +16,7 @@ from sightline.sources.views import SQL_AREAS, SQL_FEATURES, SQL_LINKS, SQL_TRAC
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 HOUR = 3_600_000
+LOW, HIGH = 1706400000000, 1706580000000
 
 
 def query(sql: str | None = None):
@@ -155,6 +156,15 @@ def open_index(t):
     return indexes.update_index(_open_log(t).withColumnRenamed("track_id", "key"), "key", closed_only=False)
 
 
+@query(f"""with {SQL_OPEN} select track_id as key, min(seq) as first_offset, case when bool_or(is_deleted) then max(seq) else -1 end as last_offset,
+  min(ts) as first_ts, case when bool_or(is_deleted) then max(ts) else -1 end as last_ts, count(*) as count
+from open_log where ts <= {HIGH} group by track_id having not min_by(is_deleted, {{'a': ts, 'b': seq}}) and (bool_or(is_deleted) or max(ts) >= {HIGH - 12 * HOUR})""")
+def open_index_purged(t):
+    """The index at a time, without keys that are open but have been silent for twelve hours."""
+    log = _open_log(t).where(F.col("ts") <= HIGH).withColumnRenamed("track_id", "key")
+    return indexes.update_index(log, "key", closed_only=False, alive_since=HIGH - 12 * HOUR)
+
+
 @query(f"with {SQL_OPEN}, i as (select track_id, min(seq) as f from open_log group by track_id having not bool_or(is_deleted)) select min(f) as \"offset\" from i")
 def oldest_open(t):
     return indexes.oldest_open(indexes.track_index(_open_log(t)))
@@ -170,9 +180,6 @@ def index_multi_lookup(t):
     return indexes.track_index(t.tracks_of([1, 2, 3, 44]))
 
 
-LOW, HIGH = 1706400000000, 1706580000000
-
-
 @query(f"with {SQL_INDEX} select * from track_index where last_ts between {LOW} and {HIGH}")
 def index_stop_between(t):
     return indexes.track_index(t.node_tracks).where(F.col("last_ts").between(LOW, HIGH))
@@ -206,6 +213,7 @@ def upsert_latest(t):
 
 #: Settings of the site: windows, and the distance up to which tracks are paired at all. Associations are built with a closer one, as events of the
 #: tables are random: at 40 nearly all pairs of tracks would be edges, and a consistent set could be made of nearly any tracklets.
+EDGE = ["left_id", "right_id", "score", "left_ts", "right_ts", "id", "first_ts"]
 SIZE, ADVANCE, MOST, CLOSE = HOUR, HOUR // 2, 40.0, 4.0
 
 
@@ -359,6 +367,25 @@ def greedy_edges(t):
     return associations.greedy_edges(_few(t))
 
 
+@query()
+def association_store(t):
+    """A store of the associations of the first area's edges, and those of all edges merged into it."""
+    tied = materialize(_components(t))
+    some = tied.where(associations.ids.tracklet_node(F.col("left_id")) == "cam:01")
+    found = stores.merge_associations(stores.as_associations(some, "component"), stores.as_associations(tied, "component"))
+    return found.select("id", F.array_join("tracklets", "-").alias("tracklets"), F.round("score", 6).alias("score"), "first_ts", "ts")
+
+
+@query()
+def joint_associations(t):
+    """Associations that motion edges and matches by appearance grow into together."""
+    seen = t.track_features.groupBy(F.col("track").alias("k")).agg(F.min("node").alias("node"), F.min("ts").alias("first"))
+    best = feature.best_candidates(scores_of(t)).select("session", "candidate", F.col("boosted").alias("score"), "session_ts", "candidate_ts")
+    of = lambda s: seen.select(F.col("k").alias(s), tid("node", "k").alias(f"{s}_id"), F.col("first").alias(f"{s}_first"))
+    matches = best.join(of("session"), "session").join(of("candidate"), "candidate")
+    return associations.best_associations(_few(t).select(*EDGE).unionByName(stores.match_edges(matches, 1.3).select(*EDGE)))
+
+
 @query(f"""with {SQL_EDGES} select left_id, right_id, max_by(score, w_begin) as score, max(w_begin) as w_begin from scored group by left_id, right_id""")
 def edge_replace(t):
     """Edges as a collection keeps them whose later edges take the place of earlier ones of their pair, whatever their scores."""
@@ -616,6 +643,15 @@ def trajectory_stamps(t):
     return global_tracks.trajectories(enriched_of(t), "association", F.col("x"), F.col("y")).select("association", "stamp")
 
 
+@query(f"with {SQL_GLOBAL} select association, max_by(x, {{'a': ts, 'b': seq}}) as x, max_by(y, {{'a': ts, 'b': seq}}) as y, max(ts) as ts, max_by(seq, {{'a': ts, 'b': seq}}) as seq from enriched where not is_deleted group by association")
+def trajectory_upsert(t):
+    """Last positions as an export keeps them: the second half of the log is merged into what the first half left."""
+    log = enriched_of(t).select("association", "x", "y", "ts", "seq", "is_deleted")
+    half, at = F.col("ts") < 1705000000000, F.struct("ts", "seq")
+    first = stores.upsert_positions(log.where("false").drop("is_deleted"), log.where(half), "association", at)
+    return stores.upsert_positions(first, log.where(~half), "association", at)
+
+
 # Counts, order, sets
 
 

@@ -207,6 +207,31 @@ def test_association_tables_equal_plain_walks(spark):
     assert A.closures(df.where("false")).count() == 0 and A.final_assignments(df.where("false"), spark.createDataFrame(closed[-1:], "ts long, tracklet string")).count() == 1
 
 
+def test_store_merges_into_the_best(spark):
+    from sightline.operators import stores
+
+    e = [edge("a[1]", "b[1]", 0.9, 1), edge("b[1]", "c[1]", 0.8, 2), edge("d[1]", "e[1]", 0.7, 3), edge("a[2]", "b[1]", 0.3, 4), edge("q[1]", "r[1]", 0.5, 1)]
+    rows = lambda es, k: stores.as_associations(frame_of(spark, es).withColumn("k", F.lit(k)), "k")
+    held = rows([e[0]], 1).union(rows([e[2]], 2)).union(rows([e[4]], 3))
+    found = stores.merge_associations(held, rows([e[1]], 1).union(rows([e[3]], 2)))
+    assert sorted((r.id, r.tracklets) for r in found.collect()) == [("a[1]", ["a[1]", "b[1]", "c[1]"]), ("d[1]", ["d[1]", "e[1]"]), ("q[1]", ["q[1]", "r[1]"])]
+    assert {r.tracklet: r.association for r in stores.associated_tracklets(found).collect()}["c[1]"] == "a[1]"
+    assert stores.merge_associations(held.where("false"), held.where("false")).count() == 0 and stores.merge_associations(held, held.where("false")).count() == 3
+    rng = random.Random(6)
+    for _ in range(40):
+        groups = [A.Group([x]) for x in random_edges(rng, 4, 2, 8)]
+        store = stores.merge_into([], groups)
+        assert len({g.id for g in store}) == len(store) and {t for g in store for t in g.tracklets} <= {t for g in groups for t in g.tracklets}
+
+
+def test_matches_become_edges(spark):
+    from sightline.operators import stores
+
+    shape = "session_id string, candidate_id string, score double, session_ts long, candidate_ts long, session_first long, candidate_first long"
+    found = stores.match_edges(spark.createDataFrame([("b[1]", "a[10]", 0.9, 9, 5, 8, 1), ("b[1]", "c[1]", 0.2, 9, 5, 8, 1)], shape), 0.3).collect()
+    assert [tuple(r) for r in found] == [("a[10]", "b[1]", 0.9, 5, 9, "a[10]", 1)]
+
+
 def test_greedy_edges_equal_a_plain_walk(spark):
     edges, taken, expected = random_edges(random.Random(2), 5, 6, 70), set(), []
     for e in sorted(edges, key=lambda e: (-e.score, e.left, e.right)):

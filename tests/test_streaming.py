@@ -35,6 +35,59 @@ def test_delay_line_releases_in_order(spark, tmp_path):
     assert [(r.node, r.seq) for r in found.orderBy("node", "ts").collect() if r.node == "a"][:3] == [("a", 0), ("a", 1), ("a", 3)]
 
 
+TRACKS = "tracklet string, ts bigint, seq bigint, x double, y double, first_ts bigint, is_deleted boolean"
+
+
+def batches(spark, path, shape, *files):
+    """One file for each batch, in order of time."""
+    import os
+    import time
+
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(path)
+        for f in os.listdir(path):
+            if f.endswith(".parquet") and not f.startswith("b"):
+                os.rename(f"{path}/{f}", f"{path}/b{i}.parquet")
+                os.utime(f"{path}/b{i}.parquet", (time.time() - 100 + i, time.time() - 100 + i))
+    return spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_tracks_wait_for_their_association_and_give_up(spark, tmp_path):
+    t = lambda name, ts, gone=False: (name, ts, ts, 1.0, 2.0, 0, gone)
+    tracks = batches(spark, str(tmp_path / "t"), TRACKS, [t("a", 10), t("b", 20), t("c", 30)], [t("a", 40), t("b", 2000)], [t("b", 2500), t("a", 2600, True)], [t("z", 9000), t("b", 9100)], [t("z", 20_000)])
+    shape = "tracklet string, association string, first_ts bigint, ts bigint"
+    known = batches(spark, str(tmp_path / "a"), shape, [("x", "g0", 0, 5)], [("a", "g1", 7, 45)], [("x", "g0", 0, 50)], [("b", "g2", 3, 9000)], [("x", "g0", 0, 20_000)])
+    found = drained(flows.associated(tracks, known, wait=1000, ttl=5000), "waiting").collect()
+    of = {(r.tracklet, r.ts): (r.association, r.assoc_first_ts) for r in found}
+    assert len(found) == len(of)
+    assert of["a", 10] == of["a", 40] == of["a", 2600] == ("g1", 7)
+    assert of["b", 20] == of["b", 2000] == ("b", 0) and of["c", 30] == ("c", 0)
+    assert of["b", 9100] == ("g2", 3) and of["z", 9000] == of["z", 20_000] == ("z", 0)
+
+
+def test_waiting_tracks_lose_nothing(spark, tmp_path):
+    t = lambda name, ts: (name, ts, ts, float(ts), 2.0, 0, False)
+    tracks = batches(spark, str(tmp_path / "t"), TRACKS, [t("a", 10), t("b", 20)], [t("a", 1500)], [t("a", 3000), t("b", 3010)], [t("a", 9000)], [t("a", 30_000)])
+    shape = "tracklet string, association string, first_ts bigint, ts bigint"
+    known = batches(spark, str(tmp_path / "a"), shape, [("x", "g0", 0, 5)], [("x", "g0", 0, 6)], [("b", "g1", 0, 3000)], [("x", "g0", 0, 9000)], [("x", "g0", 0, 30_000)])
+    out = drained(flows.associated(tracks, known, wait=1000), "filled").collect()
+    of = {(r.tracklet, r.ts): r.association for r in out}
+    assert len(out) == len(of) and sorted(k for k in of if k[1] < 10_000) == [("a", 10), ("a", 1500), ("a", 3000), ("a", 9000), ("b", 20), ("b", 3010)]
+    assert {v for k, v in of.items() if k[0] == "a"} == {"a"} and of["b", 3010] == "g1" and of["b", 20] in ("b", "g1")
+
+
+def test_windows_close_when_the_source_is_idle(spark, tmp_path):
+    rows = [("a", 100, 0, 1.0, 1.0, False), ("a", 400, 1, 3.0, 1.0, False), ("b", 450, 2, 5.0, 5.0, False), ("a", 1200, 3, 7.0, 1.0, False)]
+    log = batches(spark, str(tmp_path / "log"), SHAPE, rows)
+    query = flows.closing_windows(log, 1000, idle=500).writeStream.format("memory").queryName("closing").trigger(processingTime="300 milliseconds").start()
+    for _ in range(40):
+        query.awaitTermination(1)
+        if spark.table("closing").count() >= 3:
+            break
+    query.stop()
+    assert {(r.node, r.w_begin, r.x, r.n) for r in spark.table("closing").collect()} == {("a", 0, 2.0, 2), ("a", 1000, 7.0, 1), ("b", 0, 5.0, 1)}
+
+
 def test_residents(spark, tmp_path):
     shape = "zone string, track string, relation string, ts bigint, seq bigint"
     path = str(tmp_path / "events")
