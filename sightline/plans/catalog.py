@@ -115,7 +115,13 @@ def window_delete_dedupe(t):
     return windows.newest_only(placed, HOUR // 2).select("w_begin", "track_id", "seq")
 
 
-@query()
+@query(f"""with recursive {SQL_TRACKS}, o as (select node, track_id, ts, row_number() over (partition by node, track_id order by ts) as i from node_tracks),
+walk(node, track_id, i, ts, anchor) as (
+  select node, track_id, i, ts, ts from o where i = 1
+  union all select o.node, o.track_id, o.i, o.ts, case when o.ts >= w.anchor + (w.ts - w.anchor) // {HOUR // 2} * {HOUR // 2} + {HOUR} then o.ts else w.anchor end
+    from walk w join o on o.node = w.node and o.track_id = w.track_id and o.i = w.i + 1
+), placed as (select node, track_id, ts, anchor, anchor + ((ts - anchor) // {HOUR // 2} - k) * {HOUR // 2} as w_begin from walk, range(2) r(k))
+select node, track_id, w_begin, count(*) as n from placed where w_begin >= anchor and ts < w_begin + {HOUR} group by all""")
 def reanchored_windows(t):
     placed = windows.reanchored(t.node_tracks.select("node", "track_id", "ts", "seq"), HOUR, HOUR // 2, ["node", "track_id"])
     return placed.groupBy("node", "track_id", "w_begin").agg(F.count("*").alias("n"))

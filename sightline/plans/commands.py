@@ -1,6 +1,7 @@
 """Command line: build indexes, associations, global tracks and trajectories from a log of node tracks, as tables of Parquet files.
 
     python -m sightline.plans.commands build associations --log LOG --areas areas.yml --out OUT
+    python -m sightline.plans.commands build associations --log LOG --areas areas.yml --features FEATURES --links links.yml --out OUT
     python -m sightline.plans.commands format node_tracks_index --out OUT
 """
 
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import ids
-from sightline.operators import associations, global_tracks, indexes, motion
+from sightline.operators import associations, feature, global_tracks, indexes, motion, stores
+from sightline.operators.tables import materialize
 from sightline.sources import config, logs
 
 TABLES = {
@@ -27,6 +29,21 @@ def tracks_of(spark: SparkSession, path: str) -> DataFrame:
     return logs.as_tracks(logs.read_log(spark, path)).withColumn("tracklet", ids.tracklet_id(F.col("node"), F.col("track_id")))
 
 
+def appearance_edges(spark: SparkSession, log: DataFrame, options: argparse.Namespace, settings: config.Feature) -> DataFrame:
+    """Edges between tracklets and those that left a linked zone before them, by appearance: the best match of each that scores enough."""
+    index = materialize(indexes.track_index(log).withColumn("track", ids.tracklet_id(F.col("node"), F.col("track_id"))))
+    links = config.links(spark, Path(options.links).read_text())
+    width = max(1, links.agg(F.max(F.col("max_ms") - F.col("min_ms"))).first()[0] or 1)
+    pairs = materialize(feature.transition_candidates(index.withColumnRenamed("track", "session"), links, index, width))
+    seen = spark.read.parquet(options.features).withColumn("track", ids.tracklet_id(F.col("node"), F.col("track_id")))
+    scored = feature.pair_scores(pairs.select("session", "candidate"), feature.session_features(seen), settings.share).join(pairs, ["session", "candidate"])
+    best = feature.best_candidates(scored)
+    first = lambda s: index.select(F.col("track").alias(s), F.col("first_ts").alias(f"{s}_first"))
+    matches = best.drop("first_ts").join(first("session"), "session").join(first("candidate"), "candidate")
+    told = matches.select(F.col("session").alias("session_id"), F.col("candidate").alias("candidate_id"), F.col("boosted").alias("score"), "session_ts", "candidate_ts", "session_first", "candidate_first")
+    return stores.match_edges(told, settings.least_score)
+
+
 def build(spark: SparkSession, what: str, options: argparse.Namespace) -> DataFrame:
     log = tracks_of(spark, options.log)
     if what == "node_tracks_index":
@@ -38,7 +55,11 @@ def build(spark: SparkSession, what: str, options: argparse.Namespace) -> DataFr
     settings = config.load(Path(options.config).read_text() if options.config else "")
     nodes, pairs = config.areas(spark, Path(options.areas).read_text())
     m = settings.motion
-    best = associations.best_associations(motion.motion_edges(log, nodes, pairs, m.window, m.advance, m.most))
+    edges = motion.motion_edges(log, nodes, pairs, m.window, m.advance, m.most)
+    if options.features:
+        seen = appearance_edges(spark, log, options, settings.feature)
+        edges = edges.select(*seen.columns).unionByName(seen)
+    best = associations.best_associations(edges)
     if what == "associations":
         return best
     assigned = best.select(F.explode(F.split("tracklets", "-")).alias("tracklet"), F.col("id").alias("association"), "first_ts")
@@ -52,6 +73,8 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("what", choices=[*TABLES, "global_tracks", "trajectories"])
     parser.add_argument("--log", help="node tracks as Parquet, with the offset of each record as seq")
     parser.add_argument("--areas", help="YAML of overlapping areas")
+    parser.add_argument("--features", help="appearance vectors as Parquet: node, track_id, feature, ts, seq; with --links, matches join the associations")
+    parser.add_argument("--links", help="YAML of the transitions between cameras")
     parser.add_argument("--config", help="YAML of settings")
     parser.add_argument("--out", required=True, help="folder of the table")
     options = parser.parse_args(arguments)

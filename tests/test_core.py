@@ -275,6 +275,20 @@ def test_residents_are_sets(spark):
     assert [tuple(r) for r in zones.residents_at(zones.stays(events), 5).orderBy("zone").collect()] == [("A", ["n[2]"], 1), ("B", ["n[1]"], 1)]
 
 
+def test_residents_of_a_batch_equal_the_stream_s(spark, tmp_path):
+    from sightline.sources import logs
+    from sightline.streaming import flows
+
+    rng, shape = random.Random(3), "node string, track_id string, zone string, ts bigint, seq bigint, relation string"
+    rows = [("n", str(rng.randrange(6)), rng.choice("AB"), i, i, rng.choice(["Entered", "Entered", "Left", "Through", "Inside"])) for i in range(120)]
+    events = spark.createDataFrame(rows, shape).withColumn("step", F.lit(0).cast("long"))
+    batch = {r.zone: " ".join(t.partition("[")[2][:-1] for t in r.tracks) for r in zones.residents_at(zones.stays(events), 1000).collect()}
+    events.select("zone", F.col("track_id").alias("track"), "relation", "ts", "seq").coalesce(1).write.parquet(str(tmp_path / "e"))
+    stream = flows.zone_residents(logs.stream_log(spark, str(tmp_path / "e"), "zone string, track string, relation string, ts bigint, seq bigint"))
+    stream.writeStream.format("memory").queryName("held").outputMode("update").trigger(availableNow=True).start().awaitTermination(120)
+    assert {r.zone: r.tracks for r in spark.table("held").collect()} == {"A": "", "B": ""} | batch
+
+
 def test_numbers_in_order(spark):
     rng = random.Random(8)
     rows = [(rng.choice("ab"), rng.randrange(40), i) for i in range(200)]
@@ -333,5 +347,11 @@ def test_commands_build_tables(spark, tmp_path):
     assert {(r.node, r.enter_zone, r.last_ts) for r in spark.read.parquet(str(tmp_path / "index")).collect()} == {("a", "Z", 300), ("b", None, -1)}
     commands.main(["build", "associations", "--log", str(tmp_path / "log"), "--areas", str(tmp_path / "areas.yml"), "--out", str(tmp_path / "assoc")])
     assert [(r.id, r.tracklets, r.score) for r in spark.read.parquet(str(tmp_path / "assoc")).collect()] == [("a[1]", "a[1]-b[1]", 0.9)]
+    seen = [("a", "1", [1.0, 0.0], 110, 0), ("c", "5", [0.1, 1.0], 9000, 1), ("a", "1", None, 300, 2), ("c", "5", None, 9900, 3)]
+    spark.createDataFrame([("c", "5", "Confirmed", [7.0, 7.0], 1.0, "E(Y)", 8000, 8000, 3), ("c", "5", "Deleted", None, 1.0, "D", 8000, 9900, 4)], wire).write.mode("append").parquet(str(tmp_path / "log"))
+    spark.createDataFrame(seen, "node string, track_id string, feature array<double>, ts bigint, seq bigint").write.parquet(str(tmp_path / "features"))
+    (tmp_path / "links.yml").write_text("c:\n  Y:\n    - {coming_from: [a, Z], transition_time: [1s, 10s]}\n")
+    commands.main(["build", "associations", "--log", str(tmp_path / "log"), "--areas", str(tmp_path / "areas.yml"), "--features", str(tmp_path / "features"), "--links", str(tmp_path / "links.yml"), "--out", str(tmp_path / "joint")])
+    assert [(r.id, r.tracklets) for r in spark.read.parquet(str(tmp_path / "joint")).collect()] == [("a[1]", "a[1]-b[1]-c[5]")]
     commands.main(["format", "associations", "--out", str(tmp_path / "empty")])
     assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
