@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.operators.tables import discard, materialize
+from sightline.operators.tables import discard, observed
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -16,9 +16,10 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     and joins it back, so no neighbour list is ever gathered. Loops and repeated links do no harm; links with a null end are ignored. `links` is
     evaluated once.
     """
-    links = materialize(links.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pairs = links.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    links, seen = observed(pairs, F.count_if(F.col("u") != F.col("v")).alias("n"))
     loops, edges = links.where("u = v").select("u"), links.where("u <> v")
-    if edges.isEmpty():
+    if not seen["n"]:
         return loops.select(F.col("u").alias("id"), F.col("u").alias("component"))
     state = None
     while True:
@@ -27,9 +28,9 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
         large = both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        last, edges = edges, materialize(star.where("u <> v").distinct())
+        last = edges
+        edges, now = observed(star.where("u <> v").distinct(), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
         discard(last)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
             break
         state = now

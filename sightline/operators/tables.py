@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast if it is within both bounds, its bytes as `small` reckons them; larger ones are shuffled.
@@ -41,6 +41,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return found
 
 
+def observed(df: DataFrame, *aggregates: Column) -> tuple[DataFrame, dict]:
+    """As materialize, with aggregates over the rows that are taken while they are written."""
+    seen = Observation()
+    return materialize(df.observe(seen, *aggregates)), seen.get
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a materialised table that nothing will read again."""
     path = df.__dict__.pop("_table", None) if df is not None else None
