@@ -23,7 +23,7 @@ from sightline.llm.common import fields_of, sliced
 BLANK = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _FIRST_BLANK, _LAST_BLANK = regex.compile(f"[{BLANK}]"), regex.compile(f"(?r)[{BLANK}]")
 #: Encoded pieces that a worker keeps, of 64 characters at most; beyond, the older half goes. About 200 bytes each.
-CACHE = 400_000
+CACHE = 200_000
 #: Ids that are decoded at once.
 RUN = 4096
 #: A piece that begins so near to what has been read may be another one once more is read, unless it is a run: longer than any fixed piece.
