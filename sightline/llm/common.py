@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators.tables import discard as discard
 from sightline.operators.tables import materialize as materialize
+from sightline.operators.tables import observed as observed
 from sightline.operators.tables import small as small
 
 def crc_mod(column, n: int):

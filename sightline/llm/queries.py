@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe, chat, decontam, jaccard, langid, quality_gbt, quality_rules, secret_scan, sharding, toxicity
+from sightline.llm import bpe, chat, decontam, jaccard, langid, packing, periodic, quality_gbt, quality_rules, repair, secret_scan, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.run_documents(periodic.planted(table(spark, sf_dir, "documents")).select("doc_id", "text"))
+    top = periodic.longest_run(F.col("runs"))
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), "runs", "collapsed")
+    return told.select(
+        "doc_id",
+        "n_runs",
+        F.col("top.start").alias("start"),
+        F.col("top.length").alias("length"),
+        F.col("top.period").alias("period"),
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(periodic.runs_text(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(repair.lines(F.col("repaired")).cast("binary"), 256).alias("repaired_sha256"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 _ALL = (
     op1_chat_formatting,
     op2_language_id,
@@ -88,5 +113,8 @@ _ALL = (
     op8_secret_scans,
     op9_quality_classifier,
     op10_quality_rules,
+    op11_periodic_runs,
+    op12_conversation_repair,
+    op13_best_fit_packing,
 )
 QUERIES = {f.__name__: f for f in _ALL}

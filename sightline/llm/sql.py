@@ -17,7 +17,63 @@ def _winner(shards: int) -> str:
     return f"(-list_max([{draws}]).s)::int"
 
 
+def _cheapest(*ways: str) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w is not null))"
+
+
+def _way(before: str, cost: str, edit: str, line: str | None = None) -> str:
+    """What a way of repair becomes by one more edit, of which a line comes, or none."""
+    text = f"{before}.t || case when {before}.t = '' then '' else chr(10) end || {line}" if line else f"{before}.t"
+    return f"case when {before} is not null then {{'c': {before}.c + {cost}, 'a': {before}.a || '{edit}', 't': {text}}} end"
+
+
+def _taken(before: str, initial: str, role: str) -> str:
+    kept = _way(before, "extra", "K", "role || ':' || text")
+    if initial == "s":
+        return f"case when free and ini = 's' then {kept} end"
+    return f"case when free and ini = '{initial}' then {kept} when free then {_way(before, '1 + extra', 'R', f"'{role}:' || text")} end"
+
+
+#: Repair as a walk over four states: no turn yet, a system turn, a user's, an assistant's. Each holds the least (cost, audit) and the text so far.
+_REPAIR = f"""
+with recursive crc as (select {_crc_table()!r} as t),
+k as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint)),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 as kind from conversations, crc
+), d as (
+  select conv_id, turn, copy, case when kind = 4 then 'user' else role end as role,
+    case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from k, range(2) c(copy) where kind <> 0 and (copy = 0 or kind = 3)
+), f as (
+  select *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again, left(role, 1) as ini from d
+), r as (
+  select *, case when bare = '' then 'b' when again then 'd' when right(bare, 1) not in ('.', '!', '?') then 't' else '-' end as fault, lag(ini) over (partition by conv_id order by i) as last from f
+), s as (select *, fault in ('t', '-') as free, case when fault = 't' then 5 else 0 end as extra from r),
+walk(id, i, n, s0, s1, s2, s3) as (
+  select conv_id, 0, null::varchar, {{'c': 0::bigint, 'a': '', 't': ''}}, null::struct(c bigint, a varchar, t varchar), {{'c': 5::bigint, 'a': 'I', 't': 'user:'}}, {{'c': 10::bigint, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}}
+  from (select distinct conv_id from conversations)
+  union all select id, i, null, m0, m1, m2, {_cheapest("m3", _way("m2", "5", "I", "'assistant:'"))}
+  from (
+    select id, i, m0, m1, m3, {_cheapest("n2", *(_way(b, "5", "I", "'user:'") for b in ("m0", "m1", "m3")))} as m2
+    from (
+      select w.id, s.i, {_way("s0", "2", "D")} as m0, {_cheapest(_way("s1", "2", "D"), _taken("s0", "s", ""))} as m1,
+        {_cheapest(_way("s2", "2", "D"), *(_taken(b, "u", "user") for b in ("s0", "s1", "s3")))} as n2, {_cheapest(_way("s3", "2", "D"), _taken("s2", "a", "assistant"))} as m3
+      from walk w join s on s.conv_id is not distinct from w.id and s.i = w.i + 1
+    )
+  )
+), told as (
+  select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count_if(fault = 'b') as blank, count_if(fault = 'd') as duplicate, count_if(fault = 't') as truncated,
+    count_if(i > 1 and last || ini not in ('su', 'ua', 'au')) as illegal, max(i) as n from s group by conv_id
+), best as (select w.id, {_cheapest("s0", "s3")} as b from walk w left join told t on t.conv_id is not distinct from w.id where w.i = coalesce(t.n, 0))
+select b.id as conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, b.b.c::bigint as cost, b.b.a as audit, sha256(b.b.t) as repaired_sha256
+from best b left join told t on t.conv_id is not distinct from b.id"""
+
+
 ORACLE_SQL = {
+    "op12_conversation_repair": _REPAIR,
     "op1_chat_formatting": r"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
