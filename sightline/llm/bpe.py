@@ -119,16 +119,17 @@ def lookahead(merges: dict[tuple[str, str], tuple[int, str]], end: str) -> int:
 
 def merge_window(symbols: list[int], pairs: dict[int, int]) -> list[int]:
     """Merge the symbols of a window: always the pair that is earliest in the list, the leftmost of equals."""
-    found = [pairs.get(a << SHIFT | b, NEVER) for a, b in zip(symbols, symbols[1:])]
+    get, before = pairs.get, symbols[0]
+    found = [get(before << SHIFT | (before := b), NEVER) for b in symbols[1:]]
     if len(symbols) <= SHORT:
         while found and (best := min(found)) != NEVER:
             i, both = found.index(best), best & MASK
-            symbols[i : i + 2] = (both,)
-            del found[i]
+            symbols[i] = both
+            del symbols[i + 1], found[i]
             if i:
-                found[i - 1] = pairs.get(symbols[i - 1] << SHIFT | both, NEVER)
+                found[i - 1] = get(symbols[i - 1] << SHIFT | both, NEVER)
             if i < len(found):
-                found[i] = pairs.get(both << SHIFT | symbols[i + 1], NEVER)
+                found[i] = get(both << SHIFT | symbols[i + 1], NEVER)
         return symbols
     n = len(symbols)
     before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -154,10 +155,10 @@ class Encoder:
     """A transducer from text to ids. Blocks of text come in, and ids leave as soon as nothing that follows can change them; what it holds is a
     window of one piece, a block, and a bounded cache of what the transducer gave for short pieces. Runs of ids are little-endian 32-bit integers."""
 
-    def __init__(self, tokenizer: Tokenizer, window: int | None = None, block: int = 1 << 16):
+    def __init__(self, tokenizer: Tokenizer, window: int | None = None, block: int = 1 << 16, cache: int = CACHE):
         self.t, self.block = tokenizer, block
         self.window = max(window or 4 * tokenizer.lookahead, tokenizer.lookahead + 64)
-        self.pieces = Recent(self.piece)
+        self.pieces = Recent(self.piece, cache)
 
     def stream(self, blocks: Iterable[bytes]) -> Iterator[bytes]:
         """Runs of ids of one piece, whose UTF-8 bytes come in blocks. A token is final if it ends `lookahead` symbols before the last one read, or
@@ -308,15 +309,15 @@ class Decoder:
         return state.hexdigest()
 
 
-_HELD: dict[str, tuple[Encoder, Decoder]] = {}
+_HELD: dict[tuple[str, int], tuple[Encoder, Decoder]] = {}
 
 
-def tools(path: str) -> tuple[Encoder, Decoder]:
+def tools(path: str, cache: int = CACHE) -> tuple[Encoder, Decoder]:
     """A worker's own, kept from task to task."""
-    if path not in _HELD:
+    if (path, cache) not in _HELD:
         tokenizer = Tokenizer(path)
-        _HELD[path] = Encoder(tokenizer), Decoder(tokenizer)
-    return _HELD[path]
+        _HELD[path, cache] = Encoder(tokenizer, cache=cache), Decoder(tokenizer)
+    return _HELD[path, cache]
 
 
 def encode_documents(docs: DataFrame, path: str, decode: str = "decoded") -> DataFrame:

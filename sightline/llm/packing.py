@@ -18,6 +18,8 @@ from sightline.llm.common import fields_of, observed, sliced
 CAPACITY, END = 2048, 0
 #: Pieces that are packed together, at least: what a task leaves open is a few sequences, so that many pieces make it a small share.
 TOGETHER = 1 << 14
+#: Encoded pieces of text that a worker keeps: some 120 MB. Packing holds little else.
+CACHE = 600_000
 #: Bits of a sequence's number within its task.
 OWN = 40
 
@@ -87,7 +89,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
 
     def cut(batches):
-        encoder, _ = tools(path)
+        encoder, _ = tools(path, CACHE)
         for batch in sliced(batches):
             row, found = [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
