@@ -57,6 +57,42 @@ def superior(a: Column, a_score: Column, b: Column, b_score: Column) -> Column:
     return (relation == "LEFT_SUBSUME") | ((relation == "SAME") & (a_score > b_score)) | ((relation == "CONFLICT") & (F.size(a) >= F.size(b)) & (a_score > b_score))
 
 
+def sharing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of associations, of two collections, that share a tracklet: a, b (their ids), a_tracklets, b_tracklets, a_score, b_score.
+
+    Both: id, tracklets, score. An equi-join on tracklets, of which each pair is taken once: at the first tracklet that both have.
+    """
+    side = lambda df, n: df.select(F.col("id").alias(n), F.array_sort("tracklets").alias(f"{n}_tracklets"), F.col("score").alias(f"{n}_score"), F.explode("tracklets").alias("__t"))
+    both = side(a, "a").join(side(b, "b"), "__t")
+    return both.where(F.col("__t") == F.array_min(F.array_intersect("a_tracklets", "b_tracklets"))).drop("__t")
+
+
+def holders(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs of an association and one of another collection that holds all of its tracklets: a, b. Both: id, tracklets.
+
+    What holds all tracklets holds the rarest, so each small one is looked up by that tracklet alone in the inverted index of the large ones, and then
+    compared whole. A tracklet that many have is hardly ever looked up.
+    """
+    index = large.select(F.col("id").alias("b"), "tracklets", F.explode("tracklets").alias("__t")).withColumnRenamed("tracklets", "__large")
+    often = index.groupBy("__t").agg(F.count("*").alias("__n"))
+    wanted = small.select(F.col("id").alias("a"), F.col("tracklets").alias("__small"), F.explode("tracklets").alias("__t"))
+    # A tracklet that no large one has rules its association out.
+    counted = wanted.join(often, "__t", "left").groupBy("a").agg(F.min_by("__t", F.struct(F.coalesce("__n", F.lit(0)), "__t")).alias("__t"), F.first("__small").alias("__small"))
+    return counted.join(index, "__t").where(F.size(F.array_except("__small", "__large")) == 0).select("a", "b")
+
+
+def superiors(keys: DataFrame, held: DataFrame) -> DataFrame:
+    """For each key the first association of a collection that is superior to it, in order of id: key, superior. Both: id, tracklets, score."""
+    found = sharing(held, keys).where(superior(F.col("a_tracklets"), F.col("a_score"), F.col("b_tracklets"), F.col("b_score")))
+    return found.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("superior"))
+
+
+def without_inferiors(held: DataFrame, keys: DataFrame) -> DataFrame:
+    """A collection without the associations that a key is superior to. Both: id, tracklets, score."""
+    gone = superiors(held, keys).select(F.col("key").alias("id"))
+    return held.join(gone, "id", "left_anti")
+
+
 def fully_closed(members: DataFrame, closed: DataFrame) -> DataFrame:
     """Associations all of whose tracklets are closed. members: association, tracklet; closed: tracklet."""
     marked = members.join(closed.select("tracklet", F.lit(True).alias("c")).distinct(), "tracklet", "left")

@@ -41,6 +41,25 @@ def number_in_order(df: DataFrame, by: str, order: list, ts: str = "ts", out: st
     return dealt.withColumn("__own", own).join(counts.select(by, "__b", earlier.alias("__before")), [by, "__b"]).withColumn(out, (F.col("__before") + F.col("__own")).cast("long")).drop("__b", "__own", "__before")
 
 
+def next_at_least(df: DataFrame, by: str, ahead: int, ts: str = "ts", out: str = "next_ts", bucket: int = 3_600_000) -> DataFrame:
+    """For each event the time of the first event of its group that is `ahead` or more after it; null if there is none.
+
+    An as-of join without pairs: events, and the times that are looked for, are ordered within (group, bucket of time), where the next event is a running
+    minimum from the end; what a bucket lacks comes from the first event of the buckets behind it, a row for each bucket. No group is one task's.
+    """
+    events = df.select(F.col(by).alias("__by"), F.col(ts).alias("__at"), F.col(ts).alias("__event"), F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema) + ">").alias("__row"))
+    probes = df.select(F.col(by).alias("__by"), (F.col(ts) + ahead).alias("__at"), F.lit(None).cast("bigint").alias("__event"), F.struct(*df.columns).alias("__row"))
+    dealt = events.unionByName(probes).withColumn("__b", F.floor(F.col("__at") / bucket))
+    # From the end on; an event at the very time that is looked for comes first.
+    order = Window.partitionBy("__by", "__b").orderBy(F.desc("__at"), F.desc_nulls_last("__event")).rowsBetween(Window.unboundedPreceding, 0)
+    firsts = dealt.groupBy("__by", "__b").agg(F.min("__event").alias("__first"))
+    behind = Window.partitionBy("__by").orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    later = firsts.select(F.col("__by").alias("__of"), F.col("__b").alias("__in"), F.min("__first").over(behind).alias("__later"))
+    found = dealt.withColumn("__near", F.min("__event").over(order)).where("__row is not null")
+    joined = found.join(later, F.col("__by").eqNullSafe(F.col("__of")) & (F.col("__b") == F.col("__in")))
+    return joined.select("__row.*", F.coalesce("__near", "__later").alias(out))
+
+
 def reanchored(df: DataFrame, size: int, advance: int, by: list[str], ts: str = "ts", begin: str = "w_begin") -> DataFrame:
     """Windows whose phase starts anew whenever an event comes after all open windows have closed. Groups of `by` are walked in order of time."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {begin} bigint"

@@ -107,6 +107,23 @@ def stays(events: DataFrame) -> DataFrame:
     return found.where("change <> 0").select("node", "track_id", "zone", "ts", "seq", "step", "change")
 
 
+def with_exits(events: DataFrame) -> DataFrame:
+    """Zone events, and before a track's delete a Left for each zone that it is in still: added (whether the row is such a one) and valid.
+
+    valid: whether the event agrees with the events before it. A track enters and passes through zones that it isn't in, and leaves and stays inside
+    zones that it is in. Windows are within a track.
+    """
+    relation, key = F.col("relation"), ["node", "track_id", "seq"]
+    before = Window.partitionBy("node", "track_id", "zone").orderBy("ts", "seq", "step").rowsBetween(Window.unboundedPreceding, -1)
+    state = F.when(relation == "Entered", 1).when(relation.isin("Left", "Through"), 0)
+    inside = F.coalesce(F.last("__state", ignorenulls=True).over(before), F.lit(0)) == 1
+    valid = F.when(relation.isin("Entered", "Through"), ~inside).when(relation.isin("Left", "Inside"), inside).otherwise(True)
+    told = events.withColumn("__state", state).withColumns({"added": F.lit(False), "valid": valid}).drop("__state")
+    ended = events.where("relation = 'Deleted'").select(*key)
+    left = stays(events).where("change = -1").join(ended, key).withColumns({"relation": F.lit("Left"), "added": F.lit(True), "valid": F.lit(True)})
+    return told.unionByName(left.select(*told.columns))
+
+
 def zone_residents(changes: DataFrame, bucket: int = 86_400_000) -> DataFrame:
     """Number of tracks in each zone after each change, in order of time.
 

@@ -16,7 +16,7 @@ from sightline.sources.views import SQL_AREAS, SQL_FEATURES, SQL_LINKS, SQL_TRAC
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 HOUR = 3_600_000
-LOW, HIGH = 1706400000000, 1706580000000
+LOW, HIGH, LATE = 1706400000000, 1706580000000, 1706640000000
 
 
 def query(sql: str | None = None):
@@ -314,11 +314,12 @@ def assoc_summary(t):
     return found.withColumn("tracklets", F.array_join("tracklets", "-"))
 
 
-@query(f"""with recursive {SQL_COMPONENTS}, m as (select component, id as tracklet from component), closed as (select node || '[' || track_id || ']' as tracklet from node_tracks where is_deleted and ts < {HIGH})
-select component as association, count(*) as size from m left join closed c using (tracklet) group by component having count(*) = count(c.tracklet)""".replace("count(c.tracklet)", "count(c.rowid)").replace("select node || '[' || track_id || ']' as tracklet from", "select node || '[' || track_id || ']' as tracklet, 1 as rowid from"))
+@query(f"""with {SQL_FEW}, closed as (select node || '[' || track_id || ']' as tracklet from node_tracks where is_deleted and ts < {LATE})
+select left_id || '+' || right_id as association, 2::bigint as size from few where left_id in (from closed) and right_id in (from closed)""")
 def fully_closed(t):
-    members = connected_components(_few(t), "left_id", "right_id").select(F.col("component").alias("association"), F.col("id").alias("tracklet"))
-    closed = t.node_tracks.where(F.col("is_deleted") & (F.col("ts") < HIGH)).select(tid().alias("tracklet"))
+    """Pairs of associated tracklets both of which have closed by a time."""
+    members = _few(t).select(F.concat("left_id", F.lit("+"), "right_id").alias("association"), F.explode(F.array("left_id", "right_id")).alias("tracklet"))
+    closed = t.node_tracks.where(F.col("is_deleted") & (F.col("ts") < LATE)).select(tid().alias("tracklet"))
     return associations.fully_closed(members, closed)
 
 
@@ -329,28 +330,50 @@ def danglings(t):
     return t.node_tracks.where("is_deleted").select(tid().alias("tracklet")).join(members, "tracklet", "left_anti")
 
 
-SQL_SETS = """sets(n, a, b, sa, sb) as (values (1, ['p[1]', 'q[2]'], ['p[1]', 'q[2]'], 0.5, 0.4), (2, ['p[1]', 'q[2]'], ['p[1]'], 0.5, 0.9), (3, ['p[1]'], ['p[1]', 'q[2]'], 0.5, 0.4),
-  (4, ['p[1]', 'q[2]'], ['p[1]', 'q[3]'], 0.5, 0.4), (5, ['p[1]', 'q[2]'], ['p[1]', 'r[3]'], 0.5, 0.4), (6, ['p[1]'], ['q[2]'], 0.5, 0.4), (7, ['p[1]', 'q[2]'], ['p[3]', 'q[2]'], 0.3, 0.4))"""
+SQL_SETS = SQL_COMPONENTS + """, whole as (select c.component, f.left_id, f.right_id, f.score from few f join component c on f.left_id = c.id),
+sets(id, tracklets, score) as (
+  select left_id || '+' || right_id, [left_id, right_id], score from few
+  union all select 'c:' || component, list_sort(list_distinct(flatten(list([left_id, right_id])))), round(avg(score), 6) from whole group by component
+), together as (select a.id as a, b.id as b, a.tracklets as ga, b.tracklets as gb, a.score as sa, b.score as sb from sets a join sets b on a.id <> b.id and list_has_any(a.tracklets, b.tracklets)),
+rest as (select *, list_filter(ga, lambda x: not list_contains(gb, x)) as l, list_filter(gb, lambda x: not list_contains(ga, x)) as r from together),
+rel as (select *, case when len(l) = 0 and len(r) = 0 then 'SAME' when len(r) = 0 then 'LEFT_SUBSUME' when len(l) = 0 then 'RIGHT_SUBSUME'
+  when list_has_any(list_transform(l, lambda x: split_part(x, '[', 1)), list_transform(r, lambda x: split_part(x, '[', 1))) then 'CONFLICT' else 'MERGEABLE' end as relation from rest),
+above as (select a, b from rel where relation = 'LEFT_SUBSUME' or (relation = 'SAME' and sa > sb) or (relation = 'CONFLICT' and len(ga) >= len(gb) and sa > sb))"""
 
 
-def _sets(t):
-    rows = [(1, "p[1] q[2]", "p[1] q[2]", 0.5, 0.4), (2, "p[1] q[2]", "p[1]", 0.5, 0.9), (3, "p[1]", "p[1] q[2]", 0.5, 0.4), (4, "p[1] q[2]", "p[1] q[3]", 0.5, 0.4), (5, "p[1] q[2]", "p[1] r[3]", 0.5, 0.4), (6, "p[1]", "q[2]", 0.5, 0.4), (7, "p[1] q[2]", "p[3] q[2]", 0.3, 0.4)]
-    return t.spark.createDataFrame([(n, a.split(), b.split(), x, y) for n, a, b, x, y in rows], "n int, a array<string>, b array<string>, sa double, sb double")
-
-
-SQL_RELATION = SQL_SETS + """, d as (select *, list_filter(a, lambda x: not list_contains(b, x)) as l, list_filter(b, lambda x: not list_contains(a, x)) as r from sets),
-rel as (select *, case when not list_has_any(a, b) then 'DISJOINT' when len(l) = 0 and len(r) = 0 then 'SAME' when len(r) = 0 then 'LEFT_SUBSUME' when len(l) = 0 then 'RIGHT_SUBSUME'
-  when list_has_any(list_transform(l, lambda x: split_part(x, '[', 1)), list_transform(r, lambda x: split_part(x, '[', 1))) then 'CONFLICT' else 'MERGEABLE' end as relation from d)"""
+def _sets(t) -> DataFrame:
+    """A collection of associations: every edge as one of two tracklets, and all edges that hang together as one."""
+    tied = materialize(_components(t))
+    pairs = tied.select(F.concat("left_id", F.lit("+"), "right_id").alias("id"), F.array("left_id", "right_id").alias("tracklets"), "score")
+    whole = associations.summary(tied, "component").select(F.concat(F.lit("c:"), "component").alias("id"), "tracklets", "score")
+    return materialize(pairs.unionByName(whole))
 
 
-@query(f"with {SQL_RELATION} select n, relation from rel")
+@query(f"with recursive {SQL_SETS} select a, b, relation from rel")
 def assoc_relation(t):
-    return _sets(t).select("n", associations.association_relation(F.col("a"), F.col("b")).alias("relation"))
+    sets = _sets(t)
+    pairs = associations.sharing(sets, sets).where("a <> b")
+    return pairs.select("a", "b", associations.association_relation(F.col("a_tracklets"), F.col("b_tracklets")).alias("relation"))
 
 
-@query(f"with {SQL_RELATION} select n, relation = 'LEFT_SUBSUME' or (relation = 'SAME' and sa > sb) or (relation = 'CONFLICT' and len(a) >= len(b) and sa > sb) as superior from rel")
+@query(f"with recursive {SQL_SETS} select b as key, min(a) as superior from above group by b")
 def assoc_superior(t):
-    return _sets(t).select("n", associations.superior(F.col("a"), F.col("sa"), F.col("b"), F.col("sb")).alias("superior"))
+    sets = _sets(t)
+    return associations.superiors(sets, sets)
+
+
+@query(f"with recursive {SQL_SETS} select a.id as a, b.id as b from sets a join sets b on list_has_all(b.tracklets, a.tracklets) and a.id <> b.id")
+def assoc_holders(t):
+    """Associations with those that hold all of their tracklets."""
+    sets = _sets(t)
+    return associations.holders(sets, sets).where("a <> b")
+
+
+@query(f"with recursive {SQL_SETS} select id, round(score, 6) as score from sets where id not in (select b from above where a like 'cam:01%')")
+def assoc_without_inferiors(t):
+    """A collection once the first camera's pairs have ousted what they are superior to."""
+    sets = _sets(t)
+    return associations.without_inferiors(sets, sets.where("id like 'cam:01%'")).select("id", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -409,15 +432,24 @@ def edge_lookup(t):
 
 # Features
 
-SQL_SESSIONS = SQL_INDEX + ", " + SQL_LINKS
+DAY = 24 * HOUR
+SQL_SESSIONS = SQL_TRACKS + f""", visits as (
+  select node, track_id || '/' || (ts // {DAY}) as track_id, ts, seq, zone, min(ts) over d as first_ts, row_number() over (partition by node, track_id, ts // {DAY} order by ts desc, seq desc) = 1 as is_deleted
+  from node_tracks window d as (partition by node, track_id, ts // {DAY})
+), """ + SQL_INDEX.replace(SQL_TRACKS + ", ", "").replace("from node_tracks", "from visits") + ", " + SQL_LINKS
 
 
 @query(f"""with {SQL_SESSIONS} select distinct s.node || '[' || s.track_id || ']' as session, i.node || '[' || i.track_id || ']' as candidate, i.node as exit_node, i.last_ts
 from track_index s join links l on s.node = l.enter_node and s.enter_zone = l.enter_zone join track_index i on i.node = l.exit_node and i.exit_zone = l.exit_zone
-where i.last_ts >= 0 and i.last_ts between s.first_ts + {25 * 24 * HOUR} - l.max_ms and s.first_ts + {25 * 24 * HOUR} - l.min_ms""")
+where i.last_ts >= 0 and i.last_ts between s.first_ts - l.max_ms and s.first_ts - l.min_ms""")
 def transition_candidates(t):
-    index = indexes.track_index(t.node_tracks)
-    sessions = index.select(tid().alias("session"), "node", "enter_zone", (F.col("first_ts") + 25 * 24 * HOUR).alias("first_ts"))
+    """Visits of a day, with the visits that left a linked zone within the transition time before them."""
+    day = F.floor(F.col("ts") / DAY)
+    visits = t.node_tracks.withColumn("track_id", F.concat("track_id", F.lit("/"), day.cast("string")))
+    whole = Window.partitionBy("node", "track_id")
+    last = F.row_number().over(whole.orderBy(F.desc("ts"), F.desc("seq"))) == 1
+    index = materialize(indexes.track_index(visits.withColumns({"first_ts": F.min("ts").over(whole), "is_deleted": last})))
+    sessions = index.select(tid().alias("session"), "node", "enter_zone", "first_ts")
     return feature.transition_candidates(sessions, t.links, index.select("node", tid().alias("track"), "exit_zone", "last_ts"), 6 * HOUR)
 
 
@@ -569,6 +601,14 @@ def track_zones(t):
     return zones.stays(zones.zone_events(tracks.lines(t.node_tracks), t.zones))
 
 
+@query(f"""with {SQL_STAYS}, told as (
+  select *, coalesce(last_value(case relation when 'Entered' then 1 when 'Left' then 0 when 'Through' then 0 end ignore nulls) over (partition by node, track_id, zone order by ts, seq, step rows between unbounded preceding and 1 preceding), 0) = 1 as inside from events
+) select node, track_id, ts, seq, step, relation, zone, false as added, case when relation in ('Entered', 'Through') then not inside when relation in ('Left', 'Inside') then inside else true end as valid from told
+union all select s.node, s.track_id, s.ts, s.seq, s.step, 'Left', s.zone, true, true from stays s join events d on s.node = d.node and s.track_id = d.track_id and s.seq = d.seq and d.relation = 'Deleted' where s.change = -1""")
+def zone_exits(t):
+    return zones.with_exits(zones.zone_events(tracks.lines(t.node_tracks), t.zones))
+
+
 @query(f"with {SQL_STAYS} select node, track_id, zone, ts, seq, step, change, sum(change) over (partition by zone order by ts, seq, step, node, track_id rows unbounded preceding)::bigint as residents from stays")
 def zone_residents(t):
     return zones.zone_residents(zones.stays(zones.zone_events(tracks.lines(t.node_tracks), t.zones)))
@@ -754,8 +794,8 @@ def json_key_values(t):
 @query(f"with {SQL_TRACKS}, r as (select node, track_id, seq, min(ts) over (partition by node order by ts range between {HOUR} following and unbounded following) as release_ts from node_tracks) select * from r where release_ts is not null")
 def delay_release(t):
     """When a delay line of an hour lets each event go in a batch: at the first event of its node that is an hour younger. Events that are still held are left out."""
-    later = Window.partitionBy("node").orderBy("ts").rangeBetween(HOUR, Window.unboundedFollowing)
-    return t.node_tracks.select("node", "track_id", "seq", F.min("ts").over(later).alias("release_ts")).where("release_ts is not null")
+    log = t.node_tracks.select("node", "track_id", "seq", "ts")
+    return windows.next_at_least(log, "node", HOUR, out="release_ts").where("release_ts is not null").drop("ts")
 
 
 @query(f"""with {SQL_GATED}, w as (select *, (ts // {12 * HOUR}) * {12 * HOUR} as w_begin from gated where area is not null and not is_deleted),

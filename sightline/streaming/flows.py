@@ -121,24 +121,6 @@ def read_index(batches: DataFrame) -> DataFrame:
     return indexes.track_index(batches)
 
 
-def zone_residents(events: DataFrame) -> DataFrame:
-    """Tracks in each zone after each batch of zone events: zone, tracks (sorted, joined by blanks), ts. Entered adds, Left and Through remove.
-
-    events: zone, track, relation, ts, seq. State is one set for each zone.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = set(state.get[0].split()) if state.exists else set()
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
-        for relation, track in zip(rows.relation, rows.track):
-            (held.add if relation == "Entered" else held.discard if relation in ("Left", "Through", "Deleted") else lambda t: None)(track)
-        text = " ".join(sorted(held))
-        state.update((text,))
-        yield pd.DataFrame({"zone": [key[0]], "tracks": [text], "ts": [int(rows.ts.max())]})
-
-    return events.groupBy("zone").applyInPandasWithState(step, "zone string, tracks string, ts bigint", "tracks string", "update", GroupStateTimeout.NoTimeout)
-
-
 def delayed(df: DataFrame, delay: int, key: str = "node") -> DataFrame:
     """A delay line: events of a key leave in order of time once the key has an event that is `delay` milliseconds younger, or the watermark has passed."""
 

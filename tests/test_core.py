@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import geometry, ids, vectors
 from sightline.operators import associations as A
-from sightline.operators import feature, global_tracks, indexes, rangejoin, tracks, windows, zones
+from sightline.operators import feature, global_tracks, indexes, rangejoin, stores, tracks, windows, zones
 from sightline.operators.components import connected_components
 from sightline.plans import catalog
 
@@ -275,20 +275,6 @@ def test_residents_are_sets(spark):
     assert [tuple(r) for r in zones.residents_at(zones.stays(events), 5).orderBy("zone").collect()] == [("A", ["n[2]"], 1), ("B", ["n[1]"], 1)]
 
 
-def test_residents_of_a_batch_equal_the_stream_s(spark, tmp_path):
-    from sightline.sources import logs
-    from sightline.streaming import flows
-
-    rng, shape = random.Random(3), "node string, track_id string, zone string, ts bigint, seq bigint, relation string"
-    rows = [("n", str(rng.randrange(6)), rng.choice("AB"), i, i, rng.choice(["Entered", "Entered", "Left", "Through", "Inside"])) for i in range(120)]
-    events = spark.createDataFrame(rows, shape).withColumn("step", F.lit(0).cast("long"))
-    batch = {r.zone: " ".join(t.partition("[")[2][:-1] for t in r.tracks) for r in zones.residents_at(zones.stays(events), 1000).collect()}
-    events.select("zone", F.col("track_id").alias("track"), "relation", "ts", "seq").coalesce(1).write.parquet(str(tmp_path / "e"))
-    stream = flows.zone_residents(logs.stream_log(spark, str(tmp_path / "e"), "zone string, track string, relation string, ts bigint, seq bigint"))
-    stream.writeStream.format("memory").queryName("held").outputMode("update").trigger(availableNow=True).start().awaitTermination(120)
-    assert {r.zone: r.tracks for r in spark.table("held").collect()} == {"A": "", "B": ""} | batch
-
-
 def test_numbers_in_order(spark):
     rng = random.Random(8)
     rows = [(rng.choice("ab"), rng.randrange(40), i) for i in range(200)]
@@ -355,3 +341,40 @@ def test_commands_build_tables(spark, tmp_path):
     assert [(r.id, r.tracklets) for r in spark.read.parquet(str(tmp_path / "joint")).collect()] == [("a[1]", "a[1]-b[1]-c[5]")]
     commands.main(["format", "associations", "--out", str(tmp_path / "empty")])
     assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
+
+
+def test_the_next_event_equals_a_plain_search(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.randrange(40) * 25, i) for i in range(120)] + [(None, 5, 200), (None, 400, 201)]
+    df = spark.createDataFrame(rows, "k string, ts bigint, seq bigint")
+    for ahead, bucket in ((0, 50), (100, 100), (330, 70), (90, 100_000)):
+        found = {r.seq: r.later for r in windows.next_at_least(df, "k", ahead, out="later", bucket=bucket).collect()}
+        assert found == {seq: min((t for n, t, _ in rows if n == k and t >= ts + ahead), default=None) for k, ts, seq in rows}
+    assert windows.next_at_least(df.where("false"), "k", 10).collect() == []
+
+
+def test_sets_that_hold_one_another_equal_all_pairs(spark):
+    rng = random.Random(11)
+    rows = [(i, sorted({f"{rng.choice('abcd')}[{rng.randrange(4)}]" for _ in range(rng.randrange(1, 6))}), rng.random()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, tracklets array<string>, score double")
+    assert {tuple(r) for r in A.holders(df, df).collect()} == {(i, j) for i, a, _ in rows for j, b, _ in rows if set(a) <= set(b)}
+    shared = A.sharing(df, df).collect()
+    assert len(shared) == len({(r.a, r.b) for r in shared}) and {(r.a, r.b) for r in shared} == {(i, j) for i, a, _ in rows for j, b, _ in rows if set(a) & set(b)}
+    group = lambda i, a, s: type("G", (), {"tracklets": frozenset(a), "score": s})()
+    above = {(j, i) for i, a, s in rows for j, b, v in rows if i != j and A.outranks(group(i, a, s), group(j, b, v))}
+    assert {tuple(r) for r in A.superiors(df, df).collect()} == {(j, min(i for k, i in above if k == j)) for j, _ in above}
+    keys = df.where("id < 5")
+    assert {r.id for r in A.without_inferiors(df, keys).collect()} == {i for i, _, _ in rows} - {j for j, i in above if i < 5}
+
+
+def test_the_store_does_not_depend_on_the_order_of_rows():
+    e = lambda a, b, s, ts: A.Edge(a, b, s, ts, ts, a)
+    held = [A.Group([e("a[1]", "b[1]", 0.9, 1)]), A.Group([e("b[1]", "c[1]", 0.8, 2), e("c[1]", "d[1]", 0.7, 2)])]
+    new = [A.Group([e("b[1]", "e[1]", 0.95, 5)])]
+    told = lambda h: sorted((g.id, sorted(g.tracklets)) for g in stores.merge_into(h, new))
+    assert told(held) == told(held[::-1])
+
+
+def test_queries_have_rows(spark):
+    for name in ("transition_candidates", "fully_closed", "assoc_relation", "assoc_superior", "assoc_holders", "delay_release"):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.01").limit(1).count() == 1, name

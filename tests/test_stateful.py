@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import global_tracks
-from sightline.streaming import publication
+from sightline.operators import global_tracks, zones
+from sightline.streaming import publication, residents
 from tests.test_streaming import batches, drained
 
 TRACKS = "lane string, tracklet string, ts bigint, seq bigint, x double, y double, first_ts bigint, is_deleted boolean"
@@ -82,3 +82,27 @@ def test_a_silent_source_is_published_to_the_end(spark, tmp_path):
             break
     query.stop()
     assert [(r.association, r.w_begin) for r in spark.table("silent").orderBy("place").collect()] == [("g", 0), ("b", 100)]
+
+
+def test_residents_of_the_stream_equal_the_batch_with_deletes(spark, tmp_path):
+    rng, rows = random.Random(6), []
+    for track in range(12):
+        inside = set()
+        for k in range(9):
+            zone = rng.choice("ABC")
+            relation = rng.choice(["Left", "Inside"]) if zone in inside else rng.choice(["Entered", "Entered", "Through"])
+            (inside.add if relation == "Entered" else inside.discard if relation == "Left" else lambda z: None)(zone)
+            rows.append((zone, str(track), relation, 100 * k + track))
+        if track % 3:
+            rows.append((None, str(track), "Deleted", 1000 + track))
+    rows = [(*r, i) for i, r in enumerate(sorted(rows, key=lambda r: r[3]))]
+    shape = "zone string, track string, relation string, ts bigint, seq bigint"
+    events = batches(spark, str(tmp_path / "events"), shape, rows[:40], rows[40:80], rows[80:])
+    changes = residents.zone_changes(events)
+    changes.writeStream.format("parquet").option("path", str(tmp_path / "changes")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(100)
+    table = spark.read.parquet(str(tmp_path / "changes"))
+    batch = zones.stays(spark.createDataFrame(rows, shape).withColumns({"node": F.lit("n"), "track_id": F.col("track"), "step": F.lit(0)}))
+    assert {tuple(r) for r in table.collect()} == {(r.zone, r.track_id, r.change, r.ts, r.seq) for r in batch.collect()}
+    assert {(r.zone, r.track) for r in residents.residents(table).collect()} == {(r.zone, t[2:-1]) for r in zones.residents_at(batch, 10_000).collect() for t in r.tracks}
+    counted = drained(residents.zone_residents(spark.readStream.schema(residents.CHANGES).parquet(str(tmp_path / "changes"))), "counted").collect()
+    assert {(r.zone, r.track, r.seq): r.residents for r in counted} == {(r.zone, r.track_id, r.seq): r.residents for r in zones.zone_residents(batch).collect()}

@@ -88,15 +88,6 @@ def test_windows_close_when_the_source_is_idle(spark, tmp_path):
     assert {(r.node, r.w_begin, r.x, r.n) for r in spark.table("closing").collect()} == {("a", 0, 2.0, 2), ("a", 1000, 7.0, 1), ("b", 0, 5.0, 1)}
 
 
-def test_residents(spark, tmp_path):
-    shape = "zone string, track string, relation string, ts bigint, seq bigint"
-    path = str(tmp_path / "events")
-    rows = [("A", "1", "Entered", 1, 0), ("A", "2", "Entered", 2, 1), ("A", "1", "Left", 3, 2), ("B", "1", "Through", 3, 3), ("A", "2", "Inside", 4, 4)]
-    spark.createDataFrame(rows, shape).coalesce(1).write.parquet(path)
-    found = drained(flows.zone_residents(logs.stream_log(spark, path, shape)), "residents", "update")
-    assert {(r.zone, r.tracks) for r in found.collect()} == {("A", "2"), ("B", "")}
-
-
 def test_index_versions(spark, tmp_path):
     path, out = str(tmp_path / "log"), str(tmp_path / "index")
     table(spark, path)
