@@ -124,7 +124,12 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.at))
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((_LOWER if lower else _BYTE)[data] * _powers(_STEP, n), out=total[1:])
-        self.hash = mix((total[self.last] - total[self.first]) * _powers(_BACK, n + 1)[self.first] + (self.last - self.first).astype(np.uint64))
+        self._total, self._back = total, _powers(_BACK, n + 1)
+        self.hash = self.ranges(self.first, self.last)
+
+    def ranges(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges."""
+        return mix((self._total[last] - self._total[first]) * self._back[first] + (last - first).astype(np.uint64))
 
 
 def ngram_hash(words: np.ndarray, n: int) -> np.ndarray:

@@ -226,8 +226,15 @@ def tasks(members: DataFrame, m: Measure) -> DataFrame:
     return packed.union(dealt)
 
 
+def one_row_each(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """doc_id and text, equal rows of the ids in `repeated` once. Only those are shuffled, merged where they lie first."""
+    rows, again = docs.select("doc_id", "text"), small(repeated.select(F.col("doc_id").alias("__again")))
+    same = F.col("doc_id") == F.col("__again")
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates())
+
+
 def verified_links(docs: DataFrame, dealt: DataFrame, m: Measure) -> DataFrame:
-    """Read the texts of candidates again, and compare them task by task with a count-vector R-tree. Links a, b."""
+    """Read the texts of candidates again, and compare them task by task with a count-vector R-tree. Links a, b. docs has each id and text once."""
 
     def encode(batches):
         for batch in sliced(batches):
@@ -274,11 +281,12 @@ def components(docs: DataFrame, m: Measure = Measure()) -> DataFrame:
     ties = ties.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     groups = materialize(connected_components(ties, "star", "doc_id"))
     discard(crowds)
-    sizes = table.groupBy("doc_id").agg(F.max("n").alias("n"))
-    members = materialize(groups.join(sizes, F.col("id") == F.col("doc_id")).select("doc_id", F.xxhash64("component").alias("grp"), "n"))
+    sizes = table.groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
+    members = materialize(groups.join(sizes, F.col("id") == F.col("doc_id")).select("doc_id", F.xxhash64("component").alias("grp"), "n", "copies"))
     discard(groups)
-    dealt = materialize(tasks(members, m))
-    links = materialize(verified_links(docs, dealt, m))
+    repeated = members.where("copies > 1").select("doc_id").distinct()
+    dealt = materialize(tasks(members.drop("copies"), m))
+    links = materialize(verified_links(docs if repeated.isEmpty() else one_row_each(docs, repeated), dealt, m))
     discard(members)
     discard(dealt)
     tagged = materialize(table.select("doc_id", "n", "f1", "f2").join(sets, ["f1", "f2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")))

@@ -393,7 +393,7 @@ def test_machine_score_equals_the_sum_over_pairs():
 def test_toxicity_held_out(spark):
     found = queries.op6_toxicity(spark, str(LARGE)).join(queries.table(spark, str(LARGE), "labels"), "doc_id").where("held_out and toxic is not null").collect()
     bad, good = [r for r in found if r.toxic], [r for r in found if not r.toxic]
-    assert sum(r.predicted for r in bad) >= 0.8 * len(bad) and sum(r.predicted for r in good) <= 0.01 * len(good)
+    assert sum(r.predicted for r in bad) >= 0.9 * len(bad) and sum(r.predicted for r in good) <= 0.01 * len(good)
 
 
 def test_samples_are_bounded(spark):
@@ -597,19 +597,22 @@ def grams_of(text):
 def brute_llr(rows, trusted, prior=quality_rules.PRIOR):
     """rows: (id, text, lang). The ratio by its definition, one language at a time."""
     out = {}
+    known = {r[2] for r in rows if r[0] in trusted}
     for lang in {r[2] for r in rows}:
-        own = [r for r in rows if r[2] == lang]
+        # A language without trusted texts is judged by all languages together.
+        judged = [r for r in rows if r[2] == lang]
+        own = judged if lang in known else rows
         raw, good = sum(grams_of(t) for _, t, _ in own) + 0.5, sum((grams_of(t) for i, t, _ in own if i in trusted), np.zeros(1 << quality_rules.BITS))
         base = raw / raw.sum()
         weight = np.log((good + prior * base) / (good.sum() + prior) / base)
-        out |= {i: float(grams_of(t) @ weight / max(1, grams_of(t).sum())) for i, t, _ in own}
+        out |= {i: float(grams_of(t) @ weight / max(1, grams_of(t).sum())) for i, t, _ in judged}
     return out
 
 
 def test_ratio_equals_brute_force(spark, odd, labels):
     rng = random.Random(9)
     text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(10, 60)))
-    rows = [(i, text("abcdehilr" if i % 3 else "éàstuvwxyz") if i % 11 else text("#$%&|zq"), ["en", "fr", None][i % 3]) for i in range(90)] + [(90, None, "en"), (91, "", None)]
+    rows = [(i, text("abcdehilr" if i % 3 else "éàstuvwxyz") if i % 11 else text("#$%&|zq"), ["en", "fr", None][i % 3]) for i in range(90)] + [(90, None, "en"), (91, "", None), *((i, text("#$%&|zq"), "xx") for i in range(92, 112))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
     trusted = {i for i in range(90) if i % 11 and i % 2}
     found = quality_rules.judge_documents(docs, spark.createDataFrame([(i, int(i in trusted)) for i in range(90)] + [(1, None)], "doc_id bigint, quality int")).collect()
@@ -618,6 +621,10 @@ def test_ratio_equals_brute_force(spark, odd, labels):
     for r in found:
         assert abs(r.llr - expected[r.doc_id]) < 1e-9 and r.kept == (not r.base_failed and expected[r.doc_id] >= quality_rules.THRESHOLD)
     assert [r.kept for r in found if r.doc_id == 11] == [False]
+    # Junk of a language that no trusted text is in: all of it goes.
+    assert not any(r.kept for r in found if r.doc_id > 91)
+    few = quality_rules.ratio(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id bigint"), languages=1)
+    assert len(few.languages) == 1 and few.weights.shape == (2, 1 << quality_rules.BITS)
     bare = quality_rules.judge_documents(odd.drop("lang").withColumn("doc_id", F.col("doc_id").cast("string")), labels)
     assert bare.count() == odd.count() and quality_rules.judge_documents(odd, empty(labels)).where("llr <> 0").count() == 0
 
@@ -646,3 +653,14 @@ def test_words_and_pieces():
     assert w.hash[0] == w.hash[-1] and len(ngram_hash(w.hash, 3)) == len(w.hash) - 2
     points = np.random.default_rng(0).integers(32, 99, 5000).astype(np.uint32)
     assert (gram_counts(points, (1, 2, 3), 12, piece=700) == gram_counts(points, (1, 2, 3), 12)).all()
+
+
+def test_jaccard_copies_of_one_id_are_compared_once(spark):
+    rng = random.Random(12)
+    text = " ".join(f"w{rng.randrange(900)}" for _ in range(300))
+    near = text.replace("w1 ", "x1 ", 1) + " more"
+    rows = [(1, text), (2, near), (3, "another text of its own here"), *((1, text) for _ in range(3000)), (1, "one more text of this id"), (4, "one more text of this id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert jaccard.one_row_each(docs, spark.createDataFrame([(1,)], "doc_id bigint")).count() == 5
+    found = {(r.doc_id, r.component_id) for r in jaccard.components(docs).collect()}
+    assert found == {(1, 1), (2, 1), (3, 3), (4, 1)}
