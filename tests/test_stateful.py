@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import global_tracks, zones
-from sightline.streaming import publication, residents
+from sightline.operators import feature, global_tracks, zones
+from sightline.streaming import publication, residents, sessions
 from tests.test_streaming import batches, drained
 
 TRACKS = "lane string, tracklet string, ts bigint, seq bigint, x double, y double, first_ts bigint, is_deleted boolean"
@@ -106,3 +106,39 @@ def test_residents_of_the_stream_equal_the_batch_with_deletes(spark, tmp_path):
     assert {(r.zone, r.track) for r in residents.residents(table).collect()} == {(r.zone, t[2:-1]) for r in zones.residents_at(batch, 10_000).collect() for t in r.tracks}
     counted = drained(residents.zone_residents(spark.readStream.schema(residents.CHANGES).parquet(str(tmp_path / "changes"))), "counted").collect()
     assert {(r.zone, r.track, r.seq): r.residents for r in counted} == {(r.zone, r.track_id, r.seq): r.residents for r in zones.zone_residents(batch).collect()}
+
+
+def test_sessions_of_the_stream_equal_the_batch_with_deletes(spark, tmp_path):
+    rng = random.Random(2)
+    links = [("b", "in", "a", "out", 0, 3000), ("c", "in", "b", "out", 0, 3000), ("c", "in", "a", "out", 500, 5000)]
+    features, index, spans = [], [], []
+    for track in range(30):
+        node, start, n = "abc"[track % 3], 400 * track + rng.randrange(300), rng.randrange(2, 8)
+        times = [start + 60 * k for k in range(n)]
+        for ts in times:
+            v = [rng.gauss(0, 1) for _ in range(4)]
+            size = sum(x * x for x in v) ** 0.5
+            features.append(("net", node, track, [x / size for x in v], ts, ts))
+        # One in seven is never deleted; some of those have too few features, and hold nobody for ever.
+        if track % 7:
+            features.append(("net", node, track, None, times[-1] + 10, times[-1] + 10))
+        last = times[-1] + 10 if track % 7 else -1
+        index += [("net", node, track, "in", None, -1, start), ("net", node, track, "in", "out", last, times[-1] + 10)]
+        spans.append((node, track, "in", "out", start, last))
+    end = ("net", "a", 99, None, 60_000, 60_000)
+    shape = "network string, node string, track bigint, feature array<float>, ts bigint, seq bigint"
+    zone_shape = "network string, node string, track bigint, enter_zone string, exit_zone string, last_ts bigint, ts bigint"
+    cut = lambda rows, k: [[r for r in rows if 3000 * i <= r[k] < 3000 * (i + 1)] for i in range(5)]
+    stream = batches(spark, str(tmp_path / "f"), shape, *cut(features, 4), [end])
+    zone_stream = batches(spark, str(tmp_path / "z"), zone_shape, *cut(index, 6), [("net", "a", 99, None, None, -1, 60_000)])
+    found = drained(sessions.matches(stream, zone_stream, links, ttl=5000), "matched").collect()
+
+    log = spark.createDataFrame([r[1:] for r in features], "node string, track bigint, feature array<float>, ts bigint, seq bigint")
+    table = spark.createDataFrame(spans, "node string, track bigint, enter_zone string, exit_zone string, first_ts bigint, last_ts bigint")
+    ties = spark.createDataFrame(links, "enter_node string, enter_zone string, exit_node string, exit_zone string, min_ms bigint, max_ms bigint")
+    pairs = feature.transition_candidates(table.withColumnRenamed("track", "session"), ties, table.select("node", "track", "exit_zone", "last_ts"), 3000)
+    scores = feature.pair_scores(pairs.select("session", "candidate"), feature.session_features(log)).join(pairs, ["session", "candidate"])
+    told = scores.join(table.select(F.col("track").alias("session"), "first_ts"), "session").withColumn("network", F.lit("net"))
+    want = {(r.session, r.candidate, r.exit_node): r.boosted for r in feature.best_candidates_once(told).collect()}
+    got = {(r.session, r.candidate, r.exit_node): r.boosted for r in found}
+    assert len(want) >= 10 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
