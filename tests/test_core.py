@@ -378,3 +378,43 @@ def test_the_store_does_not_depend_on_the_order_of_rows():
 def test_queries_have_rows(spark):
     for name in ("transition_candidates", "fully_closed", "assoc_relation", "assoc_superior", "assoc_holders", "delay_release"):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.01").limit(1).count() == 1, name
+
+
+def store_rows(spark, *groups):
+    rows = [(g.id, sorted(g.tracklets), g.score, g.first_ts, g.ts, [(e.left, e.right, e.score, e.first_ts, e.ts, e.id) for e in sorted(g.supports, key=lambda e: (e.left, e.right))]) for g in groups]
+    return spark.createDataFrame(rows, stores.ASSOCIATIONS)
+
+
+def test_a_store_changes_as_a_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    e = lambda a, b, ts: A.Edge(*sorted((a, b)), round(rng.random(), 3), ts, ts, min(a, b))
+    groups = [A.Group([e(f"a[{rng.randrange(5)}]", f"b[{rng.randrange(5)}]", ts)]) for ts in range(1, 13)]
+    store = stores.AssociationStore(spark, str(tmp_path / "store"))
+    assert store.read().count() == store.read("tracklets").count() == 0
+    held: list = []
+    for number in range(3):
+        part = groups[4 * number : 4 * number + 4]
+        held = stores.merge_into(held, part)
+        if number == 1:
+            before = sorted(map(tuple, store.read("tracklets").collect()))
+            with monkeypatch.context() as m:
+                m.setattr(stores.AssociationStore, "commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+                with pytest.raises(OSError):
+                    store.put(number, store_rows(spark, *part))
+            assert sorted(map(tuple, store.read("tracklets").collect())) == before
+        assert store.put(number, store_rows(spark, *part[::-1]))
+        assert not store.put(number, store_rows(spark, *part))
+        assert sorted((r.id, r.tracklets) for r in store.read().collect()) == sorted((g.id, sorted(g.tracklets)) for g in held)
+        latest = {t: g.id for g in sorted(held, key=lambda g: (g.ts, g.id)) for t in g.tracklets}
+        assert dict(map(tuple, store.read("tracklets").collect())) == latest
+    assert len(store.commits()) == 2
+
+
+def test_a_store_follows_a_stream(spark, tmp_path):
+    e = lambda a, b, ts: A.Edge(a, b, 0.5, ts, ts, a)
+    one, two = A.Group([e("a[1]", "b[1]", 1)]), A.Group([e("b[1]", "c[1]", 2)])
+    store_rows(spark, one, two).coalesce(1).write.parquet(str(tmp_path / "in"))
+    store = stores.AssociationStore(spark, str(tmp_path / "store"))
+    stream = spark.readStream.schema(stores.ASSOCIATIONS).parquet(str(tmp_path / "in"))
+    store.follow(stream, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(100)
+    assert [r.tracklets for r in store.read().collect()] == [["a[1]", "b[1]", "c[1]"]]
