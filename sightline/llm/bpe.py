@@ -75,22 +75,22 @@ class Tokenizer:
         self.vocab: dict[str, int] = model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
-        self.merges: dict[tuple[str, str], tuple[int, str]] = {}
+        merges: dict[tuple[str, str], tuple[int, str]] = {}
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            self.merges[a, b] = (rank, a + b)
+            merges[a, b] = (rank, a + b)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"\s", BLANK))
         #: The alternatives of the pattern that are runs of any length.
         self.runs = [regex.compile(r.replace(r"\s", BLANK)) for r in regex.findall(r"\[(?:\\.|[^\]\\])*\]\+", pattern)]
         self.letters = byte_letters()
-        self.lookahead = lookahead(self.merges, self.end)
+        self.lookahead = lookahead(merges, self.end)
         parts = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, parts))) if parts else None
         number = dict(self.vocab)
         self.known = max(number.values(), default=-1) + 1
         of = lambda token: number.setdefault(token, self.known + len(number))
         self.inside, self.last = [of(c) for c in self.letters], [of(c + self.end) for c in self.letters]
-        self.pairs = {of(a) << SHIFT | of(b): rank << SHIFT | of(both) for (a, b), (rank, both) in self.merges.items()}
+        self.pairs = {of(a) << SHIFT | of(b): rank << SHIFT | of(both) for (a, b), (rank, both) in merges.items()}
         self.size = {i: symbols_of(t, self.end) for t, i in number.items()}
 
 
@@ -320,11 +320,11 @@ def tools(path: str, cache: int = CACHE) -> tuple[Encoder, Decoder]:
     return _HELD[path, cache]
 
 
-def encode_documents(docs: DataFrame, path: str, decode: str = "decoded") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, decode: str = "decoded", cache: int = CACHE) -> DataFrame:
     """Encode every whole text and decode its ids: all columns, then `n_tokens`, `ids` (little-endian 32-bit integers) and the column that
     `decode` names: `decoded`, or `decoded_sha256` of its UTF-8 bytes.
 
-    path: a tokenizer file that each worker can read. Null and empty texts have no ids and decode to the empty text. Repeated rows get equal
+    path: a tokenizer file that each worker can read; cache: pieces that it keeps. Null and empty texts have no ids and decode to the empty text. Repeated rows get equal
     results. Input columns of these names are replaced.
     """
     added = ["n_tokens", "ids", decode]
@@ -332,7 +332,7 @@ def encode_documents(docs: DataFrame, path: str, decode: str = "decoded") -> Dat
     chosen = docs.select(*keep)
 
     def encoded(batches):
-        encoder, decoder = tools(path)
+        encoder, decoder = tools(path, cache)
         told = {"decoded": decoder.text, "decoded_sha256": decoder.digest}[decode]
         for batch in sliced(batches):
             ids = [b"".join(encoder.encode(t or "")) for t in batch.column("text").to_pylist()]

@@ -65,6 +65,9 @@ def sliced(batches, rows: int = 256, size: int = 2 << 20):
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+        # What one batch took is given back before the next comes: workers live on from stage to stage.
+        del batch, length
+        pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
