@@ -10,6 +10,8 @@ from sightline.llm.queries import table, tokenizer_path
 
 #: Near copies: five-word shingles, similarity from 0.8 on. Exact signatures would be nearly one for each shingle at 0.8; bands are 48 for a document.
 NEAR = jaccard.Measure(width=5, num=8, den=10, bands=48)
+#: Encoded pieces that a worker keeps: some 10 MB, as its memory holds what the stages before have left there, too.
+CACHE = 50_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds n_tokens, ids (little-endian 32-bit integers) and decoded_sha256 (of the text that the ids decode to)."""
-    return bpe.encode_documents(docs, tokenizer_path(), decode="decoded_sha256")
+    return bpe.encode_documents(docs, tokenizer_path(), decode="decoded_sha256", cache=CACHE)
 
 
 STAGES = [(f.__name__, f) for f in (quality_classifier, ngram_jaccard_join, benchmark_decontamination, secret_scans, bpe_encoding)]
