@@ -175,13 +175,16 @@ def without_conflicts(held: Group, new: Group) -> Group | None:
 
 
 class Closure:
-    """Associations none of which holds another one, found by their tracklets: adding one looks at those alone that share a tracklet with it."""
+    """Associations none of which holds another one, found by their tracklets: adding one looks at those alone that share a tracklet with it.
+
+    They have an order, in which they came: that of `now`, which says at what event they come, and of a count.
+    """
 
     def __init__(self):
         self.held: dict[frozenset[str], Group] = {}
         self.at: dict[str, set[frozenset[str]]] = {}
-        self.place: dict[frozenset[str], int] = {}
-        self.count = 0
+        self.place: dict[frozenset[str], list] = {}
+        self.count, self.now = 0, []
 
     def __iter__(self):
         return iter(list(self.held.values()))
@@ -194,7 +197,7 @@ class Closure:
         return [self.held[k] for k in sorted({k for t in tracklets for k in self.at.get(t, ())}, key=self.place.__getitem__)]
 
     def put(self, g: Group) -> None:
-        self.held[g.tracklets], self.place[g.tracklets], self.count = g, self.count, self.count + 1
+        self.held[g.tracklets], self.place[g.tracklets], self.count = g, [*self.now, self.count], self.count + 1
         for t in g.tracklets:
             self.at.setdefault(t, set()).add(g.tracklets)
 
@@ -247,7 +250,7 @@ class Closure:
 
 def cut(group: Group, key: frozenset[str]) -> list[Group]:
     """What is left of an association without a set of tracklets: its connected parts."""
-    rest = [e for e in group.supports if not {e.left, e.right} & key]
+    rest = [e for e in _by_time(group.supports) if not {e.left, e.right} & key]
     parts: list[set[Edge]] = []
     for e in rest:
         touching = [p for p in parts if any({e.left, e.right} & {x.left, x.right} for x in p)]
@@ -285,6 +288,37 @@ def closure(edges: Iterable[Edge]) -> Closure:
     return held
 
 
+class Selection:
+    """Associations on their way to being final, and closed tracklets that wait with them.
+
+    `restless`: settling once more, with nothing new, could still find something.
+    """
+
+    def __init__(self):
+        self.held, self.gone, self.settled, self.restless = Closure(), set(), set(), False
+
+    def link(self, e: Edge) -> None:
+        self.held.add(Group([e]))
+        self.restless = True
+
+    def settle(self, forced: bool = False) -> tuple[list[Group], list[str]]:
+        """The best of those associations all of whose tracklets have closed, unless a superior one is held, and closed tracklets that nothing holds.
+        Forced: whatever is held."""
+        final, now = [], self.held.now
+        for g in best([g for g in self.held if g.tracklets <= self.gone]):
+            if not forced and any(outranks(h, g) for h in self.held.touching(g.tracklets)):
+                continue
+            self.held.now = [*now, [*g.rank()[:3], sorted(g.tracklets)]]
+            self.held.resolve(g)
+            final.append(g)
+            self.settled |= g.tracklets
+            self.gone -= g.tracklets
+        self.held.now, self.restless = now, bool(final)
+        lone = sorted(x for x in self.gone if forced or not self.held.holds(x))
+        self.gone -= set(lone)
+        return final, [x for x in lone if x not in self.settled]
+
+
 def graduates(edges: Iterable[Edge], closed: Iterable[tuple[int, str]]) -> tuple[list[Group], list[str]]:
     """Associations that become final as tracklets close, and closed tracklets that remain alone.
 
@@ -292,23 +326,17 @@ def graduates(edges: Iterable[Edge], closed: Iterable[tuple[int, str]]) -> tuple
     have closed are final, unless the closure still holds a superior one; a final one's tracklets are cut from the others. A closed tracklet that no
     association holds any more, and no final one, is alone. Associations that wait for an open tracklet at the end are neither.
     """
-    held, gone, final, alone, settled = Closure(), set(), [], [], set()
+    at, final, alone = Selection(), [], []
     events = [(e.ts, 0, e.left, e.right, e) for e in edges] + [(ts, 1, t, "", None) for ts, t in closed]
-    for _, kind, t, _, e in sorted(events, key=lambda x: x[:4]):
+    for i, (_, kind, t, _, e) in enumerate(sorted(events, key=lambda x: x[:4])):
+        at.held.now = [i]
         if kind == 0:
-            held.add(Group([e]))
+            at.link(e)
             continue
-        gone.add(t)
-        for g in best([g for g in held if g.tracklets <= gone]):
-            if any(outranks(h, g) for h in held.touching(g.tracklets)):
-                continue
-            held.resolve(g)
-            final.append(g)
-            settled |= g.tracklets
-            gone -= g.tracklets
-        lone = sorted(x for x in gone if not held.holds(x))
-        alone += [x for x in lone if x not in settled]
-        gone -= set(lone)
+        at.gone.add(t)
+        found, lone = at.settle()
+        final += found
+        alone += lone
     return final, alone
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from sightline.functions import geometry, ids, vectors
 from sightline.operators import associations, feature, global_tracks, indexes, motion, rangejoin, stores, tracks, windows, zones
 from sightline.operators.components import connected_components
-from sightline.operators.tables import materialize
+from sightline.operators.tables import materialize, shared_dir
 from sightline.sources.views import SQL_AREAS, SQL_FEATURES, SQL_LINKS, SQL_TRACKS, SQL_ZONES, Tables
+from sightline.streaming import selection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -391,6 +393,19 @@ def final_selection(t):
     return associations.final_assignments(_few(t), t.node_tracks.where("is_deleted").select(tid().alias("tracklet"), "ts"))
 
 
+@query()
+def final_batches(t):
+    """As final_selection, from the log of edges and closings in three batches of time; the closure is kept between them, and settles at closings anywhere."""
+    edges = _few(t).select("left_id", "right_id", "score", "first_ts", F.greatest("left_ts", "right_ts").alias("ts"), "id")
+    closings = t.node_tracks.where("is_deleted").select(tid().alias("left_id"), *(F.lit(None).cast(c).alias(n) for n, c in (("right_id", "string"), ("score", "double"), ("first_ts", "long"))), "ts", F.lit(None).cast("string").alias("id"))
+    log = materialize(edges.unionByName(closings))
+    store = selection.FinalAssociations(log.sparkSession, f"{shared_dir(log.sparkSession)}/final-{uuid.uuid4().hex}", grace=HOUR)
+    for batch in range(3):
+        part = F.when(F.col("ts") < LOW, 0).when(F.col("ts") < HIGH, 1).otherwise(2)
+        store.put(batch, log.where(part == batch), flush=batch == 2)
+    return store.found()
+
+
 @query()
 def greedy_edges(t):
     return associations.greedy_edges(_few(t))
