@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry, ids, vectors
-from sightline.operators import associations, feature, global_tracks, indexes, motion, rangejoin, stores, tracks, windows, zones
+from sightline.operators import aggregation, associations, feature, global_tracks, indexes, motion, rangejoin, stores, tracks, windows, zones
 from sightline.operators.components import connected_components
 from sightline.operators.tables import materialize, shared_dir
 from sightline.sources.views import SQL_AREAS, SQL_FEATURES, SQL_LINKS, SQL_TRACKS, SQL_ZONES, Tables
@@ -139,6 +139,22 @@ SQL_INDEX = SQL_TRACKS + """, track_index as (
 )"""
 
 
+@query(f"""with {SQL_TRACKS} select node, ts // {HOUR} as hour, count(*) as n, round(avg(x), 4) as x, round(avg(y), 4) as y, round(sqrt(var_pop(x) + var_pop(y)), 4) as spread
+from node_tracks where not is_deleted group by all""")
+def spread_aggregator(t):
+    """A user's aggregator: how far from their mean the places of a camera's hour lie."""
+    hours = t.node_tracks.where("not is_deleted").select("node", F.floor(F.col("ts") / HOUR).alias("hour"), "x", "y")
+    return aggregation.aggregated(hours, ["node", "hour"], aggregation.Spread())
+
+
+@query(f"""with {SQL_TRACKS} select node, track_id, round(max(x) - min(x), 4) as width, round(max(y) - min(y), 4) as height, max(ts) as ts, max_by(x, {{'t': ts, 'x': x}}) as last_x
+from node_tracks where not is_deleted group by all""")
+def extent_aggregator(t):
+    """A user's aggregator: the box that a track stays in, and where it was last."""
+    alive = t.node_tracks.where("not is_deleted").select("node", "track_id", "ts", "x", "y")
+    return aggregation.aggregated(alive, ["node", "track_id"], aggregation.Extent())
+
+
 @query(f"with {SQL_INDEX} select * from track_index")
 def node_tracks_index(t):
     return indexes.track_index(t.node_tracks)

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import feature, global_tracks, zones
-from sightline.streaming import publication, residents, sessions
+from sightline.operators import aggregation, feature, global_tracks, windows, zones
+from sightline.streaming import anchored, publication, residents, sessions
 from tests.test_streaming import batches, drained
 
 TRACKS = "lane string, tracklet string, ts bigint, seq bigint, x double, y double, first_ts bigint, is_deleted boolean"
@@ -142,3 +142,43 @@ def test_sessions_of_the_stream_equal_the_batch_with_deletes(spark, tmp_path):
     want = {(r.session, r.candidate, r.exit_node): r.boosted for r in feature.best_candidates_once(told).collect()}
     got = {(r.session, r.candidate, r.exit_node): r.boosted for r in found}
     assert len(want) >= 10 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+PLACES = "node string, ts bigint, seq bigint, x double, y double"
+
+
+def test_anchored_windows_equal_the_batch_in_order(spark, tmp_path):
+    rng = random.Random(9)
+    rows, at = [], {"a": 0, "b": 70}
+    for i in range(240):
+        node = rng.choice("ab")
+        at[node] += rng.choice([1, 9, 30, 30, 60, 400])
+        rows.append((node, at[node], i, rng.random(), 5e6 + rng.random()))
+    ends = [(node, None, 900, None, None) for node in "ab"]
+    stream = batches(spark, str(tmp_path / "p"), PLACES, rows[:70], rows[70:75], rows[75:], ends)
+    for aggregator in (aggregation.Spread(), aggregation.Extent()):
+        found = drained(anchored.anchored_windows(stream, "node", 100, 30, aggregator), f"anchored_{type(aggregator).__name__}")
+        batch = windows.reanchored(spark.createDataFrame(rows, PLACES), 100, 30, ["node"])
+        want = aggregation.aggregated(batch, ["node", "w_begin"], aggregator)
+        near = lambda d: sorted(tuple(round(v, 3) if isinstance(v, float) else v for v in r) for r in d.collect())
+        assert near(found) == near(want) and found.count() > 100
+
+
+def test_late_events_count_while_a_window_is_open(spark, tmp_path):
+    first = [("a", 1000, 0, 1.0, 0.0), ("a", 1090, 1, 1.0, 0.0), ("a", 1010, 2, 1.0, 0.0), ("a", 990, 3, 1.0, 0.0)]
+    # 1130 is within the grace of the first window's end, so 1050 still counts in it; 1160 closes it, and 1060 is for its successor alone.
+    second = [("a", 1130, 4, 1.0, 0.0), ("a", 1050, 5, 1.0, 0.0), ("a", 1160, 6, 1.0, 0.0), ("a", 1060, 7, 1.0, 0.0), ("a", None, 8, None, None), ("a", 2000, 9, 1.0, 0.0)]
+    stream = batches(spark, str(tmp_path / "p"), PLACES, first, second, [("a", None, 10, None, None)])
+    found = drained(anchored.anchored_windows(stream, "node", 100, 50, aggregation.Spread(), grace=50), "late_ones")
+    assert sorted((r.w_begin, r.n) for r in found.collect()) == [(1000, 4), (1050, 4), (1100, 2), (1150, 1), (2000, 1)]
+
+
+def test_aggregators_take_null_keys_and_many_partials(spark):
+    rows = [(None if i % 3 == 0 else "a" if i % 3 == 1 else "b", i, 0, float(i), 1.0) for i in range(300)]
+    df = spark.createDataFrame(rows, PLACES).repartition(7)
+    found = {r.node: (r.n, r.x, r.spread) for r in aggregation.aggregated(df.select("node", "x", "y"), ["node"], aggregation.Spread(), 2).collect()}
+    for node in (None, "a", "b"):
+        xs = [r[3] for r in rows if r[0] == node]
+        mean = sum(xs) / len(xs)
+        assert found[node] == (100, round(mean, 4), round((sum((x - mean) ** 2 for x in xs) / 100) ** 0.5, 4))
+    assert aggregation.aggregated(df.where("false"), ["node"], aggregation.Spread()).count() == 0
