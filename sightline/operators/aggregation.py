@@ -9,50 +9,55 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Partial states of one key are merged by this many tasks before they meet.
-SALTS = 32
+from sightline.operators.tables import materialize
+
+#: Partial states of one key are merged in this many places before they meet, and about so many states are merged at once.
+SALTS, STATES = 32, 50_000
 
 
 class Aggregator(Protocol):
-    """STATE and OUT are schemas of a partial state and of a result. merge must not depend on the order of states."""
+    """STATE and OUT are schemas of a partial state and of a result. All take frames of many keys: partial and merge give one row for each value of `by`
+    (nulls are a value), close replaces STATE by OUT. merge must not depend on the order of states."""
 
     STATE: str
     OUT: str
 
-    def partial(self, rows: pd.DataFrame) -> tuple: ...
+    def partial(self, rows: pd.DataFrame, by: list[str]) -> pd.DataFrame: ...
 
-    def merge(self, states: pd.DataFrame) -> tuple: ...
+    def merge(self, states: pd.DataFrame, by: list[str]) -> pd.DataFrame: ...
 
-    def close(self, state: tuple) -> tuple: ...
+    def close(self, states: pd.DataFrame) -> pd.DataFrame: ...
 
 
 def names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def aggregated(df: DataFrame, by: list[str], aggregator: Aggregator, salts: int = SALTS) -> DataFrame:
+def aggregated(df: DataFrame, by: list[str], aggregator: Aggregator, salts: int = SALTS, at_once: int = STATES) -> DataFrame:
     """A row for each key: by, then the aggregator's OUT. Rows with null keys are a group; no rows, no groups.
 
-    Rows are folded to partial states where they lie, one for each key and Arrow batch; only states are shuffled, first by key and salt.
+    Rows are folded to partial states where they lie, one for each key and Arrow batch; only states are shuffled. They are counted and dealt by their keys
+    into parts of about `at_once`, at first with a salt, so that a key with very many states is no single task's.
     """
     keys = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
-    state = names(aggregator.STATE)
+    state, out = names(aggregator.STATE), names(aggregator.OUT)
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            groups = frame.groupby(by, dropna=False, sort=False)
-            rows = [(*(None if pd.isna(v) else v for v in k), *aggregator.partial(rows)) for k, rows in groups]
-            yield pd.DataFrame(rows, columns=[*by, *state])
+            if len(frame):
+                yield aggregator.partial(frame, by)[[*by, *state]]
 
-    def merge(key, states):
-        return pd.DataFrame([(*key[: len(by)], *aggregator.merge(states[state]))], columns=[*by, *state])
+    def merge(states):
+        return aggregator.merge(states[[*by, *state]], by)[[*by, *state]]
 
-    def close(key, states):
-        return pd.DataFrame([(*key, *aggregator.close(aggregator.merge(states[state])))], columns=[*by, *names(aggregator.OUT)])
+    def close(states):
+        return aggregator.close(aggregator.merge(states[[*by, *state]], by))[[*by, *out]]
 
-    folded = df.mapInPandas(fold, f"{keys}, {aggregator.STATE}").withColumn("__salt", F.spark_partition_id() % salts)
-    merged = folded.groupBy(*by, "__salt").applyInPandas(merge, f"{keys}, {aggregator.STATE}")
-    return merged.groupBy(*by).applyInPandas(close, f"{keys}, {aggregator.OUT}")
+    folded = materialize(df.mapInPandas(fold, f"{keys}, {aggregator.STATE}").withColumn("__salt", F.spark_partition_id() % salts))
+    parts = 1 + folded.count() // at_once
+    part = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(parts)).alias("__part")
+    merged = folded.groupBy(part(*by, "__salt")).applyInPandas(merge, f"{keys}, {aggregator.STATE}")
+    return merged.groupBy(part(*by)).applyInPandas(close, f"{keys}, {aggregator.OUT}")
 
 
 class Spread:
@@ -61,18 +66,19 @@ class Spread:
     STATE = "n long, x double, y double, squares double"
     OUT = "n long, x double, y double, spread double"
 
-    def partial(self, rows):
-        x, y = rows.x.mean(), rows.y.mean()
-        return len(rows), x, y, ((rows.x - x) ** 2 + (rows.y - y) ** 2).sum()
+    def partial(self, rows, by):
+        return self.merge(rows.assign(n=1, squares=0.0), by)
 
-    def merge(self, states):
-        n = states.n.sum()
-        x, y = (states.x * states.n).sum() / n, (states.y * states.n).sum() / n
-        return int(n), x, y, (states.squares + states.n * ((states.x - x) ** 2 + (states.y - y) ** 2)).sum()
+    def merge(self, states, by):
+        of = lambda column: column.groupby([states[b] for b in by], dropna=False, sort=False)
+        n = of(states.n).transform("sum")
+        x, y = of(states.x * states.n).transform("sum") / n, of(states.y * states.n).transform("sum") / n
+        squares = states.squares + states.n * ((states.x - x) ** 2 + (states.y - y) ** 2)
+        told = states[by].assign(n=states.n, x=x, y=y, squares=squares)
+        return told.groupby(by, dropna=False, sort=False).agg(n=("n", "sum"), x=("x", "first"), y=("y", "first"), squares=("squares", "sum")).reset_index()
 
-    def close(self, state):
-        n, x, y, squares = state
-        return n, round(x, 4), round(y, 4), round((squares / n) ** 0.5, 4)
+    def close(self, states):
+        return states.assign(x=states.x.round(4), y=states.y.round(4), spread=((states.squares / states.n) ** 0.5).round(4))
 
 
 class Extent:
@@ -81,14 +87,13 @@ class Extent:
     STATE = "left double, right double, low double, high double, ts long, last_x double"
     OUT = "width double, height double, ts long, last_x double"
 
-    def partial(self, rows):
-        last = rows.sort_values(["ts", "x"]).iloc[-1]
-        return rows.x.min(), rows.x.max(), rows.y.min(), rows.y.max(), int(last.ts), last.x
+    def partial(self, rows, by):
+        return self.merge(rows.assign(left=rows.x, right=rows.x, low=rows.y, high=rows.y, last_x=rows.x), by)
 
-    def merge(self, states):
-        last = states.sort_values(["ts", "last_x"]).iloc[-1]
-        return states.left.min(), states.right.max(), states.low.min(), states.high.max(), int(last.ts), last.last_x
+    def merge(self, states, by):
+        groups = states.sort_values(["ts", "last_x"]).groupby(by, dropna=False, sort=False)
+        ends = {"left": "min", "right": "max", "low": "min", "high": "max", "ts": "last", "last_x": "last"}
+        return groups.agg(ends).reset_index()
 
-    def close(self, state):
-        left, right, low, high, ts, x = state
-        return round(right - left, 4), round(high - low, 4), ts, x
+    def close(self, states):
+        return states.assign(width=(states.right - states.left).round(4), height=(states.high - states.low).round(4))

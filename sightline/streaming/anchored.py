@@ -65,20 +65,25 @@ class Windows(StatefulProcessor):
 
     def state(self, begin: int, rows: pd.DataFrame | None) -> tuple | None:
         """What a window holds, with rows added."""
-        held = [tuple(self.states.getValue((begin,)))] if self.states.containsKey((begin,)) else []
+        columns = names(self.aggregator.STATE)
+        held = pd.DataFrame([tuple(self.states.getValue((begin,)))] if self.states.containsKey((begin,)) else [], columns=columns).assign(w_begin=begin)
         if rows is not None:
-            held.append(self.aggregator.partial(rows))
-        return self.aggregator.merge(pd.DataFrame(held, columns=names(self.aggregator.STATE))) if len(held) > 1 else held[0] if held else None
+            new = self.aggregator.partial(rows.assign(w_begin=begin), ["w_begin"])
+            held = self.aggregator.merge(pd.concat([held, new]), ["w_begin"]) if len(held) else new
+        return next(zip(*(held[c].tolist() for c in columns)), None)
 
     def close_all(self, key, begins: list[int], of: dict, came: pd.DataFrame | None) -> list[tuple]:
-        out = []
+        done = []
         for b in begins:
             state = self.state(b, came.iloc[of.pop(b)] if b in of else None)
             if state is not None:
-                out.append((key[0], b, *self.aggregator.close(state)))
+                done.append((b, *state))
             if self.states.containsKey((b,)):
                 self.states.removeKey((b,))
-        return out
+        if not done:
+            return []
+        out = self.aggregator.close(pd.DataFrame(done, columns=["w_begin", *names(self.aggregator.STATE)])).assign(**{self.key: key[0]})
+        return list(zip(*(out[c].tolist() for c in (self.key, "w_begin", *names(self.aggregator.OUT)))))
 
     def frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[self.key, "w_begin", *names(self.aggregator.OUT)])
