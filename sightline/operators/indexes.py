@@ -31,6 +31,31 @@ def track_index(log: DataFrame) -> DataFrame:
     )
 
 
+def partial_index(log: DataFrame, by: list[str]) -> DataFrame:
+    """What rows of a log say of their keys, for `combined_index` to put together; `by`: the keys, and what else rows are kept apart by."""
+    at = ["ts", "seq"]
+    zone = F.when(F.col("zone").isNotNull(), F.struct(*at, "zone"))
+    return log.groupBy(*by).agg(
+        F.min(zone).alias("enter"),
+        F.max(zone).alias("leave"),
+        F.min(F.struct(*at, "first_ts", "is_deleted")).alias("first"),
+        F.max(F.when(F.col("is_deleted"), F.col("ts"))).alias("gone_ts"),
+        F.max(F.when(F.col("is_deleted"), F.col("seq"))).alias("gone_offset"),
+        F.min("seq").alias("first_offset"),
+        F.max("seq").alias("newest_offset"),
+        F.count("*").alias("count"),
+    )
+
+
+def combined_index(partials: DataFrame, keys: list[str]) -> DataFrame:
+    """The index (see track_index) of logs of which `partial_index` tells, in whatever parts they were told."""
+    found = partials.groupBy(*keys).agg(
+        F.min("enter").alias("enter"), F.max("leave").alias("leave"), F.min("first").alias("first"), F.coalesce(F.max("gone_ts"), F.lit(-1)).alias("last_ts"), F.min("first_offset").alias("first_offset"), F.coalesce(F.max("gone_offset"), F.lit(-1)).alias("last_offset"), F.sum("count").alias("count")
+    )
+    named = [F.col("enter.zone").alias("enter_zone"), F.col("leave.zone").alias("exit_zone"), F.col("first.first_ts").alias("first_ts")]
+    return found.where("not first.is_deleted").select(*keys, *named, "last_ts", "first_offset", "last_offset", "count")
+
+
 def update_index(log: DataFrame, key: str, closed_only: bool = True, alive_since: int | None = None) -> DataFrame:
     """One row for each key of an update log, once it is closed; or, if not closed_only, with -1 for ends that are open.
 

@@ -28,6 +28,15 @@ def _path(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path beside materialised tables; it goes when the application ends."""
+    folder = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    files, at = _path(spark, folder)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again. The table goes when the application ends, or by `discard`."""
     spark = df.sparkSession

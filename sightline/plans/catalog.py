@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from sightline.functions import geometry, ids, vectors
 from sightline.operators import aggregation, associations, feature, global_tracks, indexes, motion, rangejoin, stores, tracks, windows, zones
 from sightline.operators.components import connected_components
-from sightline.operators.tables import materialize, shared_dir
+from sightline.operators.tables import materialize, scratch, shared_dir
+from sightline.sources import blocks
 from sightline.sources.views import SQL_AREAS, SQL_FEATURES, SQL_LINKS, SQL_TRACKS, SQL_ZONES, Tables
 from sightline.streaming import selection
 
@@ -220,6 +221,35 @@ def log_replay(t):
     return indexes.replay(t.node_tracks, indexes.track_index(t.node_tracks), ["node", "track_id"]).select("node", "track_id", "seq", "ts")
 
 
+def _blocks(t, log: DataFrame, keys: tuple[str, ...], tracks: bool) -> blocks.BlockLog:
+    """A log written in blocks, in two batches that share blocks."""
+    found = blocks.BlockLog(t.spark, scratch(t.spark, "log"), keys, 1 << 16, tracks)
+    for batch in (0, 1):
+        found.put(batch, log.where(F.pmod("seq", F.lit(2)) == batch))
+    return found
+
+
+@query(f"with {SQL_INDEX} select * from track_index")
+def block_index(t):
+    """The index of a log in blocks, from the rows that its blocks have for each tracklet."""
+    return _blocks(t, t.node_tracks, ("node", "track_id"), True).track_index()
+
+
+@query(f"with {SQL_INDEX} select t.node, t.track_id, t.seq, t.ts from node_tracks t join track_index i using (node, track_id) where i.last_ts between {LOW} and {HIGH} and t.seq >= i.first_offset and t.seq <= i.last_offset")
+def block_replay(t):
+    """Events of the tracklets that ended in an interval, from the blocks that hold them."""
+    log = _blocks(t, t.node_tracks, ("node", "track_id"), True)
+    return log.replay(log.track_index().where(F.col("last_ts").between(LOW, HIGH))).select("node", "track_id", "seq", "ts")
+
+
+@query(f"with {SQL_TRACKS}, n as (select max(seq) as n from node_tracks) select node, track_id, seq from node_tracks, n where seq between n // 3 and n // 2")
+def offset_seek(t):
+    """Events between two offsets, from the blocks between them."""
+    log = _blocks(t, t.node_tracks, ("node", "track_id"), True)
+    n = log.index().agg(F.max("newest_offset")).first()[0] or 0
+    return log.between(n // 3, n // 2).select("node", "track_id", "seq")
+
+
 @query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1996-02-01'")
 def predicate_scan(t):
     d = F.col("o_orderdate")
@@ -518,6 +548,13 @@ def scores_of(t) -> DataFrame:
     return scored.join(pairs, ["session", "candidate"])
 
 
+@query(f"with {SQL_SCORES} select f.track as candidate, f.seq, f.ts from track_features f where f.track in (select candidate from scores)")
+def candidate_features(t):
+    """Appearance vectors of all tracklets that some session may be a continuation of, replayed from a log in blocks."""
+    log = _blocks(t, t.track_features, ("track",), False)
+    return log.replay(_pairs(t).select(F.col("candidate").alias("track"))).select(F.col("track").alias("candidate"), "seq", "ts")
+
+
 @query(f"with {SQL_SCORES} select session, candidate, score, session_ts, candidate_ts from scores")
 def feature_pair_topk(t):
     return scores_of(t).select("session", "candidate", "score", "session_ts", "candidate_ts")

@@ -108,17 +108,18 @@ def closing_windows(df: DataFrame, size: int, grace: int = 0, idle: int = 1000,
 
 
 def upsert_index(df: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("node", "track_id")):
-    """Keep an index table of versions: each batch writes the index of its keys' rows as a new version, so a repeated batch overwrites itself."""
+    """Keep an index as a table of versions: each batch writes what it says of its keys (`indexes.partial_index`), a row a key, as a new version, so a
+    repeated batch overwrites itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/version={number:09d}")
+        indexes.partial_index(batch, list(keys)).write.mode("overwrite").parquet(f"{path}/version={number:09d}")
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def read_index(batches: DataFrame) -> DataFrame:
-    """The index over all versions written so far."""
-    return indexes.track_index(batches)
+def read_index(versions: DataFrame, keys: tuple[str, ...] = ("node", "track_id")) -> DataFrame:
+    """The index over all versions written so far: their rows are put together, and no event is read again."""
+    return indexes.combined_index(versions, list(keys))
 
 
 def delayed(df: DataFrame, delay: int, key: str = "node") -> DataFrame:

@@ -1,9 +1,12 @@
 """Streams over files give what batches give."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import windows
-from sightline.sources import config, logs
+from sightline.operators import indexes, windows
+from sightline.sources import blocks, config, logs
 from sightline.streaming import flows
 
 SHAPE = "node string, ts bigint, seq bigint, x double, y double, is_deleted boolean"
@@ -88,11 +91,96 @@ def test_windows_close_when_the_source_is_idle(spark, tmp_path):
     assert {(r.node, r.w_begin, r.x, r.n) for r in spark.table("closing").collect()} == {("a", 0, 2.0, 2), ("a", 1000, 7.0, 1), ("b", 0, 5.0, 1)}
 
 
-def test_index_versions(spark, tmp_path):
-    path, out = str(tmp_path / "log"), str(tmp_path / "index")
-    table(spark, path)
-    flows.upsert_index(logs.stream_log(spark, path, SHAPE), out, str(tmp_path / "c")).start().awaitTermination(120)
-    assert spark.read.parquet(f"{out}/version=000000000").count() == 5
+def test_index_versions_are_partial_and_give_the_whole_index(spark, tmp_path):
+    log, out = some_log(spark, 300), str(tmp_path / "index")
+    for part in range(3):
+        log.where(F.col("seq") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    flows.upsert_index(logs.stream_log(spark, str(tmp_path / "log"), LOG, files=1), out, str(tmp_path / "c")).start().awaitTermination(120)
+    versions = spark.read.parquet(out)
+    assert versions.select("version").distinct().count() == 3 and versions.count() <= 3 * log.select("node", "track_id").distinct().count()
+    assert same(flows.read_index(versions), indexes.track_index(log))
+
+
+LOG = "node string, track_id string, ts bigint, seq bigint, x double, zone string, first_ts bigint, is_deleted boolean"
+
+
+def some_log(spark, n, seed=5):
+    rng, rows = random.Random(seed), []
+    for seq in range(n):
+        t = rng.randrange(30)
+        rows.append((f"cam:{t % 3}", str(t), seq // 2, seq, rng.random(), rng.choice(["A", "B", None]), t, rng.random() < 0.05))
+    return spark.createDataFrame(rows, LOG)
+
+
+def same(a, b):
+    columns = sorted(b.columns)
+    return sorted(map(repr, a.select(columns).collect())) == sorted(map(repr, b.select(columns).collect()))
+
+
+def test_a_replay_reads_the_blocks_of_its_keys_alone(spark, tmp_path):
+    rare = F.col("seq").between(310, 314)
+    log = some_log(spark, 1000).where("track_id <> '7' or seq between 310 and 314").withColumns({"node": F.when(rare, "cam:1").otherwise(F.col("node")), "track_id": F.when(rare, "7").otherwise(F.col("track_id")), "x": F.when(F.col("seq") % 9 > 0, F.col("x"))})
+    held = blocks.BlockLog(spark, str(tmp_path / "log"), size=50)
+    held.put(0, log.where("seq < 520"))
+    held.put(1, log.where("seq >= 520"))
+    assert same(held.track_index(), indexes.track_index(log)) and same(held.events().select(log.columns), log)
+    lone = spark.createDataFrame([("cam:1", "7"), ("cam:1", None), (None, "7"), ("cam:9", "9")], "node string, track_id string")
+    assert {(r.batch, r.block) for r in held.places(lone).collect()} == {(0, 6)}
+    assert len(held.events(held.places(lone)).inputFiles()) == 1 and len(held.events().inputFiles()) == 21
+    assert same(held.replay(lone).select(log.columns), log.where("node = 'cam:1' and track_id = '7'"))
+    # Bounds of offsets: blocks outside aren't read, the ends are exact, -1 is the end of the log.
+    spans = spark.createDataFrame([("cam:2", "2", 130, 270), ("cam:0", "3", 900, -1)], "node string, track_id string, first_offset bigint, last_offset bigint")
+    wanted = log.where("(track_id = '2' and seq between 130 and 270) or (track_id = '3' and seq >= 900)")
+    assert same(held.replay(spans).select(log.columns), wanted) and {r.block for r in held.places(spans).collect()} <= {2, 3, 4, 5, 18, 19}
+    assert same(held.replay(held.track_index()).select(log.columns), indexes.replay(log, indexes.track_index(log), ["node", "track_id"]))
+    near = held.between(149, 251)
+    assert same(near.select(log.columns), log.where("seq between 149 and 251"))
+    scanned = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(block" in scanned
+    assert held.replay(lone.limit(0)).count() == 0
+
+
+def test_many_blocks_are_read_by_a_join(spark, tmp_path, monkeypatch):
+    log = some_log(spark, 400)
+    held = blocks.BlockLog(spark, str(tmp_path / "log"), size=20)
+    held.put(0, log)
+    keys = log.where("track_id in ('4', '5')").select("node", "track_id").distinct()
+    few = held.replay(keys).collect()
+    monkeypatch.setattr(blocks, "PATHS", 3)
+    assert sorted(map(repr, held.replay(keys).select(*few[0].asDict()).collect())) == sorted(map(repr, few)) and len(few) > 20
+
+
+def test_a_log_in_parts_repeated_batches_and_a_job_that_dies(spark, tmp_path, monkeypatch):
+    # Offsets are those of parts: two parts have the same ones.
+    log = some_log(spark, 300).withColumn("part", F.when(F.col("seq") % 3 > 0, F.col("seq") % 3)).withColumn("seq", F.floor(F.col("seq") / 3))
+    held = blocks.BlockLog(spark, str(tmp_path / "log"), size=25)
+    with pytest.raises(ValueError):
+        held.index()
+    held.put(0, log.where("seq < 60"))
+    held.put(0, log.where("seq < 60"))
+    names = [c for c in log.columns if c != "part"]
+    assert same(held.events().select(names), log.where("seq < 60").select(names))
+    monkeypatch.setattr(indexes, "partial_index", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        held.put(1, log.where("seq >= 60"))
+    monkeypatch.undo()
+    assert held.batches() == [0] and held.events().count() == log.where("seq < 60").count()
+    held.put(1, log.where("seq >= 60"))
+    assert same(held.between(30, 70, part=2).select(names), log.where("part = 2 and seq between 30 and 70").select(names))
+    assert held.events().select("part").distinct().count() == 3
+    with pytest.raises(Exception, match="no offset"):
+        held.put(2, log.withColumn("seq", F.lit(None).cast("bigint")))
+    with pytest.raises(ValueError, match="own"):
+        held.put(2, log.withColumn("block", F.lit(1)))
+
+
+def test_a_log_in_blocks_follows_a_stream(spark, tmp_path):
+    log = some_log(spark, 300)
+    for part in range(3):
+        log.where(F.col("seq") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    held = blocks.BlockLog(spark, str(tmp_path / "log"), size=64)
+    held.follow(logs.stream_log(spark, str(tmp_path / "in"), LOG, files=1), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert held.batches() == [0, 1, 2] and same(held.events().select(log.columns), log) and same(held.track_index(), indexes.track_index(log))
 
 
 def test_wire_form(spark):
