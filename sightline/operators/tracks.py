@@ -15,6 +15,13 @@ def distance_gate(tracks: DataFrame, area_nodes: DataFrame) -> DataFrame:
     return joined.where(F.col("is_deleted") | near).drop("threshold")
 
 
+def with_lanes(tracks: DataFrame, area_nodes: DataFrame) -> DataFrame:
+    """Adds the area of a track's node as lane (null: in none); events in an area that are too far from their camera go, deletes pass."""
+    joined = tracks.join(small(area_nodes), "node", "left")
+    near = F.col("area").isNull() | (F.col("distance") <= F.coalesce("threshold", F.lit(float("inf"))))
+    return joined.where(F.col("is_deleted") | near).drop("threshold").withColumnRenamed("area", "lane")
+
+
 def listening(tracks: DataFrame, nodes: DataFrame) -> DataFrame:
     return tracks.join(small(nodes), "node", "left_semi")
 

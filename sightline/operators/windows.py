@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +80,52 @@ def reanchored(df: DataFrame, size: int, advance: int, by: list[str], ts: str =
         return out
 
     return df.groupBy(*by).applyInPandas(walk, schema)
+
+
+def after_silence(df: DataFrame, by: list[str], gap: int, ts: str = "ts", out: str = "since", bucket: int = 3_600_000) -> DataFrame:
+    """For each event the time of the last event of its group, itself included, before which the group was silent for `gap`, or had not begun.
+
+    Running values are taken within (group, bucket of time); what a bucket needs from those before it is one row a bucket. Null keys are a group.
+    """
+    dealt = df.withColumn("__b", F.floor(F.col(ts) / bucket))
+    within, earlier = Window.partitionBy(*by, "__b").orderBy(ts), Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(rows: DataFrame, value, name: str) -> DataFrame:
+        """Add the greatest value of the earlier buckets of the group."""
+        told = rows.groupBy(*by, "__b").agg(F.max(value).alias("__v"))
+        told = told.select(*[F.col(c).alias(f"__of_{i}") for i, c in enumerate([*by, "__b"])], F.max("__v").over(earlier).alias(name))
+        same = F.lit(True)
+        for i, c in enumerate([*by, "__b"]):
+            same = same & rows[c].eqNullSafe(told[f"__of_{i}"])
+        return rows.join(told, same).select(*rows.columns, name)
+
+    seen = carried(dealt, F.col(ts), "__prior")
+    before = F.coalesce(F.lag(ts).over(within), F.col("__prior"))
+    marked = seen.withColumn("__start", F.when(before.isNull() | (F.col(ts) - before >= gap), F.col(ts))).drop("__prior")
+    own = F.max("__start").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return carried(marked, F.col("__start"), "__former").select(*df.columns, F.coalesce(own, "__former").alias(out))
+
+
+def arrival_spans(df: DataFrame, span: int, by: list[str], ts: str = "ts", begin: str = "w_begin", bucket: int = 3_600_000) -> DataFrame:
+    """Each event with the time of the first event of its span: a span holds all that comes less than `span` after its first event, and the next event
+    starts another one. Events of a group come in order of `ts`; those without a time are in no span and go.
+
+    Where a group was silent for `span` a new one begins whatever came before, so the log is cut there, and the pieces are dealt among tasks;
+    each is walked in order, with one time as the walk's memory.
+    """
+    cut = after_silence(df.where(F.col(ts).isNotNull()), by, span, ts, "__since", bucket)
+    cut = cut.withColumn("__piece", F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], "__since"))).drop("__since")
+    kept = [c for c in df.columns]
+
+    def walk(batches):
+        piece, first = None, 0
+        for batch in batches:
+            found = []
+            for name, at in zip(batch.column("__piece").to_pylist(), batch.column(ts).to_pylist()):
+                if name != piece or at >= first + span:
+                    piece, first = name, at
+                found.append(first)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.int64())], [*kept, begin])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{begin}` bigint"
+    return cut.repartition("__piece").sortWithinPartitions("__piece", ts).mapInArrow(walk, schema)

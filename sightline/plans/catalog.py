@@ -730,6 +730,28 @@ def isolated_tracks(t):
     return global_tracks.isolated(enriched_of(t).where("not associated"), HOUR)
 
 
+SPAN = HOUR // 2
+
+
+@query(f"""with recursive {SQL_GLOBAL}, {SQL_AREAS}, laned as (
+  select e.*, a.area as lane from enriched e left join area_nodes a using (node) where e.is_deleted or a.area is null or e.distance <= coalesce(a.threshold, 'infinity'::double)
+), o as (select *, row_number() over (partition by lane order by ts, seq) as i from laned where lane is not null), walk(lane, i, ts, w_begin) as (
+  select lane, i, ts, ts from o where i = 1
+  union all select o.lane, o.i, o.ts, case when o.ts >= w.w_begin + {SPAN} then o.ts else w.w_begin end from walk w join o on o.lane = w.lane and o.i = w.i + 1
+), placed as (select o.*, w.w_begin from o join walk w on o.lane = w.lane and o.i = w.i),
+ends as (select lane, association, tracklet, max({{'ts': ts, 'seq': seq}}) filter (is_deleted) as gone from placed group by all),
+ended as (select lane, association, max(gone) as gone from ends group by all having count(*) = count(gone))
+select lane, w_begin, association, case when bool_or(associated) then 'ASSOCIATED' else 'ISOLATED' end as state, round(avg(x), 6) as x, round(avg(y), 6) as y,
+  case when bool_or(associated) then min(assoc_first_ts) else max_by(first_ts, {{'a': ts, 'b': seq}}) end as first_ts, max(ts) as ts, count(*) as n_supports
+from placed p where not is_deleted group by lane, w_begin, association
+union all select p.lane, w_begin, association, 'DELETED', null, null, assoc_first_ts, ts, 0 from placed p join ended using (lane, association) where is_deleted and ts = gone.ts and seq = gone.seq
+union all select lane, ts, case when is_deleted then tracklet else association end, case when is_deleted then 'DELETED' when associated then 'ASSOCIATED' else 'ISOLATED' end,
+  case when not is_deleted then round(x, 6) end, case when not is_deleted then round(y, 6) end, first_ts, ts, case when is_deleted then 0 else 1 end from laned where lane is null""")
+def global_by_arrival(t):
+    """Global tracks of spans that start at their first event; cameras outside of areas pass theirs one by one."""
+    return global_tracks.in_arrival_spans(tracks.with_lanes(enriched_of(t), t.area_nodes), SPAN)
+
+
 def _sql_degrees() -> str:
     """CTEs from p(association, e, n, ts) to d(association, lon, lat, ts), by the formulas of the projection."""
     e = geometry.FLAT * (2 - geometry.FLAT)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import aggregation, feature, global_tracks, windows, zones
-from sightline.streaming import anchored, publication, residents, sessions
+from sightline.streaming import anchored, arrivals, publication, residents, sessions
 from tests.test_streaming import batches, drained
 
 TRACKS = "lane string, tracklet string, ts bigint, seq bigint, x double, y double, first_ts bigint, is_deleted boolean"
@@ -182,3 +182,76 @@ def test_aggregators_take_null_keys_and_many_partials(spark):
         mean = sum(xs) / len(xs)
         assert found[node] == (100, round(mean, 4), round((sum((x - mean) ** 2 for x in xs) / 100) ** 0.5, 4))
     assert aggregation.aggregated(df.where("false"), ["node"], aggregation.Spread()).count() == 0
+
+
+def plain_spans(rows, span):
+    """Begin of each (lane, ts, seq), walked one by one."""
+    first, found = {}, {}
+    for lane, ts, seq in sorted(rows, key=lambda r: r[1:]):
+        if lane not in first or ts >= first[lane] + span:
+            first[lane] = ts
+        found[lane, seq] = first[lane]
+    return found
+
+
+@pytest.mark.parametrize("step", [3, 40, 300])
+def test_spans_of_arrival_equal_a_plain_walk(spark, step):
+    rng, ts, rows = random.Random(step), 0, []
+    for seq in range(400):
+        # Ties, silences longer than a span and than a bucket, a null lane and times before zero.
+        ts += rng.choice([0, rng.randrange(step), rng.randrange(step), 0 if rng.random() < 0.97 else 5000])
+        rows.append((rng.choice(["n", "s", None]), ts - 700, seq))
+    log = spark.createDataFrame([(*r, [1, None]) for r in rows] + [("n", None, 999, [])], "lane string, ts bigint, seq bigint, w_begin_of array<int>")
+    found = windows.arrival_spans(log, 100, ["lane"], bucket=250)
+    assert found.columns == [*log.columns, "w_begin"]
+    assert {(r.lane, r.seq): r.w_begin for r in found.collect()} == plain_spans(rows, 100)
+    assert windows.arrival_spans(log.limit(0), 100, ["lane"]).count() == 0
+
+
+ENRICHED = "lane string, " + ", ".join(f"{c} {t}" for c, t in arrivals.EVENT.items())
+
+
+def enriched_rows():
+    rng, rows = random.Random(8), []
+    members = {"g1": ["a[1]", "b[1]"], "g2": ["a[2]", "b[2]", "c[2]"], "a[5]": ["a[5]"]}
+    for lane in ("north", "south"):
+        for g, ts in members.items():
+            for i, t in enumerate(ts):
+                for at in range(50 * i, 1200 + 90 * i, 37 + i):
+                    rows.append((lane, t, g, g != t, len(ts), 3, 50 * i, at, 0, rng.random(), rng.random(), False))
+                if (lane, t) != ("south", "b[2]"):
+                    rows.append((lane, t, g, g != t, len(ts), 3, 50 * i, 1250 + 90 * i, 0, None, None, True))
+    rows.sort(key=lambda r: (r[7], r[1], r[0]))
+    return [(*r[:8], i, *r[9:]) for i, r in enumerate(rows)]
+
+
+def test_global_tracks_by_arrival_equal_the_batch(spark, tmp_path):
+    rows = enriched_rows()
+    rows.append(("north", "z[1]", "z[1]", False, 1, 9000, 9000, 9000, 9999, 0.0, 0.0, False))
+    rows.append(("south", "z[1]", "z[1]", False, 1, 9000, 9000, 9000, 9998, 0.0, 0.0, False))
+    stream = batches(spark, str(tmp_path / "t"), ENRICHED, *[rows[len(rows) * i // 5 : len(rows) * (i + 1) // 5] for i in range(5)])
+    found = []
+    arrivals.global_tracks_by_arrival(stream, lambda out, number: found.extend(out.collect()), str(tmp_path / "c"), 100).trigger(availableNow=True).start().awaitTermination(120)
+    batch = global_tracks.in_arrival_spans(spark.createDataFrame(rows, ENRICHED), 100).where("w_begin < 9000").collect()
+    near = lambda r: (r.lane, r.w_begin, r.association, r.state, r.x and round(r.x, 4), r.y and round(r.y, 4), r.first_ts, r.ts, r.n_supports)
+    assert sorted(map(repr, map(near, found))) == sorted(map(repr, map(near, batch)))
+    assert {(r.lane, r.association) for r in found if r.state == "DELETED"} == {("north", "g1"), ("north", "g2"), ("north", "a[5]"), ("south", "g1"), ("south", "a[5]")}
+    assert {r.state for r in found if r.association == "a[5]"} == {"ISOLATED", "DELETED"}
+
+
+def test_a_span_leaves_when_its_lane_is_silent(spark, tmp_path):
+    t = lambda name, ts: ("l", name, name, False, 1, ts, ts, ts, ts, 1.0, 1.0, False)
+    stream = batches(spark, str(tmp_path / "t"), ENRICHED, [t("a", 10), t("b", 90), t("c", 200)])
+    query = arrivals.spans(stream, 100, idle=500).writeStream.format("memory").queryName("spans").trigger(processingTime="300 milliseconds").start()
+    for _ in range(40):
+        query.awaitTermination(1)
+        if spark.table("spans").count() >= 3:
+            break
+    query.stop()
+    assert sorted((r.tracklet, r.w_begin) for r in spark.table("spans").collect()) == [("a", 10), ("b", 10), ("c", 200)]
+
+
+def test_tracks_outside_of_overlapping_views_pass_one_by_one(spark):
+    rows = [(None, "d[1]", "g1", True, 2, 3, 40, 50, 1, 1.5, 2.5, False), (None, "d[2]", "d[2]", False, 1, 60, 60, 60, 2, 3.0, 4.0, False), (None, "d[1]", "g1", True, 2, 3, 40, 70, 3, 1.0, 1.0, True)]
+    found = global_tracks.in_arrival_spans(spark.createDataFrame(rows, ENRICHED), 100).orderBy("ts").collect()
+    assert [tuple(r)[1:] for r in found] == [(50, "g1", "ASSOCIATED", 1.5, 2.5, 40, 50, 1), (60, "d[2]", "ISOLATED", 3.0, 4.0, 60, 60, 1), (70, "d[1]", "DELETED", None, None, 40, 70, 0)]
