@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry
+from sightline.operators.tables import materialize
 from sightline.operators.windows import arrival_spans, hopping
 
 
@@ -64,11 +65,13 @@ def in_arrival_spans(enriched: DataFrame, span: int = 100) -> DataFrame:
 
     enriched: as `enrich` gives it, with x, y, ts, seq, first_ts, is_deleted, and lane (null: no overlapping view).
     """
-    placed = arrival_spans(enriched.where("lane is not null"), span, ["lane"])
+    placed = materialize(arrival_spans(enriched.where("lane is not null"), span, ["lane"]))
     each = placed.groupBy("lane", "association", "tracklet").agg(F.max(F.when(F.col("is_deleted"), F.struct("ts", "seq"))).alias("gone"))
     ended = each.groupBy("lane", "association").agg(F.count("*").alias("n"), F.count("gone").alias("d"), F.max("gone").alias("__gone")).where("n = d")
-    told = placed.join(ended.select("lane", "association", "__gone"), ["lane", "association"], "left")
-    told = told.withColumn("last_gone", F.coalesce(F.col("is_deleted") & (F.struct("ts", "seq") == F.col("__gone")), F.lit(False)))
+    # Deletes alone meet the ends of associations; what is alive, of which an association may have any share, is only summed.
+    deletes = placed.where("is_deleted").join(ended.select("lane", "association", "__gone"), ["lane", "association"])
+    deletes = deletes.where(F.struct("ts", "seq") == F.col("__gone")).select(*placed.columns).withColumn("last_gone", F.lit(True))
+    told = placed.where("not is_deleted").withColumn("last_gone", F.lit(False)).unionByName(deletes)
     return combined(told).unionByName(one_by_one(enriched.where("lane is null")))
 
 
