@@ -2,6 +2,9 @@
 
     python -m sightline.plans.commands build associations --log LOG --areas areas.yml --out OUT
     python -m sightline.plans.commands build associations --log LOG --areas areas.yml --features FEATURES --links links.yml --out OUT
+    python -m sightline.plans.commands build zone_events --log LOG --zones zones.yml --out OUT
+    python -m sightline.plans.commands build blocks --log LOG --out BLOCKS
+    python -m sightline.plans.commands replay blocks --log BLOCKS --tracklets "cam:01[7] cam:02[9]" --out OUT
     python -m sightline.plans.commands format node_tracks_index --out OUT
 """
 
@@ -14,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import ids
-from sightline.operators import associations, feature, global_tracks, indexes, motion, stores
+from sightline.operators import associations, feature, global_tracks, indexes, motion, stores, tracks, zones
 from sightline.operators.tables import materialize
-from sightline.sources import config, logs
+from sightline.sources import blocks, config, logs
 
 TABLES = {
     "node_tracks_index": "node string, track_id string, enter_zone string, exit_zone string, first_ts bigint, last_ts bigint, first_offset bigint, last_offset bigint, count bigint",
@@ -52,6 +55,9 @@ def build(spark: SparkSession, what: str, options: argparse.Namespace) -> DataFr
         return indexes.update_index(log.withColumnRenamed("tracklet", "key"), "key")
     if what == "trajectories":
         return global_tracks.trajectories(log, "tracklet", F.col("x"), F.col("y"))
+    if what.startswith("zone_"):
+        events = zones.zone_events(tracks.lines(log), config.zones(spark, Path(options.zones).read_text()))
+        return zones.with_exits(events) if what == "zone_events" else zones.zone_residents(zones.stays(events))
     settings = config.load(Path(options.config).read_text() if options.config else "")
     nodes, pairs = config.areas(spark, Path(options.areas).read_text())
     m = settings.motion
@@ -67,19 +73,33 @@ def build(spark: SparkSession, what: str, options: argparse.Namespace) -> DataFr
     return global_tracks.global_tracks(enriched, settings.output.interval)
 
 
+def replay(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    """Events of some tracklets from a log in blocks; names that are no tracklet's find nothing."""
+    names = [n.rpartition("[") for n in options.tracklets.split()]
+    wanted = spark.createDataFrame([(node, track.removesuffix("]")) for node, _, track in names], "node string, track_id string")
+    return blocks.BlockLog(spark, options.log).replay(wanted)
+
+
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("action", choices=["build", "format"])
-    parser.add_argument("what", choices=[*TABLES, "global_tracks", "trajectories"])
+    parser.add_argument("action", choices=["build", "replay", "format"])
+    parser.add_argument("what", choices=[*TABLES, "global_tracks", "trajectories", "zone_events", "zone_residents", "blocks"])
     parser.add_argument("--log", help="node tracks as Parquet, with the offset of each record as seq")
     parser.add_argument("--areas", help="YAML of overlapping areas")
     parser.add_argument("--features", help="appearance vectors as Parquet: node, track_id, feature, ts, seq; with --links, matches join the associations")
     parser.add_argument("--links", help="YAML of the transitions between cameras")
+    parser.add_argument("--zones", help="YAML of zones")
+    parser.add_argument("--tracklets", default="", help="tracklets to replay, parted by blanks")
+    parser.add_argument("--batch", type=int, default=0, help="number of the batch that is put into a log in blocks; one that is there already is replaced")
     parser.add_argument("--config", help="YAML of settings")
     parser.add_argument("--out", required=True, help="folder of the table")
     options = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("sightline").getOrCreate()
-    if options.action == "format":
+    if options.action == "replay":
+        replay(spark, options).write.mode("overwrite").parquet(options.out)
+    elif options.action == "build" and options.what == "blocks":
+        blocks.BlockLog(spark, options.out).put(options.batch, tracks_of(spark, options.log))
+    elif options.action == "format":
         spark.createDataFrame([], TABLES[options.what]).write.mode("overwrite").parquet(options.out)
     else:
         build(spark, options.what, options).write.mode("overwrite").parquet(options.out)

@@ -343,6 +343,25 @@ def test_commands_build_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
 
 
+def test_commands_for_zones_and_logs_in_blocks(spark, tmp_path):
+    from sightline.plans import commands
+
+    wire = "node string, track_id string, state string, location array<double>, distance double, zone_expr string, first_ts bigint, ts bigint, seq bigint"
+    at = lambda track, x, ts, seq: ("a", track, "Confirmed", [x, 1.0], 1.0, "U", 0, ts, seq)
+    rows = [at("1", 1.0, 100, 0), at("2", 9.0, 110, 1), at("1", 5.0, 200, 2), at("2", 5.0, 210, 3), at("2", 9.5, 300, 4), ("a", "1", "Deleted", None, 1.0, "D", 0, 400, 5)]
+    log, out = str(tmp_path / "log"), lambda name: str(tmp_path / name)
+    spark.createDataFrame(rows, wire).write.parquet(log)
+    (tmp_path / "zones.yml").write_text("Z: [[4, 0], [6, 0], [6, 2], [4, 2]]\n")
+    for what in ("zone_events", "zone_residents"):
+        commands.main(["build", what, "--log", log, "--zones", out("zones.yml"), "--out", out(what)])
+    told = {(r.track_id, r.ts, r.relation, r.zone, r.added) for r in spark.read.parquet(out("zone_events")).collect()}
+    assert {("1", 200, "Entered", "Z", False), ("2", 210, "Entered", "Z", False), ("2", 300, "Left", "Z", False), ("1", 400, "Left", "Z", True)} <= told
+    assert [(r.ts, r.residents) for r in spark.read.parquet(out("zone_residents")).orderBy("ts").collect()] == [(200, 1), (210, 2), (300, 1), (400, 0)]
+    commands.main(["build", "blocks", "--log", log, "--out", out("blocks")])
+    commands.main(["replay", "blocks", "--log", out("blocks"), "--tracklets", "a[2] a[9] nobody", "--out", out("replayed")])
+    assert sorted(r.seq for r in spark.read.parquet(out("replayed")).collect()) == [1, 3, 4]
+
+
 def test_the_next_event_equals_a_plain_search(spark):
     rng = random.Random(9)
     rows = [(rng.choice("ab"), rng.randrange(40) * 25, i) for i in range(120)] + [(None, 5, 200), (None, 400, 201)]
