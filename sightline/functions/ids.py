@@ -30,6 +30,13 @@ def association_text(tracklets: Column, leader: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.when(s["t"] == leader, F.concat(s["t"], F.lit("*"))).otherwise(s["t"])), "-")
 
 
+def association_parts(text: Column) -> tuple[Column, Column]:
+    """Tracklets and leader of an association's text; a dash parts tracklets only behind one's bracket, or its star, as nodes may have dashes. No star: no leader."""
+    parts = F.split(text, r"(?<=\]|\]\*)-")
+    starred = F.filter(parts, lambda p: F.endswith(p, F.lit("*")))
+    return F.transform(parts, lambda p: F.regexp_replace(p, r"\*$", "")), F.regexp_replace(F.get(starred, F.lit(0)), r"\*$", "")
+
+
 def zone_text(relation: Column, zone: Column) -> Column:
     """U, D, or E, L, I, T with the zone in brackets."""
     letter = F.substring(relation, 1, 1)

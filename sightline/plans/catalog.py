@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.functions import geometry, ids, vectors
+from sightline.functions import geometry, ids, ranges, vectors
 from sightline.operators import aggregation, associations, feature, global_tracks, indexes, motion, rangejoin, stores, tracks, windows, zones
 from sightline.operators.components import connected_components
 from sightline.operators.tables import materialize, scratch, shared_dir
@@ -858,6 +858,31 @@ def assoc_text(t):
     return found.select("component", ids.association_text(F.col("tracklets"), F.col("id")).alias("text"))
 
 
+SQL_PARTS = (
+    "with recursive " + SQL_COMPONENTS + ", s as (select c.component, f.* from few f join component c on f.left_id = c.id) select c.component, count(distinct c.id) as size, "
+    "max(c.id) as last, (select min_by(id, {'a': first_ts, 'b': id}) from s where s.component = c.component) as leader from component c group by c.component"
+)
+
+
+@query(SQL_PARTS)
+def assoc_parse(t):
+    """The texts of associations, read back."""
+    found = associations.summary(_components(t), "component")
+    members, leader = ids.association_parts(ids.association_text(F.col("tracklets"), F.col("id")))
+    return found.select("component", F.size(members).cast("long").alias("size"), F.array_max(members).alias("last"), leader.alias("leader"))
+
+
+@query(f"""with {SQL_TRACKS}, r as (select node, track_id, min(ts) as low, max(ts) filter (cast(track_id as bigint) % 4 > 0) as high from node_tracks group by node, track_id)
+select node, track_id, low <= {HIGH} and (high is null or high >= {HIGH}) as holds, least(low, {LOW}) as span_low, case when high is not null then greatest(high, {HIGH}) end as span_high, least(low, {LATE}) as low, greatest(coalesce(high, low), {LATE}) as high,
+  case when low <> {LOW} then sign(low - {LOW}) when high is null then 1 else sign(high - {HIGH}) end::int as place, case when low > {HIGH} then 1 when high < {HIGH} then -1 else 0 end as side from r""")
+def range_functions(t):
+    """Lifetimes of tracklets, every fourth of which is open, against an interval and a time."""
+    lives = t.node_tracks.groupBy("node", "track_id").agg(F.min("ts").alias("low"), F.max(F.when(F.col("track_id").cast("bigint") % 4 > 0, F.col("ts"))).alias("high"))
+    life, window, now = ranges.between(F.col("low"), F.col("high")), ranges.between(F.lit(LOW), F.lit(HIGH)), F.lit(HIGH)
+    both, more = ranges.span(life, window), ranges.expand(life, F.lit(LATE))
+    return lives.select("node", "track_id", ranges.contains(life, now).alias("holds"), both["low"].alias("span_low"), both["high"].alias("span_high"), more["low"].alias("low"), more["high"].alias("high"), ranges.order(life, window).alias("place"), ranges.side(life, now).alias("side"))
+
+
 @query(f"with {SQL_EVENTS}, c as (select seq, step, relation, zone, case when relation in ('Unassigned', 'Deleted') then left(relation, 1) else left(relation, 1) || '(' || zone || ')' end as text from events) select seq, step, text, relation, zone from c")
 def zone_codec(t):
     coded = zones.zone_events(tracks.lines(t.node_tracks), t.zones).select("seq", "step", ids.zone_text(F.col("relation"), F.col("zone")).alias("text"))

@@ -343,6 +343,18 @@ def test_commands_build_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
 
 
+def test_ranges_and_texts_of_associations(spark):
+    from sightline.functions import ids, ranges
+
+    n, v = F.lit(None).cast("bigint"), F.lit
+    row = spark.range(1).select(
+        *(ranges.contains(r, v(5)) for r in (ranges.at_least(v(5)), ranges.at_most(v(4)), ranges.between(n, n), ranges.at(v(5)))), ranges.contains(ranges.at(v(5)), n),
+        ranges.expand(ranges.between(n, n), v(7)), ranges.expand(ranges.at_least(v(3)), v(1)), ranges.expand(ranges.at(v(3)), n), ranges.order(ranges.at_least(v(3)), ranges.at(v(3))), ranges.order(ranges.at_most(v(3)), ranges.at(v(3))), ranges.span(ranges.at_most(v(9)), ranges.at(v(3))), ranges.side(ranges.between(n, n), v(1)),
+        *ids.association_parts(v("cam-1[2]-cam-1[3]*-b[x-y]")), *ids.association_parts(v("a[1]")),
+    ).first()
+    assert list(row) == [True, False, True, True, None, (None, None), (1, 3), (None, None), 1, -1, (None, 9), 0, ["cam-1[2]", "cam-1[3]", "b[x-y]"], "cam-1[3]", ["a[1]"], None]
+
+
 def test_commands_for_zones_and_logs_in_blocks(spark, tmp_path):
     from sightline.plans import commands
 
