@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,25 +62,58 @@ def aggregated(df: DataFrame, by: list[str], aggregator: Aggregator, salts: int
     return merged.groupBy(part(*by)).applyInPandas(close, f"{keys}, {aggregator.OUT}")
 
 
+def rounded(values: pd.Series, digits: int = 4) -> pd.Series:
+    """As SQL's round: a half goes away from zero, where pandas takes it to the even digit."""
+    scaled = values * 10.0**digits
+    whole = np.trunc(scaled)
+    near = (whole + np.sign(scaled) * ((scaled - whole).abs() >= 0.5)) / 10.0**digits
+    return near.where(np.isfinite(near), values)
+
+
+def _sum(values: list[float]) -> tuple[float, float]:
+    """The sum as the nearest double, and what that leaves out."""
+    try:
+        total = math.fsum(values)
+        return total, math.fsum([*values, -total])
+    except (OverflowError, ValueError):  # beyond doubles, or infinite
+        return sum(values), 0.0
+
+
 class Spread:
-    """Number, mean place and root mean square distance from it. Sums of squares are about the mean, so far-off places lose no digits."""
+    """Number of rows, mean place and root mean square distance from it. A missing coordinate counts for neither, as in SQL.
+
+    Sums are two doubles, so means don't depend on how rows are dealt. Squares are about the mean, so far-off places lose no digits.
+    """
 
-    STATE = "n long, x double, y double, squares double"
+    STATE = "n long, n_x long, x double, x_rest double, x_squares double, n_y long, y double, y_rest double, y_squares double"
     OUT = "n long, x double, y double, spread double"
 
     def partial(self, rows, by):
-        return self.merge(rows.assign(n=1, squares=0.0), by)
+        states = rows[by].assign(n=1)
+        for c in "xy":
+            states = states.assign(**{f"n_{c}": rows[c].notna().astype("int64"), c: rows[c].fillna(0.0), f"{c}_rest": 0.0, f"{c}_squares": 0.0})
+        return self.merge(states, by)
 
     def merge(self, states, by):
-        of = lambda column: column.groupby([states[b] for b in by], dropna=False, sort=False)
-        n = of(states.n).transform("sum")
-        x, y = of(states.x * states.n).transform("sum") / n, of(states.y * states.n).transform("sum") / n
-        squares = states.squares + states.n * ((states.x - x) ** 2 + (states.y - y) ** 2)
-        told = states[by].assign(n=states.n, x=x, y=y, squares=squares)
-        return told.groupby(by, dropna=False, sort=False).agg(n=("n", "sum"), x=("x", "first"), y=("y", "first"), squares=("squares", "sum")).reset_index()
+        group = states.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+        order = np.argsort(group, kind="stable")
+        states, starts = states.iloc[order], np.flatnonzero(np.diff(group[order], prepend=-1))
+        many = np.diff(starts, append=len(states))
+        told = states[by].iloc[starts].reset_index(drop=True).assign(n=np.add.reduceat(states.n.to_numpy(), starts))
+        for c in "xy":
+            n, parts = states[f"n_{c}"].to_numpy(), states[[c, f"{c}_rest"]].to_numpy(dtype="float64")
+            flat = parts.ravel().tolist()
+            total, rest = np.array([_sum(flat[2 * a : 2 * b]) for a, b in zip(starts.tolist(), (starts + many).tolist())]).T
+            all_n = np.add.reduceat(n, starts)
+            mean = np.repeat((total + rest) / np.maximum(all_n, 1), many)
+            off = np.where(n > 0, n * (parts.sum(axis=1) / np.maximum(n, 1) - mean) ** 2, 0.0)
+            squares = np.add.reduceat(states[f"{c}_squares"].to_numpy() + off, starts)
+            told = told.assign(**{f"n_{c}": all_n, c: total, f"{c}_rest": rest, f"{c}_squares": squares})
+        return told
 
     def close(self, states):
-        return states.assign(x=states.x.round(4), y=states.y.round(4), spread=((states.squares / states.n) ** 0.5).round(4))
+        mean = lambda c: rounded((states[c] + states[f"{c}_rest"]) / states[f"n_{c}"])
+        return states.assign(x=mean("x"), y=mean("y"), spread=rounded((states.x_squares / states.n_x + states.y_squares / states.n_y) ** 0.5))
 
 
 class Extent:

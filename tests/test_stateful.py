@@ -1,7 +1,10 @@
 """Streams with keyed states against what batches give."""
 
+import math
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +187,31 @@ def test_aggregators_take_null_keys_and_many_partials(spark):
     assert aggregation.aggregated(df.where("false"), ["node"], aggregation.Spread()).count() == 0
 
 
+def test_spread_rounds_and_passes_over_nulls_as_sql_does(spark):
+    # Means at halves of the last digit, on either side of zero; a row, and a key, without a coordinate.
+    rows = [("half", 0, 0, x, y) for x, y in ((0.0, 0.0), (0.0625, -0.0625))]
+    rows += [("hole", 0, 0, 1.0, None), ("hole", 0, 0, 2.5, 4.0), ("hole", 0, 0, None, 8.0), ("none", 0, 0, None, 3.0), (None, 0, 0, 7.0, 7.0)]
+    con = duckdb.connect()
+    con.execute("create table t (node text, x double, y double)")
+    con.executemany("insert into t values (?, ?, ?)", [(r[0], r[3], r[4]) for r in rows])
+    want = con.execute("select node, count(*), round(avg(x), 4), round(avg(y), 4), round(sqrt(var_pop(x) + var_pop(y)), 4) from t group by node").fetchall()
+    found = aggregation.aggregated(spark.createDataFrame(rows, PLACES).repartition(3).select("node", "x", "y"), ["node"], aggregation.Spread(), 2)
+    assert ("half", 2, 0.0313, -0.0313, 0.0442) in want
+    assert {tuple(r) for r in found.collect()} == set(want)
+
+
+def test_means_do_not_depend_on_how_rows_are_dealt():
+    rng, spread = random.Random(3), aggregation.Spread()
+    xs = [12.75, 26.29, 11.91, 2.04, 42.41, 32.04, 48.25, 32.96]
+    for _ in range(200):
+        rng.shuffle(xs)
+        cut = rng.randrange(1, 8)
+        parts = [spread.partial(pd.DataFrame({"k": [None] * len(p), "x": p, "y": 0.0}), ["k"]) for p in (xs[:cut], xs[cut:])]
+        merged = spread.merge(pd.concat(parts), ["k"])
+        assert merged.x.tolist() == [math.fsum(xs)]
+        assert spread.close(merged).x.tolist() == [26.0813]
+
+
 def plain_spans(rows, span):
     """Begin of each (lane, ts, seq), walked one by one."""
     first, found = {}, {}
