@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry, ids
-from sightline.operators import tracks, windows
+from sightline.operators import blocks, tracks, windows
 from sightline.operators.tables import small
 
 
@@ -54,7 +54,8 @@ def best_edges(edges: DataFrame) -> DataFrame:
     return found.select("left_id", "right_id", "e.*")
 
 
-def motion_edges(events: DataFrame, area_nodes: DataFrame, area_pairs: DataFrame, size: int, advance: int, most: float) -> DataFrame:
-    """Gate by distance, cut into hopping windows, pair tracklets of bound nodes, score paths and keep each pair's best edge."""
+def motion_edges(events: DataFrame, area_nodes: DataFrame, area_pairs: DataFrame, size: int, advance: int, most: float, keep: str = "best", **only) -> DataFrame:
+    """Gate by distance, cut into hopping windows, pair tracklets of bound nodes, score paths and keep each pair's best edge, or what else `keep` says
+    (see blocks.pair_blocks, which pairs without a row for each pair of paths; the functions above are the same for other uses)."""
     gated = tracks.distance_gate(events, area_nodes).where("area is not null")
-    return best_edges(scored_pairs(path_pairs(window_paths(gated, size, advance), area_pairs), most))
+    return blocks.pair_blocks(gated, area_pairs, size, advance, most, keep, **only)
