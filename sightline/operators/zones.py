@@ -42,7 +42,7 @@ def placed(lines: DataFrame, zones: DataFrame) -> DataFrame:
     told = F.struct(
         (line & geometry.in_edges(a, F.col("edges"))).alias("s"),
         geometry.in_edges(b, F.col("edges")).alias("e"),
-        (line & F.exists("edges", lambda e: geometry.segments_cross(a, b, e["a"], e["b"]))).alias("crosses"),
+        (line & F.exists("edges", lambda e: meets(a, b, e))).alias("crosses"),
         F.when(line, entry_distance(a, b, F.col("edges"))).alias("d"),
     )
     # As a generator's output the predicates are columns, which the optimiser doesn't write out again wherever they are used.
@@ -61,16 +61,29 @@ def zone_relations(lines: DataFrame, zones: DataFrame) -> DataFrame:
     return found.withColumn("relation", line_relation(F.col("s"), F.col("e"), F.col("crosses"))).where("relation is not null").drop("s", "e", "crosses", "d")
 
 
-def entry_distance(a: Column, b: Column, edges: Column) -> Column:
-    """How far from a, as a share of the way to b, the line first meets the edges."""
+def meeting(a: Column, b: Column, e: Column) -> Column:
+    """How far from a, as a share of the way to b, the line meets an edge; null if it doesn't. On edges that are parallel to an axis the place is
+    worked out from the one coordinate that they fix, as the SQL of the queries does, so that lines through a corner come out the same."""
+    shares = []
+    for fixed, free in (("x", "y"), ("y", "x")):
+        t = (e["a"][fixed] - a[fixed]) / F.nullif(b[fixed] - a[fixed], F.lit(0.0))
+        place = a[free] + t * (b[free] - a[free])
+        hit = t.between(0, 1) & place.between(F.least(e["a"][free], e["b"][free]), F.greatest(e["a"][free], e["b"][free]))
+        shares.append(F.when(hit, t))
+    cross = F.nullif((b["x"] - a["x"]) * (e["b"]["y"] - e["a"]["y"]) - (b["y"] - a["y"]) * (e["b"]["x"] - e["a"]["x"]), F.lit(0.0))
+    t = ((e["a"]["x"] - a["x"]) * (e["b"]["y"] - e["a"]["y"]) - (e["a"]["y"] - a["y"]) * (e["b"]["x"] - e["a"]["x"])) / cross
+    u = ((e["a"]["x"] - a["x"]) * (b["y"] - a["y"]) - (e["a"]["y"] - a["y"]) * (b["x"] - a["x"])) / cross
+    return F.when(e["a"]["x"] == e["b"]["x"], shares[0]).when(e["a"]["y"] == e["b"]["y"], shares[1]).when(t.between(0, 1) & u.between(0, 1), t)
+
 
-    def share(e: Column) -> Column:
-        cross = (b["x"] - a["x"]) * (e["b"]["y"] - e["a"]["y"]) - (b["y"] - a["y"]) * (e["b"]["x"] - e["a"]["x"])
-        t = ((e["a"]["x"] - a["x"]) * (e["b"]["y"] - e["a"]["y"]) - (e["a"]["y"] - a["y"]) * (e["b"]["x"] - e["a"]["x"])) / F.nullif(cross, F.lit(0.0))
-        u = ((e["a"]["x"] - a["x"]) * (b["y"] - a["y"]) - (e["a"]["y"] - a["y"]) * (b["x"] - a["x"])) / F.nullif(cross, F.lit(0.0))
-        return F.when(t.between(0, 1) & u.between(0, 1), t)
+def meets(a: Column, b: Column, e: Column) -> Column:
+    level = (e["a"]["x"] == e["b"]["x"]) | (e["a"]["y"] == e["b"]["y"])
+    return F.when(level, meeting(a, b, e).isNotNull()).otherwise(geometry.segments_cross(a, b, e["a"], e["b"]))
 
-    return F.round(F.array_min(F.filter(F.transform(edges, share), lambda t: t.isNotNull())), 6)
+
+def entry_distance(a: Column, b: Column, edges: Column) -> Column:
+    """How far from a, as a share of the way to b, the line first meets the edges."""
+    return F.round(F.array_min(F.filter(F.transform(edges, lambda e: meeting(a, b, e)), lambda t: t.isNotNull())), 6)
 
 
 def zone_events(lines: DataFrame, zones: DataFrame) -> DataFrame:
