@@ -266,6 +266,22 @@ def test_lines_in_stripes_equal_a_plain_test_of_every_zone(spark):
     assert len(found) - len(expected) <= 3
 
 
+def test_boosted_scores_are_rounded_as_in_sql(spark):
+    rows = [(1, 10, "p", 1, 1.06761), (1, 11, "p", 2, 0.1), (2, 10, "p", 1, -1.06761), (2, 11, "p", 2, -9.0)]
+    scores = spark.createDataFrame(rows, "session long, candidate long, exit_node string, last_ts long, score double")
+    con = duckdb.connect()
+    expected = [con.execute(f"select round({s}::double * 1.15, 6)").fetchone()[0] for s in (1.06761, -1.06761)]
+    assert [r.boosted for r in feature.best_candidates(scores).orderBy("session").collect()] == expected
+
+
+def test_a_line_through_a_corner_meets_its_zone_as_in_sql(spark):
+    ring = [(10.0, 10.0), (40.0, 10.0), (40.0, 40.0), (10.0, 40.0), (10.0, 10.0)]
+    z = spark.createDataFrame([("A", ring)], "zone string, ring array<struct<x: double, y: double>>")
+    df = log(spark, ("1", 1, 6.85, 33.0, 1, None, False), ("1", 2, 12.7, 46.0, 1, None, False), ("2", 1, 6.85, 33.0, 1, None, False), ("2", 2, 12.7, 46.01, 1, None, False))
+    assert [(r.track_id, r.relation) for r in zones.zone_relations(tracks.lines(df), z).collect()] == [("1", "Through")]
+    assert [(r.relation, r.zone) for r in zones.zone_events(tracks.lines(df), z).where("ts = 2").orderBy("track_id").collect()][:1] == [("Through", "A")]
+
+
 def test_residents_are_sets(spark):
     """Entering twice counts once, passing through takes out, and a delete leaves every zone; as in the streaming form."""
     rows = [("n", "1", "A", 1, 0, "Entered"), ("n", "1", "A", 2, 1, "Entered"), ("n", "2", "A", 3, 2, "Entered"), ("n", "1", "A", 4, 3, "Through"), ("n", "1", "B", 5, 4, "Entered"), ("n", "2", None, 6, 5, "Deleted"), ("n", "3", "A", 7, 6, "Left"), ("n", "1", None, 8, 7, "Deleted")]
@@ -294,6 +310,18 @@ def test_zone_events_and_residents(spark):
     assert left == [("A", 1, 1), ("A", 2, 0), ("C", 2, 1), ("C", 4, 0)]
 
 
+def test_tracklets_of_a_whole_log_are_closed(spark, tmp_path):
+    """The last tracklet has two features of five, and no delete says so."""
+    rows = [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)]
+    features = spark.createDataFrame([(t, i, i, [1.0]) for t, i in rows], "track long, ts long, seq long, feature array<double>")
+    assert {r.track for r in feature.session_features(features, 3).collect()} == {1}
+    assert sorted((r.track, r.seq) for r in feature.session_features(features, 3, whole=True).collect()) == rows
+    vectors = spark.read.parquet(str(DATA / "embeddings.parquet")).where("vec_id < 62")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("feature_pair_topk", "feature_pair_dot"):
+        assert {r.session for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} >= {11, 12}
+
+
 def test_feature_choice(spark):
     rows = [(1, 10, "p", 5, 0.8), (1, 11, "p", 1, 0.75), (1, 12, "q", 1, 0.79)]
     scores = spark.createDataFrame(rows, "session long, candidate long, exit_node string, last_ts long, score double")
