@@ -426,6 +426,28 @@ def test_sets_that_hold_one_another_equal_all_pairs(spark):
     assert {r.id for r in A.without_inferiors(df, keys).collect()} == {i for i, _, _ in rows} - {j for j, i in above if i < 5}
 
 
+@pytest.mark.parametrize("inline", [64, 3, 0])
+def test_relations_of_large_sets_equal_all_pairs(spark, monkeypatch, inline):
+    """Sets within the bound are compared whole, of others the shared tracklets are counted; both as plain sets say."""
+    monkeypatch.setattr(A, "INLINE", inline)
+    rng = random.Random(11)
+    sets = {f"s{i}": (sorted(rng.sample([f"c{n}[{t}]" for n in range(4) for t in range(4)], rng.randrange(1, 7))), rng.randrange(4) / 4) for i in range(40)}
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in sets.items()], "id string, tracklets array<string>, score double")
+
+    def plain(a, b):
+        left, right = set(a) - set(b), set(b) - set(a)
+        node = lambda x: x.partition("[")[0]
+        return "SAME" if not left | right else "LEFT_SUBSUME" if not right else "RIGHT_SUBSUME" if not left else "CONFLICT" if {*map(node, left)} & {*map(node, right)} else "MERGEABLE"
+
+    expected = {(i, j): plain(a, b) for i, (a, _) in sets.items() for j, (b, _) in sets.items() if set(a) & set(b)}
+    found = A.related(df, df).collect()
+    assert {(r.a, r.b): r.relation for r in found} == expected and len(found) == len(expected)
+    above = lambda i, j: expected.get((i, j)) == "LEFT_SUBSUME" or (sets[i][1] > sets[j][1] and (expected.get((i, j)) == "SAME" or expected.get((i, j)) == "CONFLICT" and len(sets[i][0]) >= len(sets[j][0])))
+    best = {j: min(i for i in sets if above(i, j)) for j in sets if any(above(i, j) for i in sets)}
+    assert {r.key: r.superior for r in A.superiors(df, df).collect()} == best
+    assert sorted(map(tuple, A.holders(df, df).collect())) == sorted((i, j) for i, (a, _) in sets.items() for j, (b, _) in sets.items() if set(a) <= set(b))
+
+
 def test_the_store_does_not_depend_on_the_order_of_rows():
     e = lambda a, b, s, ts: A.Edge(a, b, s, ts, ts, a)
     held = [A.Group([e("a[1]", "b[1]", 0.9, 1)]), A.Group([e("b[1]", "c[1]", 0.8, 2), e("c[1]", "d[1]", 0.7, 2)])]
